@@ -42,75 +42,101 @@ def _q(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _bind(value: str, name: str, body: str) -> str:
+    """SQL: evaluate ``value`` once and use it as ``name`` in an array ``body``."""
+    return f"flatten(transform(array({value}), {name} -> {body}))"
+
+
+def _nested(text: str) -> str:
+    return f"(startswith({text}, '{{') OR startswith({text}, '['))"
+
+
 def _entries(json: str) -> str:
-    """SQL: ordered array of (k, v text, t kind) of a JSON object text."""
-    kind = ("CASE WHEN s IS NULL OR s = 'VOID' THEN 'n' WHEN startswith(s, 'OBJECT') THEN 'o' "
-            "WHEN startswith(s, 'ARRAY') THEN 'a' ELSE 's' END")
-    return (f"zip_with(map_entries(from_json({json}, 'map<string,string>')), "
-            f"transform(map_entries(from_json({json}, 'map<string,variant>')), w -> schema_of_variant(w.value)), "
-            f"(e, s) -> named_struct('k', e.key, 'v', e.value, 't', {kind}))")
+    """SQL: ordered array of (k, v text, t kind) of a JSON object text; kinds are
+    s(calar), o(bject), a(rray), n(ull).
+
+    A text that opens like an object or array may also be a string value.  Only
+    rows that hold such a text are parsed again as variants to tell the two apart.
+    """
+    simple = "named_struct('k', e.key, 'v', e.value, 't', IF(e.value IS NULL, 'n', 's'))"
+    kind = (f"CASE WHEN e.value IS NULL THEN 'n' WHEN NOT {_nested('e.value')} THEN 's' "
+            "WHEN startswith(e.value, '{') THEN IF(try_variant_get(w.value, '$', 'map<string,variant>') IS NULL, 's', 'o') "
+            "ELSE IF(try_variant_get(w.value, '$', 'array<variant>') IS NULL, 's', 'a') END")
+    # a document whose nested objects repeat a key has no variant form; there the text decides
+    looks = "CASE WHEN e.value IS NULL THEN 'n' WHEN startswith(e.value, '{') THEN 'o' WHEN startswith(e.value, '[') THEN 'a' ELSE 's' END"
+    by_text = f"transform(es, e -> named_struct('k', e.key, 'v', e.value, 't', {looks}))"
+    return _bind(
+        f"map_entries(from_json({json}, 'map<string,string>'))", "es",
+        f"IF(exists(es, e -> {_nested('e.value')}), "
+        f"coalesce(zip_with(es, map_entries(from_json({json}, 'map<string,variant>')), (e, w) -> named_struct('k', e.key, 'v', e.value, 't', {kind})), {by_text}), "
+        f"transform(es, e -> {simple}))")
 
 
 def _items(json: str) -> str:
-    """SQL: the object texts of a JSON array whose first item is an object."""
-    kinds = f"transform(from_json({json}, 'array<variant>'), w -> startswith(schema_of_variant(w), 'OBJECT'))"
-    return (f"CASE WHEN get({kinds}, 0) THEN filter(zip_with(from_json({json}, 'array<string>'), {kinds}, "
-            f"(x, o) -> IF(o, x, NULL)), x -> x IS NOT NULL) ELSE array() END")
+    """SQL: the object texts of a JSON array whose first item is an object.
+
+    Array texts are compact here, so they equal their joined items exactly when no
+    item is a string; only otherwise are item kinds looked up.
+    """
+    strings = f"transform(from_json({json}, 'array<variant>'), w -> startswith(to_json(w), '\"'))"
+    return (f"IF(startswith({json}, '[{{'), " + _bind(
+        f"from_json({json}, 'array<string>')", "xs",
+        f"IF(concat('[', array_join(xs, ',', 'null'), ']') = {json}, filter(xs, x -> startswith(x, '{{')), "
+        f"filter(zip_with(xs, {strings}, (x, q) -> IF(q OR NOT startswith(x, '{{'), NULL, x)), x -> x IS NOT NULL))") + ", array())")
 
 
-def _scalars(entries: str) -> str:
-    return (f"transform(filter({entries}, c -> c.t = 's'), c -> named_struct('field', c.k, 'value', c.v))")
+def _scalars(entries: str, name: str = "g.k") -> str:
+    return f"transform(filter({entries}, g -> g.t = 's'), g -> named_struct('field', {name}, 'value', g.v))"
 
 
 def _object_leaves(e: str) -> str:
-    text = f"{e}.v"
     bounds = ", ".join(
-        f"named_struct('field', concat({e}.k, '_{b}'), 'value', get_json_object({text}, '$.{b}'))" for b in (LOWER, UPPER))
-    has_bound = (f"exists(map_keys(from_json({text}, 'map<string,string>')), "
-                 f"n -> n IN ('{LOWER}', '{UPPER}'))")
-    return (f"CASE WHEN {has_bound} THEN filter(array({bounds}), b -> b.value IS NOT NULL) "
-            f"ELSE {_scalars(_entries(text))} END")
+        f"named_struct('field', concat({e}.k, '_{b}'), 'value', get(filter(c, x -> x.k = '{b}'), 0).v)" for b in (LOWER, UPPER))
+    return _bind(_entries(f"{e}.v"), "c",
+                 f"IF(exists(c, x -> x.k IN ('{LOWER}', '{UPPER}')), filter(array({bounds}), b -> b.value IS NOT NULL), {_scalars('c')})")
 
 
-def _item_leaves(parent: str, c: str, rules: LeafRules) -> str:
+def _item_leaves(parent: str, item: str, rules: LeafRules) -> str:
     pairs = [(p, child, new) for p, kids in rules.renames.items() for child, new in kids.items()]
     name = "x.k"
     if pairs:
         table = ", ".join(f"{_q(p + chr(1) + child)}, {_q(new)}" for p, child, new in pairs)
-        name = f"coalesce(element_at(map({table}), concat({parent}, {_q(chr(1))}, x.k)), x.k)"
+        parents = ", ".join(_q(p) for p in rules.renames)
+        name = f"IF({parent} IN ({parents}), coalesce(element_at(map({table}), concat({parent}, {_q(chr(1))}, x.k)), x.k), x.k)"
     grand = "concat(x.k, '_', g.k)" if rules.prefix_nested else "g.k"
-    general = (
-        f"flatten(transform({c}, x -> CASE x.t WHEN 's' THEN array(named_struct('field', {name}, 'value', x.v)) "
-        f"WHEN 'o' THEN transform(filter({_entries('x.v')}, g -> g.t = 's'), g -> named_struct('field', {grand}, 'value', g.v)) "
-        f"ELSE array() END))")
+    general = (f"flatten(transform(c, x -> CASE x.t WHEN 's' THEN array(named_struct('field', {name}, 'value', x.v)) "
+               f"WHEN 'o' THEN {_scalars(_entries('x.v'), grand)} ELSE array() END))")
     if not rules.pivots:
-        return general
-    element = f"get(filter({c}, x -> x.k IN ({', '.join(map(_q, ELEMENT_KEYS))})), 0)"
-    marks = " OR ".join(f"contains(x.k, {_q(m)})" for m in CONTENT_MARKS)
-    content = f"get(filter({c}, x -> {marks}), 0)"
-    phase = f"get(filter({c}, x -> x.k = {_q(PHASE_NAME)}), 0)"
-    amount = f"get(filter({c}, x -> x.k = {_q(PHASE_CONTENT)}), 0)"
-    pivot = lambda n, v: (f"IF(trim({n}.v) != '' AND {v}.v IS NOT NULL, "
-                          f"array(named_struct('field', trim({n}.v), 'value', {v}.v)), array())")
-    return (f"CASE WHEN {element}.k IS NOT NULL AND {content}.k IS NOT NULL THEN {pivot(element, content)} "
-            f"WHEN {phase}.k IS NOT NULL AND {amount}.k IS NOT NULL THEN {pivot(phase, amount)} ELSE {general} END")
+        return _bind(_entries(item), "c", general)
+    first = lambda test: f"get(filter(c, x -> {test}), 0)"
+    found = (f"named_struct('el', {first('x.k IN (' + ', '.join(map(_q, ELEMENT_KEYS)) + ')')}, "
+             f"'ct', {first(' OR '.join(f'contains(x.k, {_q(m)})' for m in CONTENT_MARKS))}, "
+             f"'ph', {first(f'x.k = {_q(PHASE_NAME)}')}, 'am', {first(f'x.k = {_q(PHASE_CONTENT)}')})")
+    pivot = lambda n, v: (f"IF(trim(m.{n}.v) != '' AND m.{v}.v IS NOT NULL, "
+                          f"array(named_struct('field', trim(m.{n}.v), 'value', m.{v}.v)), array())")
+    return _bind(_entries(item), "c", _bind(found, "m", (
+        f"CASE WHEN m.el.k IS NOT NULL AND m.ct.k IS NOT NULL THEN {pivot('el', 'ct')} "
+        f"WHEN m.ph.k IS NOT NULL AND m.am.k IS NOT NULL THEN {pivot('ph', 'am')} ELSE {general} END")))
 
 
 def record_leaves(json: str, rules: LeafRules) -> str:
     """SQL: array of (field, value) of one record, in document order."""
-    skip = ", ".join(map(_q, rules.skip_fields)) or "NULL"
-    kept = f"filter({_entries(json)}, e -> NOT coalesce(e.k IN ({skip}), false) AND NOT startswith(e.k, {_q(rules.meta_prefix)}))"
-    # an item's entries are bound once, through a one-element array
-    item = f"flatten(transform({_items('e.v')}, i -> flatten(transform(array({_entries('i')}), c -> {_item_leaves('e.k', 'c', rules)}))))"
+    skip = ", ".join(map(_q, rules.skip_fields)) or "''"
+    kept = f"filter({_entries(json)}, e -> NOT e.k IN ({skip}) AND NOT startswith(e.k, {_q(rules.meta_prefix)}))"
+    items = f"flatten(transform({_items('e.v')}, i -> {_item_leaves('e.k', 'i', rules)}))"
     return (f"flatten(transform({kept}, e -> CASE e.t WHEN 's' THEN array(named_struct('field', e.k, 'value', e.v)) "
-            f"WHEN 'o' THEN {_object_leaves('e')} WHEN 'a' THEN {item} ELSE array() END))")
+            f"WHEN 'o' THEN {_object_leaves('e')} WHEN 'a' THEN {items} ELSE array() END))")
 
 
 def explode_leaves(records: DataFrame, json_col: str = "data", rules: LeafRules = LeafRules()) -> DataFrame:
-    """One row per leaf occurrence, with its position in the record."""
+    """One row per leaf occurrence, with its position in the record.
+
+    The outer form keeps Catalyst from guarding the explode with a filter that
+    would evaluate the whole flattening twice more.
+    """
     keep = [c for c in records.columns if c != json_col and c != "pos"]
-    return records.select(*keep, F.posexplode(F.expr(record_leaves(f"`{json_col}`", rules))).alias("leaf_pos", "leaf")).select(
-        *keep, "leaf_pos", "leaf.field", "leaf.value")
+    return records.select(*keep, F.posexplode_outer(F.expr(record_leaves(f"`{json_col}`", rules))).alias("leaf_pos", "leaf")).filter(
+        "leaf_pos IS NOT NULL").select(*keep, "leaf_pos", "leaf.field", "leaf.value")
 
 
 def last_write_wins(leaves: DataFrame, record_keys: list[str]) -> DataFrame:

@@ -72,7 +72,7 @@ def range_rows(records: DataFrame, dictionary: DataFrame, properties: DataFrame,
                json_col: str = "data") -> DataFrame:
     """Alternative load: range bounds become rows named ``name_lb`` / ``name_ub``;
     other objects and lists stay as JSON text."""
-    entries = records.select(*keys, F.explode(F.expr(_entries(f"`{json_col}`"))).alias("e")).select(
+    entries = records.select(*keys, F.explode_outer(F.expr(_entries(f"`{json_col}`"))).alias("e")).select(
         *keys, F.col("e.k").alias("field"), F.col("e.v").alias("text"), F.col("e.t").alias("kind")).filter("kind != 'n'")
     bound = lambda b: F.struct(F.lit(f"_{b}").alias("suffix"), F.get_json_object("text", f"$.{b}").alias("value"))
     names = F.map_keys(F.from_json("text", "map<string,string>"))

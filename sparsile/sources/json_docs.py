@@ -13,34 +13,27 @@ ID_KEY, UPLOADER_KEY = "数据ID", "上传人"
 PATCH_LABEL = "修正后的SQL"
 
 
-def read_json_datasets(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+def read_json_datasets(spark: SparkSession, path: str, lines: bool = False, pattern: str = "*.json") -> DataFrame:
     """(file_name, value) per document.  Whole-file mode reads one document per
-    ``*.json`` file; line mode reads one document per line and splits big files."""
-    reader = spark.read.format("text").option("pathGlobFilter", "*.json")
+    matching file (other files, such as ``.bak``, are skipped); line mode reads one document per line and splits big files."""
+    reader = spark.read.format("text").option("pathGlobFilter", pattern)
     raw = reader.option("wholetext", not lines).load(path)
     return raw.select(F.col("_metadata.file_name").alias("file_name"), "value")
 
 
-def json_kind(value: Column) -> Column:
-    """o(bject), a(rray), n(ull) or s(calar) of a variant value."""
-    name = F.schema_of_variant(value)
-    return (F.when(F.startswith(name, F.lit("OBJECT")), "o").when(F.startswith(name, F.lit("ARRAY")), "a")
-            .when(name.isNull() | (name == "VOID"), "n").otherwise("s"))
-
-
 def split_corrupt(docs: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
     """Readable documents of a known envelope, and the rest with a reason."""
-    parsed = F.try_parse_json(F.col(value))
-    kind = json_kind(parsed)
-    known = (kind == "a") | ((kind == "o") & F.get_json_object(value, "$.template").isNotNull())
-    marked = docs.withColumn("reason", F.when(parsed.isNull(), "unreadable").when(~known, "unknown format"))
+    text = F.col(value)
+    known = F.json_array_length(text).isNotNull() | F.array_contains(F.json_object_keys(text), "template")
+    reason = F.when(F.get_json_object(text, "$").isNull(), "unreadable").when(~F.coalesce(known, F.lit(False)), "unknown format")
+    marked = docs.withColumn("reason", reason)
     return marked.filter(F.col("reason").isNull()).drop("reason"), marked.filter(F.col("reason").isNotNull())
 
 
 def explode_array_envelope(docs: DataFrame, value: str = "value") -> DataFrame:
     """``[{_meta_id, title, data}]`` to one row per record that has data."""
     items = docs.filter(F.startswith(F.ltrim(F.col(value)), F.lit("["))).select(
-        *[c for c in docs.columns if c != value], F.posexplode(F.from_json(value, ARRAY_TYPE)).alias("pos", "item"))
+        *[c for c in docs.columns if c != value], F.posexplode_outer(F.from_json(value, ARRAY_TYPE)).alias("pos", "item"))
     keep = [c for c in docs.columns if c != value]
     title = F.col("item.title") if "file_name" not in keep else F.coalesce("item.title", "file_name")
     return items.filter(F.col("item.data").isNotNull()).select(
@@ -58,15 +51,15 @@ def explode_template_envelope(docs: DataFrame, value: str = "value") -> DataFram
     parsed = docs.filter(F.startswith(F.ltrim(F.col(value)), F.lit("{"))).select(
         *keep, F.from_json(value, TEMPLATE_TYPE).alias("doc"))
     items = parsed.filter(F.col("doc.template").isNotNull()).select(
-        *keep, template_key(F.col("doc.template")).alias("title"), F.posexplode("doc.data").alias("outer_pos", "item"))
+        *keep, template_key(F.col("doc.template")).alias("title"), F.posexplode_outer("doc.data").alias("outer_pos", "item"))
     content = F.element_at(F.col("item.content"), F.col("title"))
     listed = F.when(F.startswith(content, F.lit("[")), content).otherwise(
         F.concat(F.lit("["), content, F.lit("]")))
     texts = F.from_json(listed, "array<string>").alias("text")
-    kinds = F.transform(F.from_json(listed, "array<variant>"), json_kind).alias("kind")
+    objects = F.transform(F.from_json(listed, "array<variant>"), lambda w: F.try_variant_get(w, "$", "map<string,variant>").isNotNull()).alias("is_object")
     rows = items.select(*keep, "title", "outer_pos", F.col("item.meta").alias("meta"),
-                        F.posexplode(F.arrays_zip(texts, kinds)).alias("inner_pos", "sub"))
-    return rows.filter(F.col("sub.kind") == "o").select(
+                        F.posexplode_outer(F.arrays_zip(texts, objects)).alias("inner_pos", "sub"))
+    return rows.filter("sub.is_object").select(
         *keep, (F.col("outer_pos").cast("bigint") * 1_000_000 + F.col("inner_pos")).alias("pos"),
         F.element_at("meta", F.lit(ID_KEY)).try_cast("bigint").alias("raw_id"), "title",
         F.col("sub.text").alias("data"), F.element_at("meta", F.lit(UPLOADER_KEY)).alias("uploader"),

@@ -54,7 +54,7 @@ def term_spans(found: DataFrame, key: str, text: str = "text") -> DataFrame:
     lengths = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.length)
     starts = F.aggregate(
         lengths, F.array().cast("array<int>"),
-        lambda acc, n: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1) + F.length("term"), F.lit(0)) + n)))
+        lambda acc, n: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)) + F.length("term"), F.lit(0)) + n)))
     starts = F.when(F.size(pieces) > 1, starts).otherwise(F.array().cast("array<int>"))
     spans = found.select(*found.columns, F.explode(starts).alias("start")).withColumn("end", F.col("start") + F.length("term"))
     before = W.partitionBy(key).orderBy("start", F.desc("end")).rowsBetween(W.unboundedPreceding, -1)
@@ -116,3 +116,16 @@ def lookup_ci(wanted: DataFrame, table: DataFrame, by: list[str], name: str, val
     joined = wanted.withColumn("_low", F.lower(name)).join(t, [*by, "_low"])
     return joined.groupBy(*wanted.columns).agg(
         F.min_by("_value", F.struct((F.col("_name") != F.col(name)).alias("other"), F.col("_name"))).alias(value))
+
+
+def as_predicates(found: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Text conditions as predicate rows, one alias per condition."""
+    kind = F.when(F.col("text").isNotNull(), "str").when(F.col("op") == "BETWEEN", "between").otherwise("num")
+    return found.select(key, F.lit(0).alias("clause"), F.concat(F.lit("v"), F.col("start").cast("string")).alias("alias"),
+                        "property_id", kind.alias("kind"), F.when(F.col("op") != "BETWEEN", F.col("op")).alias("op"), "lo", "hi", "text")
+
+
+def conditions_to_sql(found: DataFrame, schema: str, key: str = "sample_id") -> DataFrame:
+    """Query text per question, conditions in text order (a question holds few)."""
+    listed = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "property_id", "op", "lo", "hi", "text"))).alias("c"))
+    return listed.select(key, sqltext.condition_to_sql(F.col("c"), schema).alias("sql"))

@@ -69,13 +69,14 @@ def match_score(samples: DataFrame, version: int = 1, text: str = "natural_langu
     in_text = lambda n, forms: F.aggregate(
         F.transform(forms(n), lambda f: F.contains(nl, f)), F.lit(False), lambda a, b: a | b)
     whole = lambda n: n == F.floor(n)
+    fixed = lambda n, digits: n.cast(f"decimal(30,{digits})").cast("string")
     if version == 1:
         numbers = F.filter(F.flatten(F.transform(conditions, lambda c: F.array(c["lo"], c["hi"]))), lambda n: n.isNotNull())
-        forms = lambda n: F.array(sqltext.plain(n), F.format_number(n, "0.0"), F.format_number(n, "0.00"))
+        forms = lambda n: F.array(sqltext.plain(n), fixed(n, 1), fixed(n, 2))
     else:
         raw = F.transform(F.regexp_extract_all(sql, F.lit(r"(\d+\.?\d*)"), 1), lambda x: x.try_cast("decimal(30,15)"))
         numbers = F.array_distinct(F.filter(raw, lambda n: (n > 0.01) & (n < 1000000)))
-        forms = lambda n: F.array(F.when(whole(n), sqltext.plain(n)).when(n == F.round(n, 1), F.format_number(n, "0.0")).otherwise(F.format_number(n, "0.00")))
+        forms = lambda n: F.array(F.when(whole(n), sqltext.plain(n)).when(n == F.round(n, 1), fixed(n, 1)).otherwise(fixed(n, 2)))
     hits = F.size(F.filter(numbers, lambda n: in_text(n, forms)))
     ranged = F.contains(F.upper(sql), F.lit("BETWEEN"))
     range_said = phrases.has_any(nl, phrases.RANGE_WORDS)

@@ -251,12 +251,13 @@ def _(t):
 SELECT sample_id, 'missing_sql' AS issue FROM samples WHERE sql = ''
 UNION ALL SELECT sample_id, 'empty_suspicious' FROM samples JOIN x_size USING (sample_id) WHERE sql <> '' AND n_result = 0
 UNION ALL SELECT sample_id, 'duplicate_property' FROM samples WHERE len(regexp_extract_all(sql, 'property_id\s*=\s*(\d+)', 1)) <> len({PIDS})
-UNION ALL SELECT sample_id, 'op_mismatch' FROM samples JOIN part ON p_partkey = sample_id WHERE p_size BETWEEN 41 AND 44""")
+UNION ALL SELECT sample_id, 'op_mismatch' FROM samples JOIN part ON p_partkey = sample_id WHERE p_size BETWEEN 41 AND 44 OR (p_size > 46 AND p_retailprice = 910)""")
 def _(t):
     return validation.review_queries(t.samples, sizes(t))
 
 
-@register("v3_operator_direction", "SELECT p_partkey AS sample_id, '大于' AS word, CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS VARCHAR) AS value, '<' AS query_op FROM part WHERE p_size BETWEEN 41 AND 44")
+@register("v3_operator_direction", """SELECT p_partkey AS sample_id, '大于' AS word, CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS VARCHAR) AS value, '<' AS query_op FROM part WHERE p_size BETWEEN 41 AND 44
+""" + "UNION ALL SELECT p_partkey, '低于', CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS VARCHAR), '>' FROM part WHERE p_size > 46 AND p_retailprice = 910")
 def _(t):
     return validation.operator_direction(t.samples)
 
@@ -339,7 +340,7 @@ def _(t):
     return rounded(scoring.micro_recall(scoring.recall_counts(*scoring_inputs(t))), "micro_recall", digits=9)
 
 
-@register("v12_result_equivalence", f"SELECT sample_id, [round(x, 6) FOR x IN g] = [round(x, 6) FOR x IN p] AS equivalent FROM {SCORE_CHECK} q")
+@register("v12_result_equivalence", f"SELECT sample_id, [round(x, 4) FOR x IN g] = [round(x, 4) FOR x IN p] AS equivalent FROM {SCORE_CHECK} q")
 def _(t):
     samples, gold, predicted = scoring_inputs(t)
-    return scoring.result_equivalence(samples, gold, predicted)
+    return scoring.result_equivalence(samples, gold, predicted, digits=4)

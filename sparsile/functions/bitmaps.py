@@ -9,19 +9,21 @@ from pyspark.sql import functions as F
 WIDTH = 1024
 
 
+def _marks(ids: Column, done) -> Column:
+    """Text that ends at the highest id: each id adds the zeros up to it and a '1',
+    so the text length is the next free position."""
+    return F.aggregate(F.array_sort(F.array_distinct(ids)), F.lit(""),
+                       lambda text, i: F.concat(text, F.repeat(F.lit("0"), i - F.length(text)), F.lit("1")), done)
+
+
 def bitmap(ids: Column, width: int = WIDTH) -> Column:
     """'0/1' text, character i is '1' when id i is present; other ids ignored."""
-    marks = F.transform(F.sequence(F.lit(0), F.lit(width - 1)),
-                        lambda i: F.when(F.array_contains(ids, i), F.lit("1")).otherwise(F.lit("0")))
-    return F.array_join(marks, "")
+    return _marks(F.filter(ids, lambda i: (i >= 0) & (i < width)), lambda text: F.rpad(text, width, "0"))
 
 
 def legacy_bitmap(ids: Column, empty: str = "0") -> Column:
     """Variable length, highest id first."""
-    top = F.array_max(ids)
-    marks = F.transform(F.sequence(top, F.lit(0)),
-                        lambda i: F.when(F.array_contains(ids, i), F.lit("1")).otherwise(F.lit("0")))
-    return F.when(F.size(ids) == 0, F.lit(empty)).otherwise(F.array_join(marks, ""))
+    return F.when(F.size(ids) == 0, F.lit(empty)).otherwise(_marks(ids, F.reverse))
 
 
 def ids_to_bitmap(text: Column, width: int = WIDTH) -> Column:

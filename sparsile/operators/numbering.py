@@ -56,20 +56,25 @@ def assign_dataset_id(entities: DataFrame) -> DataFrame:
     return entities.drop("dataset_id").join(ids, "title", "left")
 
 
-def resolve_id_collisions(records: DataFrame, id_col: str, order_key: str, key_bits: int = 48) -> DataFrame:
-    """The first record of an id keeps it, every later one gets an unused id.
+def collision_changes(ids: DataFrame, id_col: str, order_key: str, key_bits: int = 48) -> DataFrame:
+    """(order_key, new id) of every record whose id was taken before it.
 
     ``order_key`` is a unique non-negative integer (load order).  New ids are
     max(id) + 1, 2, … in load order.  First records are found by an aggregate and
     matched back on the unique order key, so one id held by a third of all
     records still spreads evenly.
     """
-    firsts = records.groupBy(id_col).agg(F.min(order_key).alias("_first")).select(F.col("_first").alias(order_key), F.lit(True).alias("_keeps"))
-    marked = records.join(firsts, order_key, "left")
-    later = dense_number(marked.filter("_keeps IS NULL").select(order_key), order_key, "_extra", key_bits=key_bits)
-    top = records.agg(F.max(id_col)).scalar()
-    extra = later.select(order_key, (F.col("_extra") + top).alias("_new"))
-    return marked.join(extra, order_key, "left").withColumn(id_col, F.coalesce("_new", id_col)).drop("_keeps", "_new")
+    firsts = ids.groupBy(id_col).agg(F.min(order_key).alias(order_key))
+    later = ids.select(order_key).join(firsts.select(order_key), order_key, "left_anti")
+    top = ids.agg(F.max(id_col)).scalar()
+    return dense_number(later, order_key, "_extra", key_bits=key_bits).select(order_key, (F.col("_extra") + top).alias("new_id"))
+
+
+def resolve_id_collisions(records: DataFrame, id_col: str, order_key: str, key_bits: int = 48) -> DataFrame:
+    """The first record of an id keeps it, every later one gets an unused id.
+    Only the changed ids are joined back; while they are few, records stay in place."""
+    changes = collision_changes(records.select(order_key, id_col), id_col, order_key, key_bits)
+    return records.join(changes, order_key, "left").withColumn(id_col, F.coalesce("new_id", id_col)).drop("new_id")
 
 
 def reindex(samples: DataFrame, key: str = "sample_id") -> DataFrame:

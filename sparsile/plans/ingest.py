@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparsile.functions.ids import normalize_id
 from sparsile.operators import leaves, numbering, shaping
+from sparsile.session import durable
 from sparsile.sources import json_docs
 
 
@@ -34,19 +35,22 @@ def load(docs: DataFrame, order_key: str, dictionary: DataFrame, properties: Dat
     """``docs`` is (order_key, value [, file_name]); ``order_key`` is a unique
     non-negative integer giving the load order of documents.
 
-    One shuffle by record gathers its leaves; the last-write aggregate and the
-    merge of fields on one property reuse that partitioning.
+    Documents are read twice: once for their ids, once for their leaves.  Both
+    results are compact and kept in the shared folder, so neither the collision
+    pass nor the second output table parses JSON again.  Leaves are shuffled once
+    by record; the last-write aggregate and the merge reuse that partitioning.
     """
-    raw = records_of(docs, rules).filter("raw_id IS NOT NULL")
-    keyed = raw.withColumn("_order", F.shiftleft(F.col(order_key).cast("bigint"), 20) + F.col("pos")).withColumn(
+    keyed = records_of(docs, rules).filter("raw_id IS NOT NULL").withColumn(
+        "_order", F.shiftleft(F.col(order_key).cast("bigint"), 20) + F.col("pos")).withColumn(
         "data_id", normalize_id(F.col("raw_id"), id_rule, F.col("from_template")))
-    records = numbering.resolve_id_collisions(keyed, "data_id", "_order", key_bits=60)
-    exploded = leaves.explode_leaves(records.select("data_id", "title", "data"), rules=rules)
-    flat = leaves.last_write_wins(exploded.repartition("data_id"), ["data_id"])
-    mapped = shaping.map_fields(flat, dictionary, properties)
-    roled = shaping.classify_roles(mapped, roles)
+    ids = durable(keyed.select("_order", "data_id"), "ids")
+    changes = durable(numbering.collision_changes(ids, "data_id", "_order", key_bits=60), "changes")
+    records = keyed.join(changes, "_order", "left").withColumn("data_id", F.coalesce("new_id", "data_id"))
+    title = F.substring("title", 1, shaping.TITLE_WIDTH).alias("title")
+    exploded = leaves.explode_leaves(records.select("data_id", title, "data_producers", "data_organizations", "data"), rules=rules)
+    known = exploded.join(dictionary.filter("property_id IS NOT NULL").select("field"), "field", "left_semi")
+    flat = leaves.last_write_wins(known.repartition("data_id"), ["data_id"])
+    mapped = durable(shaping.classify_roles(shaping.map_fields(flat, dictionary, properties), roles), "mapped")
     values = shaping.merge_values(mapped, ["data_id"])
-    bits = shaping.role_bitmap(roled)
-    entities = records.select("data_id", F.substring("title", 1, shaping.TITLE_WIDTH).alias("title"),
-                              F.col("data_producers"), F.col("data_organizations")).join(bits, "data_id")
+    entities = shaping.role_bitmap(mapped, keys=["data_id", "title", "data_producers", "data_organizations"])
     return Loaded(entities, values)

@@ -215,8 +215,17 @@ class Tables:
             return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
         if name == "eav_value":
             return self._eav_value()
+        if name in ("docs_array", "docs_template"):
+            return self._documents(name)
         return self.sql(FIXTURES[name])
 
+    def _documents(self, name: str) -> DataFrame:
+        """Documents over all cores, as the scan of a document folder would give
+        them; the narrow source rows are spread before the JSON text is built."""
+        source = "orders" if name == "docs_array" else "customer"
+        spread = getattr(self, source).repartition(self.spark.sparkContext.defaultParallelism)
+        return self.spark.sql(FIXTURES[name], **{source: spread})
+
     def _eav_value(self) -> DataFrame:
         frames = [unpivot_to_eav(getattr(self, t), F.expr(data_id), {p: (n, F.expr(c)) for p, (n, c) in cells.items()})
                   for t, (data_id, cells) in PROPERTIES.items()]

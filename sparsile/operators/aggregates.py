@@ -61,6 +61,27 @@ def density(entities: DataFrame, properties: DataFrame, values: DataFrame) -> Da
     return base.withColumn("density", F.when(cells > 0, F.col("num_pairs") / cells).otherwise(F.lit(0.0)))
 
 
+def profile_counts(values: DataFrame) -> DataFrame:
+    """Both sparsity distributions in one pass: (kind, key, n).
+
+    ``entity``: n entities have key properties.  ``property``: n entities have
+    property key.  Values are shuffled once by entity into property-id sets
+    (bounded by the property dimension, combined map-side); what follows is as
+    small as the property dimension.
+    """
+    sets = values.groupBy("data_id").agg(F.collect_set("property_id").alias("ids"))
+    cell = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.cast("bigint").alias("key"))
+    cells = F.concat(F.array(cell("entity", F.size("ids"))), F.transform("ids", lambda p: cell("property", p)))
+    return sets.select(F.explode(cells).alias("c")).groupBy("c.kind", "c.key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def weighted_summary(counts: DataFrame, key: str = "key", n: str = "n") -> DataFrame:
+    """Mean, median, min and max of a value that occurs n times; 0 when empty."""
+    zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    return counts.agg(zero(F.sum(F.col(key) * F.col(n)) / F.sum(n)).alias("mean"), zero(F.percentile(key, F.lit(0.5), F.col(n))).alias("median"),
+                      zero(F.min(key)).alias("min"), zero(F.max(key)).alias("max"))
+
+
 def summary(df: DataFrame, col: str, by: list[str] | None = None) -> DataFrame:
     """Mean, median, min and max, 0 for an empty input."""
     zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
@@ -76,14 +97,14 @@ def runtime_summary(df: DataFrame, col: str, by: list[str]) -> DataFrame:
                                F.min(col).alias("min_ms"), F.max(col).alias("max_ms"), p95.alias("p95_ms"))
 
 
-def histogram(df: DataFrame, col: str, bins: str) -> DataFrame:
-    """Counts per named bin; empty bins show 0."""
+def histogram(df: DataFrame, col: str, bins: str, weight: str | None = None) -> DataFrame:
+    """Counts (or summed weights) per named bin; empty bins show 0."""
     spec = BINS[bins]
     label: Column | None = None
     for name, lo, hi in spec:
         test = F.col(col).between(lo, hi)
         label = F.when(test, name) if label is None else label.when(test, name)
-    counts = df.groupBy(label.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.groupBy(label.alias("bin")).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
     rows = ", ".join(f"({i}, '{name}')" for i, (name, _, _) in enumerate(spec))
     names = df.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS b(ord, bin)")
     return names.join(counts, "bin", "left").select("ord", "bin", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))

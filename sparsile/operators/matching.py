@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from sparsile.functions import phrases, sqltext
 from sparsile.functions.numeric import near
-from sparsile.sizing import fits_broadcast
 
 # Up to this many terms are tested in the row; more go through the seed join.
 INLINE_TERMS = 2_000
@@ -17,16 +16,16 @@ INLINE_TERMS = 2_000
 def terms_in_text(texts: DataFrame, terms: DataFrame, text: str = "text", max_inline: int = INLINE_TERMS) -> DataFrame:
     """Every (text row, term) where the term occurs in the text.
 
-    A checked small vocabulary is carried to the rows as an array, so texts never
-    move.  A larger one is joined on seeds: each text contributes its distinct
+    A vocabulary within the checked bound is carried to the rows as a literal array, so
+    texts never move.  A larger one is joined on seeds: each text contributes its distinct
     k-character pieces (k = shortest term), each term its first k characters, and
     the pair is then verified; whole texts are used either way.
     """
     vocabulary = terms.select("term").filter("term != ''").distinct()
-    if fits_broadcast(vocabulary, max_inline):
-        listed = vocabulary.agg(F.collect_list("term")).scalar()
-        return texts.withColumn("_terms", listed).select(
-            *texts.columns, F.explode(F.filter("_terms", lambda t: F.contains(F.col(text), t))).alias("term"))
+    few = vocabulary.limit(max_inline + 1).collect()
+    if len(few) <= max_inline:
+        listed = F.array(*[F.lit(r["term"]) for r in few]).cast("array<string>")
+        return texts.select(*texts.columns, F.explode(F.filter(listed, lambda t: F.contains(F.col(text), t))).alias("term"))
     k = vocabulary.agg(F.min(F.length("term"))).scalar()
     seeds = vocabulary.select("term", F.substr("term", F.lit(1), k).alias("_seed"))
     chars = texts.withColumn("_k", k).withColumn("_chars", F.split(text, "(?!^)"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparsile.session import durable
+
 DIGIT_BITS = 12
 
 
@@ -72,8 +72,9 @@ def collision_changes(ids: DataFrame, id_col: str, order_key: str, key_bits: int
 
 def resolve_id_collisions(records: DataFrame, id_col: str, order_key: str, key_bits: int = 48) -> DataFrame:
     """The first record of an id keeps it, every later one gets an unused id.
-    Only the changed ids are joined back; while they are few, records stay in place."""
-    changes = collision_changes(records.select(order_key, id_col), id_col, order_key, key_bits)
+    Ids are read once into the shared folder; only changed ids are joined back, so
+    while they are few, records stay in place."""
+    changes = collision_changes(durable(records.select(order_key, id_col), "ids"), id_col, order_key, key_bits)
     return records.join(changes, order_key, "left").withColumn(id_col, F.coalesce("new_id", id_col)).drop("new_id")
 
 

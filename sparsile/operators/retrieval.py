@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparsile.functions.numeric import any_part, compare, condition_holds, non_empty, to_decimal
-from sparsile.sizing import join_control
+from sparsile.sizing import BROADCAST_ROWS, join_control
 
 
 @dataclass(frozen=True)
@@ -108,7 +108,7 @@ def predicate_groups(predicates: DataFrame) -> DataFrame:
 
 
 def evaluate_predicates(values: DataFrame, predicates: DataFrame, entities: DataFrame | None = None,
-                        mode: str = "strict", bare_mode: str = "mysql") -> DataFrame:
+                        mode: str = "strict", bare_mode: str = "mysql", max_predicates: int = BROADCAST_ROWS) -> DataFrame:
     """All queries of a workload in one job: distinct (sample_id, data_id).
 
     Value rows meet the predicates of their property, failing pairs are dropped
@@ -116,10 +116,10 @@ def evaluate_predicates(values: DataFrame, predicates: DataFrame, entities: Data
     entity), whose groups hold at most one bit mask per property.
     """
     groups = predicate_groups(predicates)
-    keyed = values.select("data_id", "property_id", "value",
-                          to_decimal(F.col("value"), mode).alias("_num"), to_decimal(F.col("value"), bare_mode).alias("_bare"))
-    met = join_control(keyed, groups, "property_id", spread="data_id").filter(F.forall(
-        "conditions", lambda c: condition_holds(F.col("value"), F.col("_num"), F.col("_bare"), c["kind"], c["op"], c["lo"], c["hi"], c["text"])))
+    # numeric views are read inside the test, so text that only meets text tests is never parsed
+    value = F.col("value")
+    met = join_control(values.select("data_id", "property_id", "value"), groups, "property_id", spread="data_id", max_rows=max_predicates).filter(F.forall(
+        "conditions", lambda c: condition_holds(value, to_decimal(value, mode), to_decimal(value, bare_mode), c["kind"], c["op"], c["lo"], c["hi"], c["text"])))
     full = met.groupBy("sample_id", "clause", "data_id").agg(
         F.bit_or("_bit").alias("_mask"), F.first("_need").alias("_need")).filter("_mask = _need")
     hits = full.select("sample_id", "data_id").distinct()

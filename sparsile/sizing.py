@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 50_000
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads no more than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def local_copy(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
+    """``df`` as local rows when it has at most ``max_rows`` of them, else None.
+    Never more than ``max_rows`` + 1 rows reach the driver, and the plan behind a
+    control table runs once instead of once per use."""
+    table = df.limit(max_rows + 1).toArrow()
+    if table.num_rows > max_rows:
+        return None
+    return df.sparkSession.createDataFrame(table, schema=df.schema)
 
 
 def join_control(facts: DataFrame, control: DataFrame, key: str, spread: str,
@@ -23,8 +28,9 @@ def join_control(facts: DataFrame, control: DataFrame, key: str, spread: str,
     row takes the salt of its ``spread`` column: one hot key is then shared by
     ``salts`` tasks and every pair still meets exactly once.
     """
-    if fits_broadcast(control, max_rows):
-        return facts.join(F.broadcast(control), key)
+    small = local_copy(control, max_rows)
+    if small is not None:
+        return facts.join(F.broadcast(small), key)
     salted_facts = facts.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     salted_control = control.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted_facts.join(salted_control, [key, "_salt"]).drop("_salt")

@@ -290,15 +290,23 @@ def _(t):
     return workload.time_workload(t.spark, [(i, c, q) for i, c, q in region_queries(t, "v8")])[0]
 
 
-@register("v9_curate_samples", r"""SELECT row_number() OVER (ORDER BY s.sample_id) AS sample_id, md5(regexp_replace(sql, '(DECIMAL\(30, 15\)\) >) 0\.0', '\1 0.1')) AS sql_md5, natural_language FROM samples s JOIN (
-SELECT sample_id, q, score, max(score) OVER (PARTITION BY q) AS top, max(sample_id) OVER (PARTITION BY q) AS last FROM (
-SELECT sample_id, trim(regexp_replace(sql, '\s+', ' ', 'g')) AS q, CASE WHEN contains(natural_language, 'Brand') THEN 5 ELSE length(natural_language) % 3 END AS score FROM samples) a) b ON b.sample_id = s.sample_id AND score = top AND (top > 0 OR s.sample_id = last)""")
+# version 2 of the score: numbers of the query found in the question, range words, the literal
+_NUMBER_TEXT = "CASE WHEN n = floor(n) THEN CAST(CAST(n AS BIGINT) AS VARCHAR) WHEN n = round(n, 1) THEN printf('%.1f', n) ELSE printf('%.2f', n) END"
+SCORED_V2 = rf"""(SELECT sample_id, q, sql, natural_language, CAST(3 * (SELECT COUNT(*) FROM (SELECT DISTINCT CAST(unnest(regexp_extract_all(q, '(\d+\.?\d*)', 1)) AS DOUBLE) AS n) u WHERE n > 0.01 AND n < 1000000 AND contains(natural_language, {_NUMBER_TEXT}))
++ CASE WHEN contains(upper(q), 'BETWEEN') AND regexp_matches(natural_language, '之间|到') THEN 2 ELSE 0 END
++ CASE WHEN regexp_extract(q, '\w+\.value\s*=\s*''([^'']+)''', 1) <> '' AND contains(natural_language, regexp_extract(q, '\w+\.value\s*=\s*''([^'']+)''', 1)) THEN 5 ELSE 0 END AS INTEGER) AS score
+FROM (SELECT *, trim(regexp_replace(sql, '\s+', ' ', 'g')) AS q FROM samples) s)"""
+
+
+@register("t19_match_score_v2", f"SELECT sample_id, score FROM {SCORED_V2} x")
 def _(t):
-    from sparsile.operators.numbering import reindex
+    return workload.match_score(t.samples, 2).select("sample_id", "score")
 
-    scored = t.samples.withColumn("score", F.when(F.contains("natural_language", F.lit("Brand")), 5).otherwise(F.length("natural_language") % 3))
-    kept = reindex(workload.best_of_group(scored, 2)).withColumn("sql", sqltext.rewrite_zero_threshold(F.col("sql")))
-    return kept.select("sample_id", F.md5("sql").alias("sql_md5"), "natural_language")
+
+@register("v9_curate_samples", rf"""SELECT row_number() OVER (ORDER BY sample_id) AS sample_id, regexp_replace(sql, '(DECIMAL\(30, 15\)\) >) 0\.0', '\1 0.1') AS sql, natural_language FROM (
+SELECT *, max(score) OVER (PARTITION BY q) AS top, max(sample_id) OVER (PARTITION BY q) AS last FROM {SCORED_V2} x) y WHERE score = top AND (top > 0 OR sample_id = last)""")
+def _(t):
+    return workload.curate_samples(t.samples).select("sample_id", "sql", "natural_language")
 
 
 # ---- scoring ---------------------------------------------------------------

@@ -30,9 +30,12 @@ def role_rows(texts: DataFrame, column: str = "value") -> DataFrame:
     title lists a property under several roles the later role wins."""
     entry = "struct<object:array<int>,operate:array<int>,result:array<int>>"
     titles = texts.select(F.explode(F.from_json(column, f"map<string,{entry}>")).alias("title", "entry"))
-    lists = F.concat(*[F.transform(F.coalesce(F.col(f"entry.{r}"), F.array().cast("array<int>")),
-                                   lambda p, i=i, r=r: F.struct(p.alias("property_id"), F.lit(i).alias("rank"), F.lit(r).alias("role")))
-                       for i, r in enumerate(ROLES)])
+
+    def listed(rank: int, role: str):
+        ids = F.coalesce(F.col(f"entry.{role}"), F.array().cast("array<int>"))
+        return F.transform(ids, lambda p: F.struct(p.alias("property_id"), F.lit(rank).alias("rank"), F.lit(role).alias("role")))
+
+    lists = F.concat(*[listed(i, r) for i, r in enumerate(ROLES)])
     rows = titles.select("title", F.explode(lists).alias("r")).select("title", "r.*")
     return rows.groupBy("title", "property_id").agg(F.max_by("role", "rank").alias("role"))
 

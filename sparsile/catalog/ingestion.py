@@ -30,7 +30,7 @@ def _(t):
     return docs.select(F.md5("value").alias("doc_md5"), F.octet_length("value").cast("bigint").alias("n_bytes"))
 
 
-@register("s2_explode_array_envelope", "SELECT doc_no, CAST(pos AS INTEGER) AS pos, raw_id, title FROM x_record")
+@register("s2_explode_array_envelope", "SELECT doc_no, CAST(pos AS BIGINT) AS pos, raw_id, title FROM x_record")
 def _(t):
     return keyed_records(t).select("doc_no", "pos", "raw_id", "title")
 
@@ -38,7 +38,7 @@ def _(t):
 @register("s3_explode_template_envelope", """
 SELECT c_custkey AS doc_no, CAST(0 AS BIGINT) AS pos, c_custkey AS raw_id, 'K' AS title, c_name AS uploader, c_mktsegment AS seg FROM customer
 UNION ALL SELECT c_custkey, 2, c_custkey, 'K', c_name, 'second' FROM customer
-UNION ALL SELECT c_custkey, 1000000, c_custkey + 1000000, 'K', NULL, 'single' FROM customer""")
+UNION ALL SELECT c_custkey, 2147483648, c_custkey + 1000000, 'K', NULL, 'single' FROM customer""")
 def _(t):
     return json_docs.explode_template_envelope(t.docs_template).select(
         "doc_no", "pos", "raw_id", "title", "uploader", F.get_json_object("data", "$.seg").alias("seg"))
@@ -142,7 +142,7 @@ def order_leaves(t: Tables):
     return leaves.extract_leaves(keyed_records(t).select("doc_no", F.col("pos").alias("rec"), "data"), ["doc_no", "rec"])
 
 
-@register("n1_extract_leaves", "SELECT doc_no, CAST(pos AS INTEGER) AS rec, field, value FROM x_leaf")
+@register("n1_extract_leaves", "SELECT doc_no, CAST(pos AS BIGINT) AS rec, field, value FROM x_leaf")
 def _(t):
     return order_leaves(t).select("doc_no", "rec", "field", "value")
 
@@ -189,11 +189,11 @@ def _(t):
 
 
 @register("n11_metadata_projection", """
-SELECT doc_no, CAST(pos AS INTEGER) AS pos, left(title, 200) AS title, producer AS data_producers, '' AS data_organizations FROM x_record
-UNION ALL SELECT -1 - c_custkey, p, 'K', u, '' FROM (SELECT c_custkey, unnest([0, 2, 1000000]) AS p, unnest([c_name, c_name, '']) AS u FROM customer) q""")
+SELECT doc_no, CAST(pos AS BIGINT) AS pos, left(title, 200) AS title, producer AS data_producers, '' AS data_organizations FROM x_record
+UNION ALL SELECT -1 - c_custkey, p, 'K', u, '' FROM (SELECT c_custkey, unnest([0, 2, 2147483648]) AS p, unnest([c_name, c_name, '']) AS u FROM customer) q""")
 def _(t):
     docs = t.docs_array.unionAll(t.docs_template.select((-1 - F.col("doc_no")).alias("doc_no"), "value"))
-    return ingest.records_of(docs, RULES).select("doc_no", F.col("pos").cast("int").alias("pos"), F.substring("title", 1, 200).alias("title"), "data_producers", "data_organizations")
+    return ingest.records_of(docs, RULES).select("doc_no", "pos", F.substring("title", 1, 200).alias("title"), "data_producers", "data_organizations")
 
 
 @register("n11_truncate", "SELECT doc_id, left(text, 100) AS producer, left(text, 200) AS title, md5(left(text, 2000)) AS value_md5 FROM documents")
@@ -207,7 +207,7 @@ def mapped(t: Tables):
     return shaping.map_fields(order_leaves(t), t.field_dict, t.ingest_property)
 
 
-@register("n12_map_fields", """SELECT l.doc_no, CAST(l.pos AS INTEGER) AS rec, l.field, d.property_id, COALESCE(p.property_name, CAST(d.property_id AS VARCHAR)) AS property_name, l.value
+@register("n12_map_fields", """SELECT l.doc_no, CAST(l.pos AS BIGINT) AS rec, l.field, d.property_id, COALESCE(p.property_name, CAST(d.property_id AS VARCHAR)) AS property_name, l.value
 FROM x_leaf l JOIN field_dict d USING (field) LEFT JOIN ingest_property p ON p.property_id = d.property_id WHERE d.property_id IS NOT NULL""")
 def _(t):
     return mapped(t).select("doc_no", "rec", "field", "property_id", "property_name", "value")
@@ -300,11 +300,11 @@ def _(t):
 
 def resolved(t: Tables):
     raw = keyed_records(t).filter("raw_id IS NOT NULL").select(
-        "doc_no", "pos", (F.col("doc_no") * 2 + F.col("pos")).alias("order_key"), ids.normalize_id(F.col("raw_id")).alias("data_id"))
-    return numbering.resolve_id_collisions(raw, "data_id", "order_key")
+        "doc_no", "pos", ids.normalize_id(F.col("raw_id")).alias("data_id"))
+    return numbering.resolve_id_collisions(raw, "data_id", ["doc_no", "pos"])
 
 
-@register("n23_resolve_id_collisions", "SELECT doc_no, CAST(pos AS INTEGER) AS pos, data_id FROM x_resolved")
+@register("n23_resolve_id_collisions", "SELECT doc_no, CAST(pos AS BIGINT) AS pos, data_id FROM x_resolved")
 def _(t):
     return resolved(t).select("doc_no", "pos", "data_id")
 

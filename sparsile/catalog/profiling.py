@@ -90,6 +90,11 @@ def _(t):
     return rounded(A.runtime_summary(t.events, "value", ["event_type"]), "mean_ms", "median_ms", "p95_ms")
 
 
+@register("a6_exact_percentiles", "SELECT l_returnflag, round(median(l_extendedprice), 6) AS p50, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95 FROM lineitem GROUP BY 1")
+def _(t):
+    return rounded(numbering.exact_percentiles(t.lineitem, "l_extendedprice", ["l_returnflag"], {"p50": 0.5, "p95": 0.95}), "p50", "p95")
+
+
 def _histogram_check(bins: str, source: str, col: str) -> str:
     return " UNION ALL ".join(
         f"SELECT {i} AS ord, '{name}' AS bin, (SELECT COUNT(*) FROM {source} WHERE {col} BETWEEN {lo} AND {hi}) AS n" for i, (name, lo, hi) in enumerate(A.BINS[bins]))
@@ -204,12 +209,11 @@ def _(t):
 
 
 @register("w2_id_collision", """SELECT l_orderkey, rank_no, CASE WHEN d = 1 THEN k ELSE (SELECT max(l_partkey) FROM lineitem) + row_number() OVER (PARTITION BY d > 1 ORDER BY o) END AS data_id FROM (
-SELECT *, row_number() OVER (PARTITION BY k ORDER BY o) AS d FROM (SELECT l_orderkey, l_partkey AS k, rank_no, l_orderkey * 64 + rank_no AS o FROM (
+SELECT *, row_number() OVER (PARTITION BY k ORDER BY o) AS d FROM (SELECT l_orderkey, l_partkey AS k, rank_no, l_orderkey * 1000000 + rank_no AS o FROM (
 SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rank_no FROM lineitem) a) b) c""")
 def _(t):
     rows = t.order_result.select(F.col("sample_id").alias("l_orderkey"), F.col("pos").cast("bigint").alias("rank_no"), ((F.col("data_id") - 1000000) / 4).cast("bigint").alias("data_id"))
-    keyed = rows.withColumn("o", F.col("l_orderkey") * 64 + F.col("rank_no"))
-    return numbering.resolve_id_collisions(keyed, "data_id", "o").select("l_orderkey", "rank_no", "data_id")
+    return numbering.resolve_id_collisions(rows, "data_id", ["l_orderkey", "rank_no"]).select("l_orderkey", "rank_no", "data_id")
 
 
 def scored(t):

@@ -16,7 +16,7 @@ def needed_ids(results: DataFrame) -> DataFrame:
 
 
 def needed_records(records: DataFrame, results: DataFrame, key: str = "data_id") -> DataFrame:
-    return records.join(results.select(F.col("data_id").alias(key)), key, "left_semi")
+    return records.join(needed_ids(results).select(F.col("data_id").alias(key)), key, "left_semi")
 
 
 def missing_ids(results: DataFrame, records: DataFrame, key: str = "data_id") -> DataFrame:

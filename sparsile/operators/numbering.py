@@ -11,38 +11,70 @@ from sparsile.session import durable
 DIGIT_BITS = 12
 
 
-def dense_number(df: DataFrame, key: str, name: str, order_within: list[str] | None = None,
-                 partition_by: list[str] | None = None, key_bits: int = 48) -> DataFrame:
-    """Number rows 1..n by a non-negative integer ``key`` (ties by ``order_within``).
+def running_total(df: DataFrame, key: str, name: str, weight: str | None = None, order_within: list[str] | None = None,
+                  partition_by: list[str] | None = None, key_bits: int = 48) -> DataFrame:
+    """Running sum of ``weight`` (1 per row if None) in order of an integer ``key``,
+    ties by ``order_within``; the current row is included.
 
-    Keys are read as 12-bit digits.  Rows are numbered inside their lowest digit's
+    Keys are read as 12-bit digits.  Rows are summed inside their lowest digit's
     bucket, and each bucket starts where the one before it ends; bucket starts come
-    from counts, summed digit by digit.  Every window therefore sees at most 4096
+    from totals, summed digit by digit.  Every window therefore sees at most 4096
     siblings (times the rows that share one key).
     """
     group = partition_by or []
     bucket = "_b1"
+    amount = F.lit(1) if weight is None else F.col(weight)
     rows = df.withColumn(bucket, F.shiftright(F.col(key).cast("bigint"), DIGIT_BITS))
-    level_counts = [rows.groupBy(*group, bucket).agg(F.count(F.lit(1)).alias("_n"))]
+    level_totals = [rows.groupBy(*group, bucket).agg(F.sum(amount).alias("_n"))]
     levels = max(1, -(-key_bits // DIGIT_BITS) - 1)
     for depth in range(2, levels + 1):
         parent = f"_b{depth}"
-        counts = level_counts[-1].withColumn(parent, F.shiftright(F.col(f"_b{depth - 1}"), DIGIT_BITS))
-        level_counts[-1] = counts
-        level_counts.append(counts.groupBy(*group, parent).agg(F.sum("_n").alias("_n")))
+        totals = level_totals[-1].withColumn(parent, F.shiftright(F.col(f"_b{depth - 1}"), DIGIT_BITS))
+        level_totals[-1] = totals
+        level_totals.append(totals.groupBy(*group, parent).agg(F.sum("_n").alias("_n")))
     starts = None
     for depth in range(levels, 0, -1):
-        counts, own = level_counts[depth - 1], f"_b{depth}"
+        totals, own = level_totals[depth - 1], f"_b{depth}"
         siblings = [*group, f"_b{depth + 1}"] if depth < levels else group
         before = W.partitionBy(*siblings).orderBy(own).rowsBetween(W.unboundedPreceding, -1)
-        local = counts.withColumn("_local", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        local = totals.withColumn("_local", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         if starts is None:
             starts = local.select(*group, own, F.col("_local").alias("_start"))
         else:
             starts = local.join(starts, siblings).select(*group, own, (F.col("_local") + F.col("_start")).alias("_start"))
-    inside = W.partitionBy(*group, bucket).orderBy(key, *(order_within or []))
-    numbered = rows.withColumn("_in", F.row_number().over(inside)).join(starts, [*group, bucket])
-    return numbered.withColumn(name, (F.col("_in") + F.col("_start")).cast("bigint")).drop(bucket, "_in", "_start")
+    inside = W.partitionBy(*group, bucket).orderBy(key, *(order_within or [])).rowsBetween(W.unboundedPreceding, 0)
+    summed = rows.withColumn("_in", F.sum(amount).over(inside)).join(starts, [*group, bucket])
+    return summed.withColumn(name, (F.col("_in") + F.col("_start")).cast("bigint")).drop(bucket, "_in", "_start")
+
+
+def dense_number(df: DataFrame, key: str, name: str, order_within: list[str] | None = None,
+                 partition_by: list[str] | None = None, key_bits: int = 48) -> DataFrame:
+    """Number rows 1..n by an integer ``key``, ties by ``order_within``."""
+    return running_total(df, key, name, None, order_within, partition_by, key_bits)
+
+
+def exact_percentiles(df: DataFrame, col: str, by: list[str], shares: dict[str, float]) -> DataFrame:
+    """Continuous percentiles of a double column, for inputs of any size.
+
+    Equal values are counted first.  Values are then laid on an integer scale
+    between their group's extremes (which keeps their order), and a running total
+    of counts over that scale gives each value its ranks; a percentile is read
+    from the values at the two ranks around it.
+    """
+    counts = durable(df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_c")), "counts")
+    ends = counts.groupBy(*by).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"), F.sum("_c").alias("_total"))
+    position = (F.col(col) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * float((1 << 44) - 1)
+    scaled = counts.join(ends, by).withColumn("_key", F.coalesce(F.floor(position), F.lit(0)).cast("bigint"))
+    ranked = running_total(scaled, "_key", "_upto", "_c", [col], by)
+    aggregates = []
+    for name, share in shares.items():
+        target = (F.col("_total") - 1) * share
+        holds = lambda rank: (F.col("_upto") - F.col("_c") <= rank) & (rank < F.col("_upto"))
+        low, high = F.floor(target), F.ceil(target)
+        aggregates += [F.max(F.when(holds(low), F.col(col))).alias(f"_l_{name}"), F.max(F.when(holds(high), F.col(col))).alias(f"_h_{name}"),
+                       F.max(target - low).alias(f"_f_{name}")]
+    found = ranked.groupBy(*by).agg(*aggregates)
+    return found.select(*by, *[(F.col(f"_l_{n}") + (F.col(f"_h_{n}") - F.col(f"_l_{n}")) * F.col(f"_f_{n}")).alias(n) for n in shares])
 
 
 def assign_dataset_id(entities: DataFrame) -> DataFrame:
@@ -56,26 +88,27 @@ def assign_dataset_id(entities: DataFrame) -> DataFrame:
     return entities.drop("dataset_id").join(ids, "title", "left")
 
 
-def collision_changes(ids: DataFrame, id_col: str, order_key: str, key_bits: int = 48) -> DataFrame:
-    """(order_key, new id) of every record whose id was taken before it.
+def collision_changes(ids: DataFrame, id_col: str, order: list[str]) -> DataFrame:
+    """(order…, new_id) of every record whose id was taken before it.
 
-    ``order_key`` is a unique non-negative integer (load order).  New ids are
-    max(id) + 1, 2, … in load order.  First records are found by an aggregate and
-    matched back on the unique order key, so one id held by a third of all
-    records still spreads evenly.
+    ``order`` is the load order: a unique pair of integers (document, position) or
+    one unique integer.  New ids are max(id) + 1, 2, … in load order.  First
+    records are found by an aggregate and matched back on their unique place, so
+    one id held by a third of all records still spreads evenly.
     """
-    firsts = ids.groupBy(id_col).agg(F.min(order_key).alias(order_key))
-    later = ids.select(order_key).join(firsts.select(order_key), order_key, "left_anti")
+    firsts = ids.groupBy(id_col).agg(F.min(F.struct(*order)).alias("_at")).select("_at.*")
+    later = ids.select(*order).join(firsts, order, "left_anti")
     top = ids.agg(F.max(id_col)).scalar()
-    return dense_number(later, order_key, "_extra", key_bits=key_bits).select(order_key, (F.col("_extra") + top).alias("new_id"))
+    numbered = dense_number(later, order[0], "_extra", order_within=order[1:])
+    return numbered.select(*order, (F.col("_extra") + top).alias("new_id"))
 
 
-def resolve_id_collisions(records: DataFrame, id_col: str, order_key: str, key_bits: int = 48) -> DataFrame:
+def resolve_id_collisions(records: DataFrame, id_col: str, order: list[str]) -> DataFrame:
     """The first record of an id keeps it, every later one gets an unused id.
     Ids are read once into the shared folder; only changed ids are joined back, so
     while they are few, records stay in place."""
-    changes = collision_changes(durable(records.select(order_key, id_col), "ids"), id_col, order_key, key_bits)
-    return records.join(changes, order_key, "left").withColumn(id_col, F.coalesce("new_id", id_col)).drop("new_id")
+    changes = collision_changes(durable(records.select(*order, id_col), "ids"), id_col, order)
+    return records.join(changes, order, "left").withColumn(id_col, F.coalesce("new_id", id_col)).drop("new_id")
 
 
 def reindex(samples: DataFrame, key: str = "sample_id") -> DataFrame:

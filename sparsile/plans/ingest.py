@@ -33,7 +33,7 @@ def records_of(docs: DataFrame, rules: leaves.LeafRules = leaves.LeafRules()) ->
 def load(docs: DataFrame, order_key: str, dictionary: DataFrame, properties: DataFrame, roles: DataFrame,
          rules: leaves.LeafRules = leaves.LeafRules(), id_rule: str = "threshold") -> Loaded:
     """``docs`` is (order_key, value [, file_name]); ``order_key`` is a unique
-    non-negative integer giving the load order of documents.
+    integer giving the load order of documents.
 
     Documents are read twice: once for their ids, once for their leaves.  Both
     results are compact and kept in the shared folder, so neither the collision
@@ -41,11 +41,11 @@ def load(docs: DataFrame, order_key: str, dictionary: DataFrame, properties: Dat
     by record; the last-write aggregate and the merge reuse that partitioning.
     """
     keyed = records_of(docs, rules).filter("raw_id IS NOT NULL").withColumn(
-        "_order", F.shiftleft(F.col(order_key).cast("bigint"), 20) + F.col("pos")).withColumn(
         "data_id", normalize_id(F.col("raw_id"), id_rule, F.col("from_template")))
-    ids = durable(keyed.select("_order", "data_id"), "ids")
-    changes = durable(numbering.collision_changes(ids, "data_id", "_order", key_bits=60), "changes")
-    records = keyed.join(changes, "_order", "left").withColumn("data_id", F.coalesce("new_id", "data_id"))
+    order = [order_key, "pos"]
+    ids = durable(keyed.select(*order, "data_id"), "ids")
+    changes = durable(numbering.collision_changes(ids, "data_id", order), "changes")
+    records = keyed.join(changes, order, "left").withColumn("data_id", F.coalesce("new_id", "data_id"))
     title = F.substring("title", 1, shaping.TITLE_WIDTH).alias("title")
     exploded = leaves.explode_leaves(records.select("data_id", title, "data_producers", "data_organizations", "data"), rules=rules)
     known = exploded.join(dictionary.filter("property_id IS NOT NULL").select("field"), "field", "left_semi")

@@ -12,6 +12,7 @@ from sparsile.functions.numeric import satisfies
 from sparsile.operators import aggregates as A
 from sparsile.operators.matching import extract_conditions, lookup_ci, match_conditions, opposite
 from sparsile.operators.retrieval import evaluate_predicates, result_sizes
+from sparsile.sizing import join_control
 
 # Thresholds of the heuristic review.
 FEW_CONDITIONS = 2
@@ -90,12 +91,12 @@ def verify_results(samples: DataFrame, stored: DataFrame, values: DataFrame) ->
     numeric = conditions.filter("clause = 0 AND kind IN ('num', 'between')").select(
         "sample_id", "property_id", F.when(F.col("kind") == "between", "BETWEEN").otherwise(F.col("op")).alias("op"),
         F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"))
-    checked = stored.join(numeric, "sample_id").join(values.select("data_id", "property_id", "value"), ["data_id", "property_id"])
+    checked = join_control(stored, numeric, "sample_id", spread="data_id").join(values.select("data_id", "property_id", "value"), ["data_id", "property_id"])
     bad = checked.filter(satisfies(F.col("value"), F.col("op"), F.col("lo"), F.col("hi")) == F.lit(False))
     unknown = stored.join(values.select("data_id"), "data_id", "left_anti")
     issue = lambda df, name: df.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n")).select("sample_id", F.lit(name).alias("issue"), "n")
     none = plain.join(conditions.select("sample_id"), "sample_id", "left_anti")
-    empty = plain.join(stored.select("sample_id"), "sample_id", "left_anti")
+    empty = plain.join(stored.select("sample_id").distinct(), "sample_id", "left_anti")
     return reduce(DataFrame.unionByName, [issue(bad, "value_violation"), issue(unknown, "no_record"),
                                           issue(none, "no_conditions"), issue(empty, "empty_data")])
 

@@ -37,7 +37,7 @@ def explode_array_envelope(docs: DataFrame, value: str = "value") -> DataFrame:
     keep = [c for c in docs.columns if c != value]
     title = F.col("item.title") if "file_name" not in keep else F.coalesce("item.title", "file_name")
     return items.filter(F.col("item.data").isNotNull()).select(
-        *keep, "pos", F.col("item._meta_id").alias("raw_id"), title.alias("title"), F.col("item.data").alias("data"),
+        *keep, F.col("pos").cast("bigint").alias("pos"), F.col("item._meta_id").alias("raw_id"), title.alias("title"), F.col("item.data").alias("data"),
         F.lit(None).cast("string").alias("uploader"), F.lit(False).alias("from_template"))
 
 
@@ -60,7 +60,7 @@ def explode_template_envelope(docs: DataFrame, value: str = "value") -> DataFram
     rows = items.select(*keep, "title", "outer_pos", F.col("item.meta").alias("meta"),
                         F.posexplode_outer(F.arrays_zip(texts, objects)).alias("inner_pos", "sub"))
     return rows.filter("sub.is_object").select(
-        *keep, (F.col("outer_pos").cast("bigint") * 1_000_000 + F.col("inner_pos")).alias("pos"),
+        *keep, (F.shiftleft(F.col("outer_pos").cast("bigint"), 31) + F.col("inner_pos")).alias("pos"),
         F.element_at("meta", F.lit(ID_KEY)).try_cast("bigint").alias("raw_id"), "title",
         F.col("sub.text").alias("data"), F.element_at("meta", F.lit(UPLOADER_KEY)).alias("uploader"),
         F.lit(True).alias("from_template"))

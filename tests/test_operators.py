@@ -131,13 +131,21 @@ def test_dense_number_matches_row_number(spark):
 
 def test_collisions_with_one_hot_id(spark):
     rows = [(10 if i % 3 == 0 else i + 100, i) for i in range(3000)]
-    out = numbering.resolve_id_collisions(spark.createDataFrame(rows, "id long, o long"), "id", "o").collect()
+    out = numbering.resolve_id_collisions(spark.createDataFrame(rows, "id long, o long"), "id", ["o"]).collect()
     assert len({r.id for r in out}) == 3000 and {r.o: r.id for r in out}[0] == 10
     moved = sorted((r.o, r.id) for r in out if r.o % 3 == 0 and r.o)
     top = max(i for i, _ in rows)
     assert [i for _, i in moved] == list(range(top + 1, top + 1 + len(moved)))
 
 
+def test_exact_percentiles_with_one_hot_value(spark):
+    rows = [("a", 5.0)] * 500 + [("a", float(i) / 7) for i in range(1000)] + [("b", 3.5)]
+    frame = spark.createDataFrame(rows, "g string, v double")
+    ours = {r.g: (r.p50, r.p95) for r in numbering.exact_percentiles(frame, "v", ["g"], {"p50": 0.5, "p95": 0.95}).collect()}
+    theirs = {r.g: (r.p50, r.p95) for r in frame.groupBy("g").agg(F.median("v").alias("p50"), F.percentile("v", F.lit(0.95)).alias("p95")).collect()}
+    assert ours == {g: pytest.approx(v) for g, v in theirs.items()}
+
+
 def test_packed_results_keep_every_id(spark):
     results = spark.range(10000).select(F.lit(1).cast("long").alias("sample_id"), (F.col("id") * 3).alias("data_id"))
     packed = reports.pack_results(results, chunk=1000).orderBy("chunk").collect()

@@ -50,27 +50,34 @@ def non_empty(value: Column) -> Column:
     return value.isNotNull() & (value != "")
 
 
-def condition_holds(value: Column, num: Column, bare: Column, kind: Column, op: Column,
-                    lo: Column, hi: Column, text: Column) -> Column:
-    """Does one condition hold for one value?  All arguments are columns, so the
-    same rule serves literal conditions and a joined table of conditions.
-
-    ``num`` is the numeric view used by CAST conditions, ``bare`` the one used
-    where text is compared with a number without CAST.
-    """
-    return F.coalesce(
-        F.when(kind == "num", compare(num, op, lo))
-        .when(kind == "between", num.between(lo, hi))
-        .when(kind == "str", compare(value, op, text))
-        .when(kind == "like", F.like(value, text))
-        .when(kind == "not_like", ~F.like(value, text))
-        .when(kind == "bare", compare(bare, op, lo))
-        .when(kind == "bare_between", bare.between(lo, hi))
-        .when(kind == "non_empty", value != "")
-        .when(kind == "not_null", value.isNotNull())
-        .when(kind == "any", F.lit(True)),
-        F.lit(False),
-    )
+# value test per condition kind; ``num`` is the numeric view of CAST conditions, ``bare``
+# the one used where text is compared with a number without CAST
+TESTS = {
+    "num": lambda value, num, bare, op, lo, hi, text: compare(num(), op, lo),
+    "between": lambda value, num, bare, op, lo, hi, text: num().between(lo, hi),
+    "str": lambda value, num, bare, op, lo, hi, text: compare(value, op, text),
+    "like": lambda value, num, bare, op, lo, hi, text: F.like(value, text),
+    "not_like": lambda value, num, bare, op, lo, hi, text: ~F.like(value, text),
+    "bare": lambda value, num, bare, op, lo, hi, text: compare(bare(), op, lo),
+    "bare_between": lambda value, num, bare, op, lo, hi, text: bare().between(lo, hi),
+    "non_empty": lambda value, num, bare, op, lo, hi, text: value != "",
+    "not_null": lambda value, num, bare, op, lo, hi, text: value.isNotNull(),
+    "any": lambda value, num, bare, op, lo, hi, text: F.lit(True),
+}
+
+
+def condition_holds(value: Column, kind: Column | str, op: Column | str, lo: Column, hi: Column, text: Column,
+                    mode: str = "strict", bare_mode: str = "mysql") -> Column:
+    """Does one condition hold for one value?  A literal ``kind`` gives its test
+    alone; a column of kinds chooses among the same tests per row, and only the
+    chosen test reads the value as a number."""
+    arguments = (value, lambda: to_decimal(value, mode), lambda: to_decimal(value, bare_mode), op, lo, hi, text)
+    if isinstance(kind, str):
+        return F.coalesce(TESTS[kind](*arguments), F.lit(False))
+    chosen = None
+    for name, build in TESTS.items():
+        chosen = F.when(kind == name, build(*arguments)) if chosen is None else chosen.when(kind == name, build(*arguments))
+    return F.coalesce(chosen, F.lit(False))
 
 
 def near(a: Column, b: Column, tol: float = TOLERANCE) -> Column:

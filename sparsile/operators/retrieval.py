@@ -31,9 +31,8 @@ def _number(x) -> Column:
 
 
 def test(value: Column, c: Condition, mode: str = "strict", bare_mode: str = "mysql") -> Column:
-    """The condition's value test; the literal kind leaves a single branch after folding."""
-    return condition_holds(value, to_decimal(value, mode), to_decimal(value, bare_mode), F.lit(c.kind), F.lit(c.op),
-                           _number(c.lo), _number(c.hi), F.lit(c.text))
+    """The value test of one literal condition."""
+    return condition_holds(value, c.kind, c.op, _number(c.lo), _number(c.hi), F.lit(c.text), mode, bare_mode)
 
 
 def has_property(values: DataFrame, property_id: int) -> DataFrame:
@@ -64,6 +63,8 @@ def matching_ids(values: DataFrame, clauses: list[list[Condition]], mode: str =
     flat = list(dict.fromkeys(c for clause in clauses for c in clause))
     if len(flat) > 63:
         raise ValueError("more than 63 distinct conditions; use evaluate_predicates")
+    if len(flat) == 1:
+        return matching_values(values, flat[0], mode).select("data_id").distinct()
     bits = {c: 1 << i for i, c in enumerate(flat)}
     tests = {c: (F.col("property_id") == c.property_id) & test(F.col("value"), c, mode) for c in flat}
     wanted = F.col("property_id").isin(sorted({c.property_id for c in flat}))
@@ -81,8 +82,7 @@ def retrieve(entities: DataFrame, values: DataFrame, conditions: list[Condition]
 
 
 def retrieve_any(entities: DataFrame, values: DataFrame, clauses: list[list[Condition]], mode: str = "strict") -> DataFrame:
-    ids = matching_ids(values, clauses, mode)
-    return sort_ids(entities.select("data_id").join(ids, "data_id", "left_semi").distinct())
+    return sort_ids(matching_ids(values, clauses, mode).join(entities.select("data_id"), "data_id", "left_semi"))
 
 
 def sort_ids(ids: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def evaluate_predicates(values: DataFrame, predicates: DataFrame, entities: Data
     # numeric views are read inside the test, so text that only meets text tests is never parsed
     value = F.col("value")
     met = join_control(values.select("data_id", "property_id", "value"), groups, "property_id", spread="data_id", max_rows=max_predicates).filter(F.forall(
-        "conditions", lambda c: condition_holds(value, to_decimal(value, mode), to_decimal(value, bare_mode), c["kind"], c["op"], c["lo"], c["hi"], c["text"])))
+        "conditions", lambda c: condition_holds(value, c["kind"], c["op"], c["lo"], c["hi"], c["text"], mode, bare_mode)))
     full = met.groupBy("sample_id", "clause", "data_id").agg(
         F.bit_or("_bit").alias("_mask"), F.first("_need").alias("_need")).filter("_mask = _need")
     hits = full.select("sample_id", "data_id").distinct()

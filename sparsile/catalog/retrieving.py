@@ -316,7 +316,7 @@ def _(t):
     return enrich.overlay([t.customer.select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v")), t.supplier.select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("v"))], "k")
 
 
-@register("x5_union_properties", "SELECT 'greater' AS boundary, 2::BIGINT AS n_properties UNION ALL SELECT 'greater_equal', 2 UNION ALL SELECT 'less', 2 UNION ALL SELECT 'less_equal', 2 UNION ALL SELECT 'range', 2")
+@register("x5_union_properties", "SELECT CASE n_nationkey % 5 WHEN 0 THEN 'greater' WHEN 1 THEN 'greater_equal' WHEN 2 THEN 'less' WHEN 3 THEN 'less_equal' ELSE 'range' END AS boundary, COUNT(DISTINCT p) AS n_properties FROM nation, (VALUES (22), (23)) v(p) GROUP BY 1")
 def _(t):
     return validation.boundary_properties(t.nation_samples)
 

@@ -11,28 +11,37 @@ from sparsile.functions.numeric import near
 
 # Up to this many terms are tested in the row; more go through the seed join.
 INLINE_TERMS = 2_000
+SEED_LENGTH = 4
 
 
-def terms_in_text(texts: DataFrame, terms: DataFrame, text: str = "text", max_inline: int = INLINE_TERMS) -> DataFrame:
+def terms_in_text(texts: DataFrame, terms: DataFrame, text: str = "text", key: str | None = None,
+                  max_inline: int = INLINE_TERMS) -> DataFrame:
     """Every (text row, term) where the term occurs in the text.
 
     A vocabulary within the checked bound is carried to the rows as a literal array, so
-    texts never move.  A larger one is joined on seeds: each text contributes its distinct
-    k-character pieces (k = shortest term), each term its first k characters, and
-    the pair is then verified; whole texts are used either way.
+    texts never move.  A larger one is joined on seeds: each text gives its distinct
+    pieces of up to four characters, each term its first four (or all) characters.  Only
+    (key, piece) pairs are joined; the texts of matching pairs are then fetched by
+    ``key`` (unique, the first column by default) and the pair is verified on the whole text.
     """
     vocabulary = terms.select("term").filter("term != ''").distinct()
     few = vocabulary.limit(max_inline + 1).collect()
     if len(few) <= max_inline:
         listed = F.array(*[F.lit(r["term"]) for r in few]).cast("array<string>")
         return texts.select(*texts.columns, F.explode(F.filter(listed, lambda t: F.contains(F.col(text), t))).alias("term"))
-    k = vocabulary.agg(F.min(F.length("term"))).scalar()
-    seeds = vocabulary.select("term", F.substr("term", F.lit(1), k).alias("_seed"))
-    chars = texts.withColumn("_k", k).withColumn("_chars", F.split(text, "(?!^)"))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("_chars") - F.col("_k") + 1, F.lit(1)))
-    pieces = F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice("_chars", i, F.col("_k")), "")))
-    seeded = chars.select(*texts.columns, F.explode(pieces).alias("_seed"))
-    return seeded.join(seeds, "_seed").filter(F.contains(F.col(text), F.col("term"))).select(*texts.columns, "term")
+    key = key or texts.columns[0]
+    length = F.least(F.length("term"), F.lit(SEED_LENGTH))
+    seeds = vocabulary.select("term", F.substr("term", F.lit(1), length).alias("_seed"))
+    used = [r["k"] for r in vocabulary.select(length.alias("k")).distinct().collect()]  # at most SEED_LENGTH rows
+    chars = texts.select(key, F.split(text, "(?!^)").alias("_chars"))
+
+    def pieces(k: int):
+        starts = F.sequence(F.lit(1), F.greatest(F.size("_chars") - k + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.array_join(F.slice("_chars", i, k), ""))
+
+    seeded = chars.select(key, F.explode(F.array_distinct(F.concat(*[pieces(k) for k in used]))).alias("_seed"))
+    candidates = seeded.join(seeds, "_seed").select(key, "term")
+    return texts.join(candidates, key).filter(F.contains(F.col(text), F.col("term"))).select(*texts.columns, "term")
 
 
 def term_usage(terms: DataFrame, found: DataFrame) -> DataFrame:
@@ -70,7 +79,7 @@ def text_conditions(questions: DataFrame, terms: DataFrame, key: str = "sample_i
     global row of the same term for questions of that dataset.
     """
     usable = questions.select(key, title, text)
-    spans = term_spans(terms_in_text(usable, terms, text), key, text).filter("condition IS NOT NULL")
+    spans = term_spans(terms_in_text(usable, terms, text, key), key, text).filter("condition IS NOT NULL")
     general = terms.filter("title IS NULL").select("term", F.col("property_id").alias("_general"))
     special = terms.filter("title IS NOT NULL").select("term", F.col("title").alias(title), F.col("property_id").alias("_special"))
     return spans.join(general, "term", "left").join(special, ["term", title], "left").select(

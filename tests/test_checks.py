@@ -5,8 +5,9 @@ from compare import connect, difference
 from conftest import FOLDER
 
 from __spark_entry__ import entry, oracle_sql, queries
+from sparsile.catalog.registry import QUERIES
 
-NAMES = sorted(queries())
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="session")

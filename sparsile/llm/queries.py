@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparsile.llm import gam, line_crf, oph, pareto_mix, rendezvous, trigram_scan
+from sparsile.llm import gam, line_crf, oph, pareto_mix, piece_codec, rendezvous, token_frames, trigram_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -41,6 +41,11 @@ def op1_line_crf(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("content_share") >= line_crf.MIN_SHARE))
 
 
+@query()
+def op2_token_frames(spark: SparkSession, folder: str) -> DataFrame:
+    return token_frames.read_tokens(token_frames.write_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 @query()
 def op3_additive_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
@@ -91,3 +96,9 @@ def op7_trigram_secrets(spark: SparkSession, folder: str) -> DataFrame:
     kinds = [r.kind for r in trigram_scan.BASE_RULES]
     base = F.filter("s", lambda x: x["kind"].isin(kinds))
     return found.select("doc_id", *[number(k) for k in kinds], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("s")).alias("spans"))
+
+
+@query()
+def op9_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return docs.select("doc_id", piece_codec.round_trip(F.col("text"), public_tokenizers.path("piece_bpe_32k.model")).alias("r")).select("doc_id", "r.*")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparsile.llm import gam, line_crf, oph, pareto_mix, piece_codec, rendezvous, token_frames, trigram_scan
+from sparsile.llm import chosen_path, gam, line_crf, oph, pareto_mix, piece_codec, rendezvous, token_frames, trigram_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -102,3 +102,8 @@ def op7_trigram_secrets(spark: SparkSession, folder: str) -> DataFrame:
 def op9_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return docs.select("doc_id", piece_codec.round_trip(F.col("text"), public_tokenizers.path("piece_bpe_32k.model")).alias("r")).select("doc_id", "r.*")
+
+
+@query()
+def op10_chosen_path(spark: SparkSession, folder: str) -> DataFrame:
+    return chosen_path.similarity_join(table(spark, folder, "documents"))

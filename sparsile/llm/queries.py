@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparsile.llm import chosen_path, gam, line_crf, oph, pareto_mix, piece_codec, rendezvous, token_frames, trigram_scan
+from sparsile.llm import chosen_path, gam, line_crf, oph, pareto_mix, piece_codec, rendezvous, suffix_tree, token_frames, trigram_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -107,3 +107,11 @@ def op9_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_chosen_path(spark: SparkSession, folder: str) -> DataFrame:
     return chosen_path.similarity_join(table(spark, folder, "documents"))
+
+
+@query()
+def op8_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(remainder("doc_id", 5) == 1, F.lit(False))
+    rows = suffix_tree.train_and_score(docs, ~held_out)
+    return rows.select("doc_id", F.coalesce(remainder("doc_id", 5) == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

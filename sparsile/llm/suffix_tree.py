@@ -5,7 +5,7 @@ UTF-8 bytes, the blank and the end mark, so the tree gives every possible text a
 up to ``DEPTH`` symbols before the next one.  It becomes a state if it holds at least ``SHARE`` of all training symbols
 and its next-symbol distribution diverges from its parent's (the context without its oldest symbol): count times
 Kullback-Leibler divergence above ``DIVERGENCE`` nats.  A state's distribution is its counts, smoothed towards its
-parent's; symbols seen too rarely in a state are left to the parent's share.  A symbol is scored in the longest suffix
+parent's with a weight of ``BACKING`` per distinct symbol; symbols seen too rarely in a state are left to the parent's share.  A symbol is scored in the longest suffix
 of what stands before it that is a state, in a row from the root.
 
 Counts cover every training document.  The tree is bounded by its parameters, not by the corpus: a level has at most
@@ -36,7 +36,7 @@ from sparsile.session import durable
 DEPTH = 6
 SHARE = 1e-6
 DIVERGENCE = 8.0
-BACKING = 2.0
+BACKING = 1.0
 HEAVY = 1e-6
 KEPT_GRAMS = 3_000_000
 KEPT_WORDS = 400_000
@@ -157,7 +157,7 @@ def grow(gram_counts: DataFrame, depth: int = DEPTH, share: float = SHARE, diver
     least = max(share * total, 2.0)
     levels = [F.struct(F.lit(k).alias("level"), F.col("gram").bitwiseAND(mask(k)).alias("key")) for k in range(depth + 1)]
     nodes = gram_counts.withColumn("x", F.explode(F.array(*levels))).groupBy("x.level", "x.key").agg(F.sum("c").alias("c")).withColumn("context", F.shiftright("key", 8))
-    sums = nodes.groupBy("level", "context").agg(F.sum("c").alias("n"))
+    sums = nodes.groupBy("level", "context").agg(F.sum("c").alias("n"), (backing * F.count(F.lit(1))).alias("back"))
     # frequent contexts only: at most 1 / share per level
     wide = nodes.join(sums.filter(F.col("n") >= least), ["level", "context"])
     nodes_kept = durable(wide, "contexts")
@@ -167,9 +167,9 @@ def grow(gram_counts: DataFrame, depth: int = DEPTH, share: float = SHARE, diver
     gains = pairs.groupBy("level", "context").agg(F.sum(F.col("c") * F.log(F.col("c") / F.col("n") / F.col("q"))).alias("gain"))
     good = gains.filter(F.col("gain") >= divergence).select("level", "context")
     kept = nodes_kept.filter("level > 0").join(good, ["level", "context"]).withColumn("keep", F.col("c") >= least / 10)
-    states = kept.groupBy("level", "context").agg(((backing + F.sum(F.when(F.col("keep"), 0).otherwise(F.col("c")))) / (F.first("n") + backing)).alias("left"))
+    states = kept.groupBy("level", "context").agg(((F.first("back") + F.sum(F.when(F.col("keep"), 0).otherwise(F.col("c")))) / (F.first("n") + F.first("back"))).alias("left"))
     state_rows = states.toPandas()
-    entry_rows = kept.filter("keep").select("level", "key", (F.col("c") / (F.col("n") + backing)).alias("share")).toPandas()
+    entry_rows = kept.filter("keep").select("level", "key", (F.col("c") / (F.col("n") + F.col("back"))).alias("share")).toPandas()
     out_states, out_entries = [], []
     alive: np.ndarray | None = None
     for level in range(1, depth + 1):

@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparsile.session import durable
+from sparsile.sizing import local_copy
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -62,17 +63,27 @@ def sampling_cuts(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     plan = targets.withColumn("copies", F.floor(share)).withColumn("p", share - F.col("copies")).withColumn("owed", F.col("target") - F.col("copies") * F.col("source_size"))
     # equal draws are one draw; p is one number per source, so ranks order as draws do
     draws = sizes.groupBy("source", "u").agg(F.sum("size").alias("size")).withColumn("bucket", F.floor(F.col("u") * buckets))
-    sums = draws.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
+    sums = draws.groupBy("source", "bucket").agg(F.sum("size").alias("n"), F.max("u").alias("top"))
     earlier = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = sums.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    last = starts.join(plan.select(F.col("source").alias("s"), "p", "owed"), F.col("source").eqNullSafe(F.col("s"))).filter(
-        (F.col("p") > 0) & (F.col("before") < F.col("owed"))).select("s", F.col("bucket").alias("b"), "before", "p", "owed")
+    starts = sums.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).withColumn("below", F.max("top").over(earlier))
+    own = plan.filter("p > 0").select(F.col("source").alias("s"), "p", "owed")
+    same = F.col("source").eqNullSafe(F.col("s"))
+    # the bucket in which a quota ends; all buckets before it are taken whole
+    ends = _by_source(starts, own, same).filter(F.col("before") < F.col("owed")).groupBy("s").agg(F.max(F.struct("bucket", "before", "below", "p", "owed")).alias("e")).select(
+        "s", F.col("e.bucket").alias("b"), "e.before", "e.below", "e.p", "e.owed")
     rank = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-    inside = W.partitionBy("source", "bucket").orderBy("rank", "u").rowsBetween(W.unboundedPreceding, -1)
-    taken = (draws.join(last, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn("rank", rank)
-             .withColumn("upto", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("size") / 2)
-             .filter(F.col("upto") <= F.col("owed")).groupBy("s").agg(F.max("u").alias("cut")))
-    return plan.join(taken, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "copies", F.coalesce("cut", F.lit(-1.0)).alias("cut"))
+    inside = W.partitionBy("source").orderBy("rank", "u").rowsBetween(W.unboundedPreceding, -1)
+    last = (_by_source(draws, ends.select("s", "b", "before", "p", "owed"), same & (F.col("bucket") == F.col("b"))).withColumn("rank", rank)
+            .withColumn("upto", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("size") / 2)
+            .filter(F.col("upto") <= F.col("owed")).groupBy("s").agg(F.max("u").alias("last")))
+    cuts = ends.select("s", "below").join(last.withColumnRenamed("s", "t"), F.col("s").eqNullSafe(F.col("t")), "left").select("s", F.greatest("last", "below").alias("cut"))
+    return durable(plan.join(cuts, same, "left").select("source", "source_size", "target", "copies", F.coalesce("cut", F.lit(-1.0)).alias("cut")), "cuts")
+
+
+def _by_source(rows: DataFrame, table: DataFrame, match: Column) -> DataFrame:
+    """Join a table of one row per source; it is broadcast once it has proved small, so hot sources stay spread."""
+    small = local_copy(table)
+    return rows.join(table if small is None else F.broadcast(small), match)
 
 
 def _measured(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
@@ -84,7 +95,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, k
     sizes = durable(_measured(docs, key, text, source), "sizes")
     cuts = sampling_cuts(sizes, source_targets(sizes, weights, most)).withColumnRenamed("source", "s")
     copies = F.col("copies") + (F.col("u") <= F.col("cut")).cast("int")
-    return sizes.join(cuts, F.col("source").eqNullSafe(F.col("s"))).select(
+    return _by_source(sizes, cuts, F.col("source").eqNullSafe(F.col("s"))).select(
         F.col("key").alias(key), "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"))
 
 
@@ -94,5 +105,5 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     sizes = durable(_measured(docs, key, text, source), "sizes")
     cuts = sampling_cuts(sizes, source_targets(sizes, weights, most)).select(F.col("source").alias("_s"), "copies", "cut")
     copies = (F.col("copies") + (draw(F.col(key), F.col(text)) <= F.col("cut")).cast("int")).cast("int")
-    joined = docs.join(cuts, F.col(source).eqNullSafe(F.col("_s"))).withColumn("_times", F.when(word_count(F.col(text)) > 0, copies).otherwise(0))
+    joined = _by_source(docs, cuts, F.col(source).eqNullSafe(F.col("_s"))).withColumn("_times", F.when(word_count(F.col(text)) > 0, copies).otherwise(0))
     return joined.filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

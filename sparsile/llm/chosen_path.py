@@ -13,7 +13,7 @@ pairs.  Inside a bucket the coordinates' agreement rules pairs out (a pair at th
 one in a million); the rest are verified on their whole shingle sets.
 
 Defined results: null counts as empty; all texts without words form one class (of copies); a text of fewer than five words
-has one shingle; the class id is the least key of the class (nulls last); links of a document count every other document
+has one shingle; the class id is the least key of the class (nulls last, then the least hash of the text); links of a document count every other document
 whose set has at least the threshold's similarity, copies included.
 """
 
@@ -276,8 +276,9 @@ def _leaves(sets: DataFrame, runs: int) -> DataFrame:
     return leaves
 
 
-def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, class_id, n_links) of every document."""
+def _classes(docs: DataFrame, threshold: float, recall: float, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(key, hash, id) of every row, and (id, class_id, n_links, keep) of every distinct set; ``keep`` is the
+    (key, hash) that stands for the class."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     key_type = docs.schema[key].dataType.simpleString()
@@ -307,7 +308,24 @@ def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = connected(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
-    named = sets.select("id", "key", "copies").join(links, "id", "left").join(roots.withColumnRenamed("u", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    classes = named.groupBy("root").agg(F.min("key").alias("class_id"))
-    by_set = named.join(classes, "root").select("id", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"))
-    return summaries.select("key", "id").join(by_set, "id").select(F.col("key").alias(key), "class_id", "n_links")
+    named = sets.select("id", "key", "hash", "copies").join(links, "id", "left").join(roots.withColumnRenamed("u", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    classes = named.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "hash")).alias("keep"))
+    by_set = named.join(classes, "root").select("id", F.col("keep.key").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), "keep")
+    return summaries.select("key", "hash", "id"), by_set
+
+
+def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, class_id, n_links) of every document."""
+    rows, by_set = _classes(docs, threshold, recall, key, text)
+    return rows.join(by_set, "id").select(F.col("key").alias(key), "class_id", "n_links")
+
+
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that stand for their classes, one of each, with all their columns."""
+    rows, by_set = _classes(docs, threshold, recall, key, text)
+    kept = by_set.select("keep.key", "keep.hash").distinct()
+    packed = docs.select(F.struct("*").alias("row"), F.col(key).alias("k"), F.xxhash64(text).alias("h"))  # other columns may have any names
+    found = packed.join(kept, F.col("k").eqNullSafe(F.col("key")) & F.col("h").eqNullSafe(F.col("hash")), "left_semi")
+    if not rows.groupBy("key", "hash").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").isEmpty():  # rows equal in key and text
+        found = found.dropDuplicates(["k", "h"])
+    return found.select("row.*")

@@ -103,7 +103,8 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     """The documents of the mix, each as often as the mix takes it.  Only the table of cuts, one row per
     source, is joined to the texts; documents without words are in no source's quota and go."""
     sizes = durable(_measured(docs, key, text, source), "sizes")
-    cuts = sampling_cuts(sizes, source_targets(sizes, weights, most)).select(F.col("source").alias("_s"), "copies", "cut")
-    copies = (F.col("copies") + (draw(F.col(key), F.col(text)) <= F.col("cut")).cast("int")).cast("int")
-    joined = _by_source(docs, cuts, F.col(source).eqNullSafe(F.col("_s"))).withColumn("_times", F.when(word_count(F.col(text)) > 0, copies).otherwise(0))
-    return joined.filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    cuts = sampling_cuts(sizes, source_targets(sizes, weights, most)).select(F.col("source").alias("s"), "copies", "cut")
+    packed = docs.select(F.struct("*").alias("row"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), draw(F.col(key), F.col(text)).alias("u"))  # other columns may have any names
+    copies = (F.col("copies") + (F.col("u") <= F.col("cut")).cast("int")).cast("int")
+    times = _by_source(packed, cuts, F.col("source").eqNullSafe(F.col("s"))).filter("size > 0").select("row", copies.alias("times")).filter("times > 0")
+    return times.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

@@ -156,9 +156,9 @@ def _(t):
 def _leaf_query(name: str, fields: list[str]):
     quoted = ", ".join(f"'{f}'" for f in fields)
 
-    @register(name, f"SELECT doc_no, field, value FROM x_leaf WHERE pos = 0 AND field IN ({quoted})")
+    @register(name, f"SELECT doc_no, CAST(pos AS BIGINT) AS pos, field, value FROM x_leaf WHERE field IN ({quoted})")
     def _(t):
-        return order_leaves(t).filter(F.col("rec") == 0).filter(F.col("field").isin(fields)).select("doc_no", "field", "value")
+        return order_leaves(t).filter(F.col("field").isin(fields)).select("doc_no", F.col("rec").cast("bigint").alias("pos"), "field", "value")
 
 
 _leaf_query("n3_range_leaf", ["price_lb", "price_ub"])
@@ -172,8 +172,7 @@ _leaf_query("n8_context_rename", ["纳米压痕硬度(GPa)", "硬度"])
 @register("n5_prefixed_nested_leaf", "SELECT o_orderkey AS doc_no, '条件_温度' AS field, CAST(CAST(FLOOR(o_totalprice) AS BIGINT) % 73 AS VARCHAR) AS value FROM orders")
 def _(t):
     rules = leaves.LeafRules(pivots=False, prefix_nested=True, renames={})
-    records = keyed_records(t).filter(F.col("pos") == 0).select("doc_no", "data")
-    return leaves.extract_leaves(records, ["doc_no"], rules=rules).filter("field = '条件_温度'").select("doc_no", "field", "value")
+    return leaves.extract_leaves(keyed_records(t).select("doc_no", F.col("pos").alias("rec"), "data"), ["doc_no", "rec"], rules=rules).filter("field = '条件_温度'").select("doc_no", "field", "value")
 
 
 @register("n9_last_write_wins", "SELECT l_orderkey AS rec, l_returnflag AS field, CAST(arg_max(l_partkey, l_linenumber * 1000000000000 + l_partkey) AS VARCHAR) AS value FROM lineitem GROUP BY 1, 2")

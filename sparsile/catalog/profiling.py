@@ -12,6 +12,7 @@ from sparsile.operators.retrieval import Condition
 from sparsile.plans import sparsity, validation, workload
 
 V = "TRY_CAST(value AS DECIMAL(30,15))"
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
 def coverage(t):
@@ -87,7 +88,7 @@ def _(t):
 
 @register("a6_runtime_summary", "SELECT event_type, COUNT(value) AS n, round(avg(value), 6) AS mean_ms, round(median(value), 6) AS median_ms, min(value) AS min_ms, max(value) AS max_ms, round(CASE WHEN COUNT(value) < 20 THEN max(value) ELSE quantile_cont(value, 0.95) END, 6) AS p95_ms FROM events GROUP BY 1")
 def _(t):
-    return rounded(A.runtime_summary(t.events, "value", ["event_type"]), "mean_ms", "median_ms", "p95_ms")
+    return rounded(A.runtime_summary(t.events, "value", ["event_type"], max_below=20), "mean_ms", "median_ms", "p95_ms")
 
 
 @register("a6_exact_percentiles", "SELECT l_returnflag, round(median(l_extendedprice), 6) AS p50, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95 FROM lineitem GROUP BY 1")
@@ -160,9 +161,9 @@ def _(t):
     return rounded(A.pass_fail(checks(t), "category"), "avg_count", "pass_rate")
 
 
-@register("a14_crosstab", "SELECT o_orderstatus, " + ", ".join(f"CAST(SUM(CASE WHEN o_orderpriority = '{p}' THEN 1 ELSE 0 END) AS BIGINT) AS \"{p}\"" for p in ("1-URGENT", "2-HIGH", "5-LOW")) + " FROM orders GROUP BY 1")
+@register("a14_crosstab", "SELECT o_orderstatus, " + ", ".join(f"CAST(SUM(CASE WHEN o_orderpriority = '{p}' THEN 1 ELSE 0 END) AS BIGINT) AS \"{p}\"" for p in PRIORITIES) + " FROM orders GROUP BY 1")
 def _(t):
-    return A.crosstab(t.orders, "o_orderstatus", "o_orderpriority", ["1-URGENT", "2-HIGH", "5-LOW"])
+    return A.crosstab(t.orders, "o_orderstatus", "o_orderpriority", PRIORITIES)
 
 
 @register("a15_audit", "SELECT COUNT(*) AS n_rows, min(data_id) AS min_id, max(data_id) AS max_id, COUNT(*) - COUNT(value) AS n_null FROM eav_value_dirty")

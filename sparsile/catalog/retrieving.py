@@ -53,9 +53,9 @@ def _(t):
 value_filter("f7_bare_cmp", Condition(5, "bare", "<", lo=905), f"property_id = 5 AND {MYSQL.format('value')} < 905", "eav_value_dirty")
 value_filter("f7_bare_between", Condition(5, "bare_between", lo=0, hi=901), f"property_id = 5 AND {MYSQL.format('value')} BETWEEN 0 AND 901", "eav_value_dirty")
 
-SIZE_AND_PRICE = [Condition(4, "between", lo=10, hi=20), Condition(5, "num", ">", lo=920)]
+SIZE_AND_PRICE = [Condition(4, "between", lo=10, hi=20), Condition(5, "num", ">", lo=905)]  # hits at every size of the tables
 TWO_ALIASES = """SELECT DISTINCT e.data_id FROM eav_entity e JOIN eav_value v ON v.data_id = e.data_id JOIN eav_value v2 ON v2.data_id = e.data_id
-WHERE v.property_id = 4 AND TRY_CAST(v.value AS DECIMAL(30,15)) BETWEEN 10 AND 20 AND v2.property_id = 5 AND TRY_CAST(v2.value AS DECIMAL(30,15)) > 920 ORDER BY 1"""
+WHERE v.property_id = 4 AND TRY_CAST(v.value AS DECIMAL(30,15)) BETWEEN 10 AND 20 AND v2.property_id = 5 AND TRY_CAST(v2.value AS DECIMAL(30,15)) > 905 ORDER BY 1"""
 
 
 @register("f8_conjunction", "SELECT DISTINCT a.data_id FROM eav_value a JOIN eav_value b ON a.data_id = b.data_id JOIN eav_value c ON c.data_id = a.data_id WHERE a.property_id = 31 AND a.value = 'F' AND b.property_id = 32 AND TRY_CAST(b.value AS DECIMAL(30,15)) > 250000 AND c.property_id = 33 AND c.value LIKE '1%'")
@@ -118,7 +118,7 @@ def _(t):
 
 
 WORKLOAD_CHECK = f"""
-SELECT 1 AS sample_id, data_id FROM eav_value a WHERE property_id = 4 AND {V} BETWEEN 10 AND 20 AND data_id IN (SELECT data_id FROM eav_value WHERE property_id = 5 AND {V} > 920)
+SELECT 1 AS sample_id, data_id FROM eav_value a WHERE property_id = 4 AND {V} BETWEEN 10 AND 20 AND data_id IN (SELECT data_id FROM eav_value WHERE property_id = 5 AND {V} > 905)
 UNION ALL SELECT 2, data_id FROM eav_value WHERE property_id = 5 AND {V} >= 950 AND {V} < 960
 UNION ALL SELECT DISTINCT 3, data_id FROM eav_value WHERE (property_id = 2 AND value = 'Brand#2') OR (property_id = 4 AND {V} = 7)
 UNION ALL SELECT 4, data_id FROM eav_value WHERE property_id = 3 AND value LIKE 'S%' AND data_id IN (SELECT data_id FROM eav_value WHERE property_id = 1 AND value NOT LIKE '%red%')
@@ -148,6 +148,26 @@ def _(t):
     return retrieval.result_sizes(t.nation_samples, hits)
 
 
+@register("r3_many_aliases", f"SELECT CAST(1 AS BIGINT) AS sample_id, data_id FROM eav_value WHERE property_id = 32 AND {V} > 1490 UNION ALL SELECT 2, data_id FROM eav_value WHERE property_id = 23 AND {V} > 620")
+def _(t):
+    aliases = [(1, f"v{i}", 32, 10 * i) for i in range(150)] + [(2, f"v{i}", 23, 10 * i) for i in range(63)]
+    rows = t.spark.createDataFrame(aliases, "sample_id bigint, alias string, property_id int, lo int").withColumn("lo", F.col("lo").cast("decimal(30,15)"))
+    none = [F.lit(None).cast(k).alias(n) for n, k in (("hi", "decimal(30,15)"), ("text", "string"))]
+    predicates = rows.select("sample_id", F.lit(0).alias("clause"), "alias", "property_id", F.lit("num").alias("kind"), F.lit(">").alias("op"), "lo", *none)
+    return retrieval.evaluate_predicates(t.eav_value, predicates, t.eav_entity)
+
+
+# an IN list, two bracketed OR groups and another precision, one query per region
+IN_AND_OR = """SELECT CAST(r_regionkey AS BIGINT) AS sample_id, 'SELECT DISTINCT e.data_id FROM eav.entity_table e JOIN eav.value_table v ON v.data_id = e.data_id JOIN eav.value_table v2 ON v2.data_id = e.data_id
+WHERE v.property_id IN (12, 22) AND (v.value = ''' || r_regionkey || ''' OR v.value = ''' || (r_regionkey + 5) || ''') AND v2.property_id IN (13, 23) AND (CAST(v2.value AS DECIMAL(20, 5)) < 100 OR CAST(v2.value AS DECIMAL(20, 5)) > ' || (5000 + r_regionkey) || ')' AS sql FROM {region}"""
+
+
+@register("r3_in_and_or", f"""SELECT DISTINCT CAST(r_regionkey AS BIGINT) AS sample_id, a.data_id FROM region JOIN eav_value a ON a.property_id IN (12, 22) AND a.value IN (CAST(r_regionkey AS VARCHAR), CAST(r_regionkey + 5 AS VARCHAR))
+JOIN eav_value b ON b.data_id = a.data_id AND b.property_id IN (13, 23) AND (TRY_CAST(b.value AS DECIMAL(30,15)) < 100 OR TRY_CAST(b.value AS DECIMAL(30,15)) > 5000 + r_regionkey)""")
+def _(t):
+    return retrieval.evaluate_predicates(t.eav_value, matching.extract_conditions(t.sql(IN_AND_OR)), t.eav_entity)
+
+
 def region_queries(t, suffix: str):
     """One aggregate and one id query per region, over views of the whole tables."""
     t.eav_value.createOrReplaceTempView(f"value_table_{suffix}")

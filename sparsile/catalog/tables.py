@@ -146,7 +146,7 @@ FIXTURES: dict[str, str] = {
     "part_record": f"SELECT {PART_ID} AS data_id, p_name || '/' || p_brand AS record FROM {{part}} WHERE p_size <= 40",
     "predicates": (
         "SELECT CAST(sample_id AS BIGINT) AS sample_id, clause, alias, property_id, kind, op, CAST(lo AS DECIMAL(30,15)) AS lo, CAST(hi AS DECIMAL(30,15)) AS hi, text FROM (VALUES "
-        "(1, 0, 'v', 4, 'between', NULL, '10', '20', NULL), (1, 0, 'v2', 5, 'num', '>', '920', NULL, NULL), "
+        "(1, 0, 'v', 4, 'between', NULL, '10', '20', NULL), (1, 0, 'v2', 5, 'num', '>', '905', NULL, NULL), "
         "(2, 0, 'v', 5, 'num', '>=', '950', NULL, NULL), (2, 0, 'v', 5, 'num', '<', '960', NULL, NULL), "
         "(3, 0, 'v', 2, 'str', '=', NULL, NULL, 'Brand#2'), (3, 1, 'v', 4, 'num', '=', '7', NULL, NULL), "
         "(4, 0, 'v', 3, 'like', NULL, NULL, NULL, 'S%'), (4, 0, 'v2', 1, 'not_like', NULL, NULL, NULL, '%red%'), "

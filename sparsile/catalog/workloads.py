@@ -28,10 +28,9 @@ def count_of(pattern: str, column: str = "sql") -> str:
 # ---- values ----------------------------------------------------------------
 
 @register("t1_to_decimal", f"""SELECT data_id, property_id, round(CAST(TRY_CAST(value AS DECIMAL(30,15)) AS DOUBLE), 6) AS strict,
-round(CAST({PREFIX.format('value')} AS DOUBLE), 6) AS prefix, round(CAST({MYSQL.format('value')} AS DOUBLE), 6) AS mysql FROM eav_value_dirty WHERE property_id IN (1, 5, 13, 32)""")
+round(CAST({PREFIX.format('value')} AS DOUBLE), 6) AS prefix, round(CAST({MYSQL.format('value')} AS DOUBLE), 6) AS mysql FROM eav_value_dirty""")
 def _(t):
-    rows = t.eav_value_dirty.filter(F.col("property_id").isin(1, 5, 13, 32))
-    return rows.select("data_id", "property_id", *[F.round(numeric.to_decimal(F.col("value"), m).cast("double"), 6).alias(m) for m in ("strict", "prefix", "mysql")])
+    return t.eav_value_dirty.select("data_id", "property_id", *[F.round(numeric.to_decimal(F.col("value"), m).cast("double"), 6).alias(m) for m in ("strict", "prefix", "mysql")])
 
 
 @register("t1_any_value", f"SELECT data_id FROM eav_value_dirty WHERE property_id = 5 AND EXISTS (SELECT 1 FROM (SELECT unnest(string_split(value, '|')) AS p) u WHERE {PREFIX.format('p')} > 12.5)")
@@ -54,17 +53,16 @@ def _(t):
     return t.eav_value_dirty.select("data_id", "property_id", number.alias("number"), text.alias("text"))
 
 
-@register("t4_flatten_result", "SELECT sample_id, CAST(pos AS INTEGER) AS pos, '[' || data_id || ',' || pos || ']' AS item FROM order_result")
+@register("t4_flatten_result", "SELECT sample_id, CAST(pos AS INTEGER) AS pos, '[' || data_id || ',' || pos || ']' AS item, CAST(data_id AS VARCHAR) AS single FROM order_result")
 def _(t):
-    item = F.when(F.lit(True), F.concat(F.lit("["), F.concat_ws(",", F.array(F.col("data_id").cast("string"), F.col("pos").cast("string"))), F.lit("]")))
-    return t.order_result.select("sample_id", F.col("pos").cast("int").alias("pos"), item.alias("item"))
+    return t.order_result.select("sample_id", F.col("pos").cast("int").alias("pos"), numeric.flatten_result([F.col("data_id"), F.col("pos")]).alias("item"), numeric.flatten_result([F.col("data_id")]).alias("single"))
 
 
-@register("t17_satisfies", f"SELECT data_id, op, CASE WHEN TRY_CAST(value AS DOUBLE) IS NULL THEN NULL WHEN op = '>' THEN TRY_CAST(value AS DOUBLE) > 950 WHEN op = 'BETWEEN' THEN TRY_CAST(value AS DOUBLE) BETWEEN 910 AND 920 WHEN op = '=' THEN abs(TRY_CAST(value AS DOUBLE) - 910) < 1e-3 ELSE abs(TRY_CAST(value AS DOUBLE) - 910) > 1e-3 END AS ok FROM eav_value_dirty, (VALUES ('>'), ('BETWEEN'), ('='), ('!=')) o(op) WHERE property_id = 5")
+@register("t17_satisfies", f"SELECT data_id, property_id, op, CASE WHEN TRY_CAST(value AS DOUBLE) IS NULL THEN NULL WHEN op = '>' THEN TRY_CAST(value AS DOUBLE) > 950 WHEN op = 'BETWEEN' THEN TRY_CAST(value AS DOUBLE) BETWEEN 910 AND 920 WHEN op = '=' THEN abs(TRY_CAST(value AS DOUBLE) - 910) < 1e-3 ELSE abs(TRY_CAST(value AS DOUBLE) - 910) > 1e-3 END AS ok FROM eav_value_dirty, (VALUES ('>'), ('BETWEEN'), ('='), ('!=')) o(op)")
 def _(t):
-    rows = t.eav_value_dirty.filter("property_id = 5").withColumn("op", F.explode(F.array(*map(F.lit, (">", "BETWEEN", "=", "!=")))))
+    rows = t.eav_value_dirty.withColumn("op", F.explode(F.array(*map(F.lit, (">", "BETWEEN", "=", "!=")))))
     a = F.when(F.col("op") == ">", 950.0).otherwise(910.0)
-    return rows.select("data_id", "op", numeric.satisfies(F.col("value"), F.col("op"), a, F.lit(920.0)).alias("ok"))
+    return rows.select("data_id", "property_id", "op", numeric.satisfies(F.col("value"), F.col("op"), a, F.lit(920.0)).alias("ok"))
 
 
 @register("t20_percent", "SELECT l_returnflag, printf('%.1f%%', 100.0 * CAST(SUM(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END) AS DOUBLE) / COUNT(*)) AS share FROM lineitem GROUP BY 1")
@@ -156,7 +154,7 @@ def _(t):
 
 @register("t14_condition_kinds", """SELECT sample_id, array_to_string(r, ',') AS r FROM (SELECT p_partkey AS sample_id, unnest(CASE WHEN p_size <= 5 THEN [[0,5,1],[0,5,2],[0,5,3]] WHEN p_size <= 10 THEN [[0,4,1],[0,4,2],[0,4,4],[0,5,1],[0,5,2],[0,5,3]] WHEN p_size <= 14 THEN [[0,5,3]] WHEN p_size <= 17 THEN [[0,4,5]]
 WHEN p_size <= 21 THEN [[0,2,6]] WHEN p_size <= 24 THEN [[0,5,1],[0,5,2],[0,5,3]] WHEN p_size <= 27 THEN [[0,5,1],[0,5,2],[0,5,3]] WHEN p_size <= 30 THEN [[0,3,6],[0,2,7]] WHEN p_size <= 33 THEN [[0,1,5],[0,4,8]]
-WHEN p_size <= 36 THEN [] WHEN p_size <= 40 THEN [[0,5,3],[1,5,3]] WHEN p_size <= 44 THEN [[0,5,1],[0,5,2],[0,5,3]] WHEN p_size <= 46 THEN [] ELSE [[0,5,1],[0,5,2],[0,5,3],[0,5,1],[0,5,2],[0,5,3]] END) AS r FROM part) q""")
+WHEN p_size <= 36 THEN [[0,4,8],[0,5,8]] WHEN p_size <= 40 THEN [[0,5,3],[1,5,3]] WHEN p_size <= 44 THEN [[0,5,1],[0,5,2],[0,5,3]] WHEN p_size <= 46 THEN [] ELSE [[0,5,1],[0,5,2],[0,5,3],[0,5,1],[0,5,2],[0,5,3]] END) AS r FROM part) q""")
 def _(t):
     repaired = t.samples.withColumn("sql", sqltext.repair_sql(F.col("sql")))
     code = F.create_map(*[F.lit(x) for kv in {"non_empty": 1, "not_null": 2, "num": 3, "between": 4, "any": 5, "str": 6, "not_like": 7, "bare": 8}.items() for x in kv])
@@ -200,11 +198,11 @@ def _(t):
     return t.part.select("p_partkey", phrases.op_word_to_op(word).alias("op"))
 
 
-@register("t18_zero_threshold", r"SELECT sample_id, regexp_replace(sql, '(DECIMAL\(30, 15\)\) >) 0\.0', '\1 0.1') AS sql, replace(natural_language, '大于0的', '大于0.1的') AS natural_language FROM samples")
+@register("t18_zero_threshold", r"SELECT sample_id, regexp_replace(sql, '(DECIMAL\(30, 15\)\) >) 0\.0', '\1 0.1') AS sql, replace(natural_language, '大于0的', '大于0.1的') AS natural_language FROM samples")  # 大于0.5 stays
 def _(t):
     nl = F.col("natural_language")
     return t.samples.select("sample_id", sqltext.rewrite_zero_threshold(F.col("sql")).alias("sql"),
-                            F.when(F.contains(nl, F.lit("大于0的")), sqltext.rewrite_zero_phrase(nl)).otherwise(nl).alias("natural_language"))
+                            sqltext.rewrite_zero_phrase(nl).alias("natural_language"))
 
 
 @register("t19_match_score", r"""SELECT sample_id, CAST(CASE WHEN p_size <= 5 THEN 8 WHEN p_size <= 10 THEN 18 WHEN p_size <= 14 THEN 8 WHEN p_size <= 17 THEN 0 WHEN p_size <= 21 THEN CASE WHEN p_retailprice > 950 THEN 5 ELSE 0 END

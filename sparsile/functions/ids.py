@@ -38,6 +38,6 @@ def fix_id(raw: Column) -> Column:
     return F.substr(text, strip + 1).cast("bigint")
 
 
-def is_entity_id(value: Column) -> Column:
-    """Ids up to 1000 in a result list are stray scalars."""
-    return value > SCALAR_LIMIT
+def is_entity_id(value: Column, limit: int = SCALAR_LIMIT) -> Column:
+    """Ids up to ``limit`` in a result list are stray scalars."""
+    return value > limit

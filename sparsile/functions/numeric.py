@@ -123,5 +123,11 @@ def json_scalar(value: Column, kind: str) -> Column:
     return value.cast("string")
 
 
+def flatten_result(columns: list[Column]) -> Column:
+    """One result column stays as it is, as text; several become the text of a list."""
+    texts = [c.cast("string") for c in columns]
+    return texts[0] if len(texts) == 1 else F.concat(F.lit("["), F.concat_ws(",", *[F.coalesce(t, F.lit("null")) for t in texts]), F.lit("]"))
+
+
 def percent(part: Column, whole: Column, digits: int = 1) -> Column:
     return F.when(whole > 0, F.format_string(f"%.{digits}f%%", part * 100.0 / whole)).otherwise(F.lit("N/A"))

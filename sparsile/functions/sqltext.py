@@ -15,15 +15,17 @@ VALUE_JOIN = r"(?i)JOIN\s+[\w.]+\.value_table"
 SUBQUERY = r"(?i)\(\s*SELECT\b"
 PROPERTY_EQUALS = r"property_id\s*=\s*(\d+)"
 PROPERTY_IN = r"(?i)property_id\s+IN\s*\(([^)]+)\)"
+ALIAS_PROPERTY = r"(?i)(\w+)\.property_id\s*(?:=\s*(\d+)|IN\s*\(([^)]+)\))"
 WHERE_CLAUSE = r"(?is)WHERE(.*?)(?:ORDER BY|GROUP BY|LIMIT|;|$)"
 STRING_LITERAL = r"'[^']*'"
-CAST_VALUE = r"(?i)CAST\(\s*(\w+)\.value\s+AS\s+DECIMAL\(30\s*,\s*15\)\)"
+CAST_VALUE = r"(?i)CAST\(\s*(\w+)\.value\s+AS\s+DECIMAL\s*(?:\(\s*\d+\s*(?:,\s*\d+\s*)?\))?\s*\)"
 NUMBER = r"[0-9.eE+\-]+"
 BOUNDARY_NAMES = {">": "greater", ">=": "greater_equal", "<": "less", "<=": "less_equal"}
 OPERATOR_SPACING = (("< =", "<="), ("> =", ">="), ("! =", "!="))
 QUOTE_FIXES = (("'γ+γ''", "'γ+γ'''"), ("'γ+γ'+TCP'", "'γ+γ''+TCP'"))
 ZERO_THRESHOLD = r"(CAST\(\w+\.value\s+AS\s+DECIMAL\(\d+,\s*\d+\)\)\s*[><]=?\s*)-?0\.0\b"
-ZERO_PHRASES = (("大于0", "大于"), ("小于0", "小于"), (">0", ">"))
+ZERO_PHRASES = (("大于", "大于"), ("小于", "小于"), (">", ">"))
+WHOLE_ZERO = r"0(?![0-9.])"
 
 # conditions of one alias: (alias, property_id, kind, op, lo, hi, text)
 CONDITION_TYPE = ("array<struct<alias:string,kind:string,op:string,"
@@ -81,14 +83,27 @@ def count_where_conditions(sql: Column) -> Column:
         1 + F.regexp_count(bare, F.lit(r"(?i)\b(?:AND|OR)\b")))
 
 
+def _outside_brackets(text: Column, mark: str) -> Column:
+    """The text with each outermost bracketed part replaced by ``mark``; unmatched closing brackets stay."""
+    pieces = F.regexp_extract_all(text, F.lit(r"[()]|[^()]+"), 0)
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("depth"))
+
+    def step(s, p):
+        out, depth = s["out"], s["depth"]
+        opens, closes = p == "(", (p == ")") & (depth > 0)
+        return F.struct(F.when(opens & (depth == 0), F.concat(out, F.lit(mark))).when((depth > 0) | opens, out).otherwise(F.concat(out, p)).alias("out"),
+                        (depth + F.when(opens, 1).when(closes, -1).otherwise(0)).alias("depth"))
+
+    return F.aggregate(pieces, start, step)["out"]
+
+
 def filter_condition_count(sql: Column) -> Column:
     """Predicates in ON/WHERE: BETWEEN is one, join keys are none, a bracketed
     group is one, and a predicate must mention property_id or value."""
     clause = F.regexp_extract(sql, r"(?is)\b(?:ON|WHERE)\b(.*)$", 1)
     clause = F.regexp_replace(clause, r"(?is)\bORDER\s+BY\b.*$", "")
-    # innermost brackets are blanked repeatedly, so AND/OR inside them cannot split
-    flat = reduce(lambda c, _: F.regexp_replace(c, r"\(([^()]*)\)", " value_group "), range(4),
-                  F.regexp_replace(clause, CAST_VALUE, "$1.value"))
+    # everything inside brackets is blanked, however deep, so AND/OR there cannot split
+    flat = _outside_brackets(F.regexp_replace(clause, CAST_VALUE, "$1.value"), " value_group ")
     flat = F.regexp_replace(flat, r"(?i)\bBETWEEN\b\s*\S+?\s*\bAND\b", "BETWEEN")
     parts = F.split(flat, r"(?i)\s+(?:AND|OR)\s+")
     kept = F.filter(parts, lambda p: F.rlike(p, F.lit(r"(?i)\bproperty_id\b|\bvalue\b|value_group"))
@@ -140,10 +155,10 @@ def rewrite_zero_threshold(sql: Column, threshold: str = "0.1") -> Column:
 
 
 def rewrite_zero_phrase(text: Column, threshold: str = "0.1") -> Column:
-    """The first zero phrase found in the text takes the new threshold."""
+    """The first phrase with a whole number zero takes the new threshold; 0.5 or 05 is another number."""
     branches = None
     for old, word in ZERO_PHRASES:
-        hit, new = F.contains(text, F.lit(old)), F.replace(text, F.lit(old), F.lit(word + threshold))
+        hit, new = F.rlike(text, F.lit(old + WHOLE_ZERO)), F.regexp_replace(text, old + WHOLE_ZERO, word + threshold)
         branches = F.when(hit, new) if branches is None else branches.when(hit, new)
     return branches.otherwise(text)
 
@@ -165,9 +180,9 @@ def _condition(alias: Column, kind, op=None, lo=None, hi=None, text=None) -> Col
 
 
 def alias_properties(sql: Column) -> Column:
-    """array of (alias, property_id) in text order."""
-    return _matches(sql, r"(\w+)\.property_id\s*=\s*(\d+)",
-                    lambda a, p: F.struct(a.alias("alias"), p.cast("int").alias("property_id")), 2)
+    """array of (alias, property_ids) in text order; an IN list names several."""
+    return _matches(sql, rf"{ALIAS_PROPERTY}",
+                    lambda a, one, several: F.struct(a.alias("alias"), F.transform(F.regexp_extract_all(F.concat(one, several), F.lit(r"(\d+)"), 1), lambda x: x.cast("int")).alias("property_ids")), 3)
 
 
 def alias_conditions(sql: Column) -> Column:
@@ -197,16 +212,42 @@ def alias_conditions(sql: Column) -> Column:
 
 
 def or_clauses(sql: Column) -> Column:
-    """Query text per alternative: one bracketed OR group shares what stands
-    outside it; an unbracketed OR separates whole alternatives."""
+    """Query text per alternative: every combination of one member from each bracketed OR group, with what stands outside
+    the groups; an unbracketed OR separates whole alternatives, each with the groups it holds."""
     outside_quotes = r"(?=(?:[^']*'[^']*')*[^']*$)"
     text = F.regexp_replace(sql, CAST_VALUE, "$1.#num")
-    group = F.regexp_extract(text, rf"(?is)\(([^()]*\bOR\b{outside_quotes}[^()]*)\)", 1)
-    restore = lambda c: F.regexp_replace(c, r"(\w+)\.#num", "CAST($1.value AS DECIMAL(30, 15))")
+    restore = lambda c: F.regexp_replace(c, r"(\w+)\.#num", "CAST($1.value AS DECIMAL(30, 15))")
     splitter = rf"(?i)\s+OR\s+{outside_quotes}"
-    rest = F.replace(text, F.concat(F.lit("("), group, F.lit(")")), F.lit(" "))
-    grouped = F.transform(F.split(group, splitter), lambda g: restore(F.concat(g, F.lit(" AND "), rest)))
-    return F.when(group != "", grouped).otherwise(F.transform(F.split(text, splitter), restore))
+    inside = r"(?:'[^']*'|[^()'])*"
+    group = rf"(?is)\({inside}\bOR\b{inside}\){outside_quotes}"
+    # groups are put aside as ``#1#``, ``#2#``, … while the rest is split
+    groups = F.regexp_extract_all(text, F.lit(group), 0)
+    numbered = F.when(F.size(groups) > 0, F.sequence(F.lit(1), F.size(groups))).otherwise(F.array().cast("array<int>"))
+    mark = lambda i: F.concat(F.lit("#"), i.cast("string"), F.lit("#"))
+    held = F.aggregate(numbered, text, lambda t, i: F.replace(t, F.get(groups, i - 1), mark(i)))
+    plain = F.split(held, splitter)
+
+    def spread(options: Column, i: Column) -> Column:
+        whole = F.get(groups, i - 1)
+        members = F.split(F.substr(whole, F.lit(2), F.length(whole) - 2), splitter)
+        return F.flatten(F.transform(options, lambda o: F.when(F.contains(o, mark(i)), F.transform(members, lambda m: F.replace(o, mark(i), m))).otherwise(F.array(o))))
+
+    return F.transform(F.aggregate(numbered, plain, spread), restore)
+
+
+def unread_reason(sql: Column) -> Column:
+    """Why a query text is not fully read as conditions, or NULL: no text, a nested query, an OR inside deeper
+    brackets, a property of no known form, or a value test of no known form."""
+    literal = r"'(?:[^']|'')*'"
+    text = F.regexp_replace(F.regexp_replace(sql, literal, "'x'"), CAST_VALUE, "$1.value")
+    known = [ALIAS_PROPERTY, r"(?i)\w+\.value\s*(?:>=|<=|<>|!=|=|>|<)\s*(?:'x'|[0-9.eE+\-]+)", r"(?i)\w+\.value\s+BETWEEN\s*[0-9.eE+\-]+\s*AND\s*[0-9.eE+\-]+",
+             r"(?i)\w+\.value\s+(?:NOT\s+)?LIKE\s+'x'", r"(?i)\w+\.value\s+IS\s+NOT\s+NULL"]
+    where = F.regexp_extract(text, r"(?is)\bWHERE\b(.*)$", 1)
+    left = reduce(lambda c, p: F.regexp_replace(c, p, " "), known, where)
+    flat_groups = F.regexp_replace(text, r"(?is)\([^()]*\)", " ")
+    return (F.when(F.trim(sql) == "", "empty").when(has_subquery(sql), "subquery")
+            .when(F.rlike(flat_groups, F.lit(r"(?is)\([^()]*\bOR\b[^()]*\)")), "nested_or")
+            .when(F.rlike(left, F.lit(r"(?i)property_id")), "property").when(F.rlike(left, F.lit(r"(?i)\w+\.value\b")), "value_test"))
 
 
 def condition_to_sql(conditions: Column, schema: str) -> Column:

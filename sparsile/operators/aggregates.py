@@ -15,7 +15,6 @@ BINS = {
     "workload": (("0", 0, 0), ("1", 1, 1), ("2-5", 2, 5), ("6-10", 6, 10), ("11-50", 11, 50), ("51-200", 51, 200), ("201+", 201, TOP)),
 }
 LOW_COVERAGE = (1, 5, 10)
-P95_MINIMUM = 20
 
 
 def distinct_pairs(values: DataFrame) -> DataFrame:
@@ -89,10 +88,10 @@ def summary(df: DataFrame, col: str, by: list[str] | None = None) -> DataFrame:
         zero(F.avg(col)).alias("mean"), zero(F.median(col)).alias("median"), zero(F.min(col)).alias("min"), zero(F.max(col)).alias("max"))
 
 
-def runtime_summary(df: DataFrame, col: str, by: list[str]) -> DataFrame:
-    """Count, mean, median, min, max, p95 (continuous percentile; the maximum for
-    fewer than 20 values)."""
-    p95 = F.when(F.count(col) < P95_MINIMUM, F.max(col)).otherwise(F.percentile(col, F.lit(0.95)))
+def runtime_summary(df: DataFrame, col: str, by: list[str], max_below: int = 0) -> DataFrame:
+    """Count, mean, median, min, max, p95 (continuous percentile; the maximum for groups of fewer than
+    ``max_below`` values, off by default)."""
+    p95 = F.when(F.count(col) < max_below, F.max(col)).otherwise(F.percentile(col, F.lit(0.95)))
     return df.groupBy(*by).agg(F.count(col).alias("n"), F.avg(col).alias("mean_ms"), F.median(col).alias("median_ms"),
                                F.min(col).alias("min_ms"), F.max(col).alias("max_ms"), p95.alias("p95_ms"))
 

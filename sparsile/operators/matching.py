@@ -22,7 +22,7 @@ def terms_in_text(texts: DataFrame, terms: DataFrame, text: str = "text", key: s
     texts never move.  A larger one is joined on seeds: each text gives its distinct
     pieces of up to four characters, each term its first four (or all) characters.  Only
     (key, piece) pairs are joined; the texts of matching pairs are then fetched by
-    ``key`` (unique, the first column by default) and the pair is verified on the whole text.
+    ``key`` (the first column by default) and a hash of the text, and the pair is verified on the whole text.
     """
     vocabulary = terms.select("term").filter("term != ''").distinct()
     few = vocabulary.limit(max_inline + 1).collect()
@@ -33,15 +33,16 @@ def terms_in_text(texts: DataFrame, terms: DataFrame, text: str = "text", key: s
     length = F.least(F.length("term"), F.lit(SEED_LENGTH))
     seeds = vocabulary.select("term", F.substr("term", F.lit(1), length).alias("_seed"))
     used = [r["k"] for r in vocabulary.select(length.alias("k")).distinct().collect()]  # at most SEED_LENGTH rows
-    chars = texts.select(key, F.split(text, "(?!^)").alias("_chars"))
+    marked = texts.withColumn("_text", F.xxhash64(text))  # rows of one key may hold different texts
+    chars = marked.select(key, "_text", F.split(text, "(?!^)").alias("_chars"))
 
     def pieces(k: int):
         starts = F.sequence(F.lit(1), F.greatest(F.size("_chars") - k + 1, F.lit(1)))
         return F.transform(starts, lambda i: F.array_join(F.slice("_chars", i, k), ""))
 
-    seeded = chars.select(key, F.explode(F.array_distinct(F.concat(*[pieces(k) for k in used]))).alias("_seed"))
-    candidates = seeded.join(seeds, "_seed").select(key, "term")
-    return texts.join(candidates, key).filter(F.contains(F.col(text), F.col("term"))).select(*texts.columns, "term")
+    seeded = chars.select(key, "_text", F.explode(F.array_distinct(F.concat(*[pieces(k) for k in used]))).alias("_seed"))
+    candidates = seeded.join(seeds, "_seed").select(key, "_text", "term").distinct()
+    return marked.join(candidates, [key, "_text"]).filter(F.contains(F.col(text), F.col("term"))).select(*texts.columns, "term")
 
 
 def term_usage(terms: DataFrame, found: DataFrame) -> DataFrame:
@@ -87,18 +88,27 @@ def text_conditions(questions: DataFrame, terms: DataFrame, key: str = "sample_i
 
 
 def extract_conditions(samples: DataFrame, sql: str = "sql", key: str = "sample_id") -> DataFrame:
-    """Query texts to predicate rows (key, clause, alias, property_id, kind, op, lo, hi, text)."""
-    clauses = samples.select(key, F.posexplode(sqltext.or_clauses(F.col(sql))).alias("clause", "_sql"))
+    """Query texts to predicate rows (key, clause, alias, property_id, kind, op, lo, hi, text).  An alias with an IN list
+    has its conditions once for each property.  A text with a part that is not understood gives no rows, rather than fewer
+    conditions; :func:`unparsed` names it.  Nested queries are read as further aliases."""
+    readable = samples.filter(F.coalesce(sqltext.unread_reason(F.col(sql)).isin("empty", "subquery"), F.lit(True)))
+    clauses = readable.select(key, F.posexplode(sqltext.or_clauses(F.col(sql))).alias("clause", "_sql"))
     parsed = clauses.select(key, "clause", sqltext.alias_properties(F.col("_sql")).alias("_props"),
                             sqltext.alias_conditions(F.col("_sql")).alias("_conds"))
-    last = lambda alias: F.get(F.filter("_props", lambda p: p["alias"] == alias), F.size(F.filter("_props", lambda p: p["alias"] == alias)) - 1)
+    own = lambda alias: F.filter("_props", lambda p: p["alias"] == alias)
+    last = lambda alias: F.get(own(alias), F.size(own(alias)) - 1)
     # an alias with a property but no value test still requires the property to exist
     tested = F.transform("_conds", lambda c: c["alias"])
     bare = F.transform(F.filter("_props", lambda p: ~F.array_contains(tested, p["alias"])),
                        lambda p: sqltext._condition(p["alias"], "any")).cast(sqltext.CONDITION_TYPE)
     rows = parsed.select(key, "clause", "_props", F.explode(F.concat("_conds", bare)).alias("c"))
-    return rows.select(key, "clause", F.col("c.alias").alias("alias"), last(F.col("c.alias"))["property_id"].alias("property_id"),
-                       "c.kind", "c.op", "c.lo", "c.hi", "c.text").filter("property_id IS NOT NULL")
+    return rows.select(key, "clause", F.col("c.alias").alias("alias"), F.explode(last(F.col("c.alias"))["property_ids"]).alias("property_id"),
+                       "c.kind", "c.op", "c.lo", "c.hi", "c.text")
+
+
+def unparsed(samples: DataFrame, sql: str = "sql", key: str = "sample_id") -> DataFrame:
+    """(key, reason) of query texts that :func:`extract_conditions` does not read in full."""
+    return samples.select(key, sqltext.unread_reason(F.col(sql)).alias("reason")).filter("reason IS NOT NULL")
 
 
 def match_conditions(said: DataFrame, asked: DataFrame, key: str = "sample_id") -> DataFrame:

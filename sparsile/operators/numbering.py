@@ -53,6 +53,15 @@ def dense_number(df: DataFrame, key: str, name: str, order_within: list[str] | N
     return running_total(df, key, name, None, order_within, partition_by, key_bits)
 
 
+def number_pairs(df: DataFrame, first: str, second: str, name: str) -> DataFrame:
+    """Number rows 1..n by a unique pair of integers.  Rows are numbered inside their ``first`` in steps of
+    ``second``, and each ``first`` starts where the one before it ends, so one huge ``first`` is cut like many small ones."""
+    inside = dense_number(df, second, "_inside", partition_by=[first])
+    totals = df.groupBy(first).agg(F.count(F.lit(1)).alias("_n"))
+    starts = running_total(totals, first, "_upto", "_n").select(first, (F.col("_upto") - F.col("_n")).alias("_before"))
+    return inside.join(starts, first).withColumn(name, (F.col("_inside") + F.col("_before")).cast("bigint")).drop("_inside", "_before")
+
+
 def exact_percentiles(df: DataFrame, col: str, by: list[str], shares: dict[str, float]) -> DataFrame:
     """Continuous percentiles of a double column, for inputs of any size.
 
@@ -99,7 +108,7 @@ def collision_changes(ids: DataFrame, id_col: str, order: list[str]) -> DataFram
     firsts = ids.groupBy(id_col).agg(F.min(F.struct(*order)).alias("_at")).select("_at.*")
     later = ids.select(*order).join(firsts, order, "left_anti")
     top = ids.agg(F.max(id_col)).scalar()
-    numbered = dense_number(later, order[0], "_extra", order_within=order[1:])
+    numbered = number_pairs(later, *order, "_extra") if len(order) == 2 else dense_number(later, order[0], "_extra")
     return numbered.select(*order, (F.col("_extra") + top).alias("new_id"))
 
 

@@ -11,7 +11,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparsile.functions.numeric import any_part, compare, condition_holds, non_empty, to_decimal
-from sparsile.sizing import BROADCAST_ROWS, join_control
+from sparsile.session import durable
+from sparsile.sizing import BROADCAST_ROWS, join_control, local_copy
+
+# Conditions are noted as bits of 64-bit words; this many fit into one.
+WORD_BITS = 62
 
 
 @dataclass(frozen=True)
@@ -58,13 +62,14 @@ def matching_ids(values: DataFrame, clauses: list[list[Condition]], mode: str =
     existence test over the entity's rows, as in a self-join per alias).
 
     One pass: rows are filtered to those that satisfy anything, each becomes a bit
-    mask of satisfied conditions, masks are or-ed per entity (map-side first).
+    mask of satisfied conditions, masks are or-ed per entity (map-side first).  More conditions
+    than fit into one mask are evaluated as a table of predicates.
     """
     flat = list(dict.fromkeys(c for clause in clauses for c in clause))
-    if len(flat) > 63:
-        raise ValueError("more than 63 distinct conditions; use evaluate_predicates")
     if len(flat) == 1:
         return matching_values(values, flat[0], mode).select("data_id").distinct()
+    if len(flat) > WORD_BITS:
+        return evaluate_predicates(values, _as_predicates(values.sparkSession, clauses), mode=mode).select("data_id")
     bits = {c: 1 << i for i, c in enumerate(flat)}
     tests = {c: (F.col("property_id") == c.property_id) & test(F.col("value"), c, mode) for c in flat}
     wanted = F.col("property_id").isin(sorted({c.property_id for c in flat}))
@@ -76,6 +81,13 @@ def matching_ids(values: DataFrame, clauses: list[list[Condition]], mode: str =
     return seen.filter(passes).select("data_id")
 
 
+def _as_predicates(spark: SparkSession, clauses: list[list[Condition]]) -> DataFrame:
+    """Literal conditions as predicate rows of one sample, an alias for each."""
+    decimal = lambda x: None if x is None else Decimal(str(x))
+    rows = [(1, k, f"v{i}", c.property_id, c.kind, c.op, decimal(c.lo), decimal(c.hi), c.text) for k, clause in enumerate(clauses) for i, c in enumerate(dict.fromkeys(clause))]
+    return spark.createDataFrame(rows, "sample_id bigint, clause int, alias string, property_id int, kind string, op string, lo decimal(30,15), hi decimal(30,15), text string")
+
+
 def retrieve(entities: DataFrame, values: DataFrame, conditions: list[Condition], mode: str = "strict") -> DataFrame:
     """Sorted ids of entities that satisfy all conditions."""
     return retrieve_any(entities, values, [conditions], mode)
@@ -96,15 +108,16 @@ def join_entity_value(entities: DataFrame, values: DataFrame) -> DataFrame:
 # ---- whole workloads -------------------------------------------------------
 
 def predicate_groups(predicates: DataFrame) -> DataFrame:
-    """One row per (sample, clause, alias): its property, its conditions, its bit
-    and the mask a clause needs.  A control table, bounded by the workload."""
+    """One row per (sample, clause, alias, property): its conditions, the alias's word and bit, and the number of
+    aliases of the clause.  An alias that may take several properties (an IN list) has a row for each, under one bit.
+    A control table, bounded by the workload."""
     struct = F.struct("kind", "op", "lo", "hi", "text")
     groups = predicates.groupBy("sample_id", "clause", "alias", "property_id").agg(F.collect_list(struct).alias("conditions"))
-    clause = W.partitionBy("sample_id", "clause")
-    ordinal = F.row_number().over(clause.orderBy("alias", "property_id"))
-    return groups.select("*", (ordinal - 1).alias("_ord"), F.count(F.lit(1)).over(clause).alias("_size")).select(
-        "sample_id", "clause", "property_id", "conditions",
-        F.expr("shiftleft(1L, CAST(_ord AS INT))").alias("_bit"), F.expr("shiftleft(1L, CAST(_size AS INT)) - 1").alias("_need"))
+    ordinal = F.dense_rank().over(W.partitionBy("sample_id", "clause").orderBy("alias")) - 1
+    ranked = groups.withColumn("_ord", ordinal)
+    last = F.max("_ord").over(W.partitionBy("sample_id", "clause"))
+    return ranked.select("sample_id", "clause", "property_id", "conditions", F.floor(F.col("_ord") / WORD_BITS).cast("int").alias("_word"),
+                         F.expr(f"shiftleft(1L, CAST(_ord % {WORD_BITS} AS INT))").alias("_bit"), (last + 1).alias("_size"))
 
 
 def evaluate_predicates(values: DataFrame, predicates: DataFrame, entities: DataFrame | None = None,
@@ -113,15 +126,19 @@ def evaluate_predicates(values: DataFrame, predicates: DataFrame, entities: Data
 
     Value rows meet the predicates of their property, failing pairs are dropped
     before anything moves, and the only wide shuffle is by (sample, clause,
-    entity), whose groups hold at most one bit mask per property.
+    entity), whose groups hold a few words of bits.  A clause may have any number of aliases.
     """
     groups = predicate_groups(predicates)
+    small = local_copy(groups, max_predicates)
+    groups = durable(groups, "predicates") if small is None else small
+    n_words = 1 + (groups.agg(F.max("_word")).first()[0] or 0)
     # numeric views are read inside the test, so text that only meets text tests is never parsed
     value = F.col("value")
     met = join_control(values.select("data_id", "property_id", "value"), groups, "property_id", spread="data_id", max_rows=max_predicates).filter(F.forall(
         "conditions", lambda c: condition_holds(value, c["kind"], c["op"], c["lo"], c["hi"], c["text"], mode, bare_mode)))
-    full = met.groupBy("sample_id", "clause", "data_id").agg(
-        F.bit_or("_bit").alias("_mask"), F.first("_need").alias("_need")).filter("_mask = _need")
+    words = [F.bit_or(F.when(F.col("_word") == w, F.col("_bit")).otherwise(F.lit(0).cast("bigint"))).alias(f"_m{w}") for w in range(n_words)]
+    held = reduce(lambda a, b: a + b, [F.bit_count(f"_m{w}") for w in range(n_words)])
+    full = met.groupBy("sample_id", "clause", "data_id").agg(*words, F.first("_size").alias("_size")).filter(held == F.col("_size"))
     hits = full.select("sample_id", "data_id").distinct()
     return hits if entities is None else hits.join(entities.select("data_id"), "data_id", "left_semi").select("sample_id", "data_id")
 

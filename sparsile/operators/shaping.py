@@ -5,19 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparsile.functions.bitmaps import bitmap, legacy_bitmap
+from sparsile.functions.bitmaps import WIDTH, bitmap, legacy_bitmap
 from sparsile.operators.leaves import LOWER, UPPER, _entries
 
-# Column widths of the store.
+# Column widths of the relational store, for callers that cut.
 VALUE_WIDTH, TITLE_WIDTH, PARTY_WIDTH = 2000, 200, 100
 DEFAULT_ROLE = "result"
 
 
+def cut(text: Column, width: int | None) -> Column:
+    return text if width is None else F.substring(text, 1, width)
+
+
 def property_name(name: Column, property_id: Column) -> Column:
     return F.coalesce(name, property_id.cast("string"))
 
 
-def map_fields(leaves: DataFrame, dictionary: DataFrame, properties: DataFrame) -> DataFrame:
+def map_fields(leaves: DataFrame, dictionary: DataFrame, properties: DataFrame, width: int | None = None) -> DataFrame:
     """Attach property id and name; fields without an id are dropped.
 
     The dictionaries carry no broadcast hint: Catalyst and AQE broadcast them
@@ -26,7 +30,7 @@ def map_fields(leaves: DataFrame, dictionary: DataFrame, properties: DataFrame)
     known = leaves.join(dictionary.filter("property_id IS NOT NULL"), "field")
     named = known.join(properties.select("property_id", F.col("property_name").alias("_name")), "property_id", "left")
     return named.withColumn("property_name", property_name(F.col("_name"), F.col("property_id"))).withColumn(
-        "value", F.substring("value", 1, VALUE_WIDTH)).drop("_name")
+        "value", cut(F.col("value"), width)).drop("_name")
 
 
 def classify_roles(values: DataFrame, roles: DataFrame) -> DataFrame:
@@ -45,6 +49,11 @@ def role_bitmap(values: DataFrame, layout: str = "fixed", keys: list[str] | None
     return ids.select(*keys, *[draw(F.col(r)).alias(r) for r in ("object", "operate", "result")])
 
 
+def ids_outside_bitmap(values: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(property_id, n) of value rows whose id the fixed bitmap cannot hold."""
+    return values.filter((F.col("property_id") < 0) | (F.col("property_id") >= width)).groupBy("property_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def merge_values(values: DataFrame, keys: list[str], sep: str = "|", order: str = "leaf_pos") -> DataFrame:
     """Values of one (record, property) joined in encounter order, first name
     kept.  A group is part of one source record."""
@@ -69,7 +78,7 @@ def split_null_ids(records: DataFrame, id_col: str = "raw_id") -> tuple[DataFram
 
 
 def range_rows(records: DataFrame, dictionary: DataFrame, properties: DataFrame, keys: list[str],
-               json_col: str = "data") -> DataFrame:
+               json_col: str = "data", width: int | None = None) -> DataFrame:
     """Alternative load: range bounds become rows named ``name_lb`` / ``name_ub``;
     other objects and lists stay as JSON text."""
     entries = records.select(*keys, F.explode_outer(F.expr(_entries(f"`{json_col}`"))).alias("e")).select(
@@ -83,7 +92,7 @@ def range_rows(records: DataFrame, dictionary: DataFrame, properties: DataFrame,
     known = rows.join(dictionary, "field").join(properties, "property_id", "left")
     return known.select(*keys, "property_id",
                         F.concat(property_name(F.col("property_name"), F.col("property_id")), F.col("p.suffix")).alias("property_name"),
-                        F.substring("p.value", 1, VALUE_WIDTH).alias("value"))
+                        cut(F.col("p.value"), width).alias("value"))
 
 
 def unpivot_to_eav(wide: DataFrame, data_id: Column, columns: dict[int, tuple[str, Column]]) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparsile.functions import phrases, sqltext
-from sparsile.functions.numeric import satisfies
+from sparsile.functions.numeric import condition_holds
 from sparsile.operators import aggregates as A
-from sparsile.operators.matching import extract_conditions, lookup_ci, match_conditions, opposite
+from sparsile.operators.matching import extract_conditions, lookup_ci, match_conditions, opposite, unparsed
 from sparsile.operators.retrieval import evaluate_predicates, result_sizes
 from sparsile.sizing import join_control
 
@@ -81,24 +81,32 @@ def review_queries(samples: DataFrame, sizes: DataFrame, text: str = "natural_la
     return structural.unionByName(mismatched)
 
 
-def verify_results(samples: DataFrame, stored: DataFrame, values: DataFrame) -> DataFrame:
-    """(sample_id, issue, n): stored rows that violate a condition of their query,
-    stored ids without values, and queries without conditions or rows.
+def verify_results(samples: DataFrame, stored: DataFrame, values: DataFrame, declared: DataFrame | None = None, mode: str = "strict") -> DataFrame:
+    """(sample_id, issue, n): stored rows that violate their query, stored ids without values, queries without
+    conditions or rows, texts that cannot be read and, where ``declared`` (sample_id, n) is given, result counts that differ from the stored rows.
 
-    Every stored row is checked, through joins on (data_id, property_id)."""
+    A row is in order if any clause of its query holds; a clause holds if every alias whose property the entity
+    has finds a value that passes all its tests, numeric or text.  Every stored row is checked, through joins on
+    (data_id, property_id)."""
     plain = samples.filter(~sqltext.is_aggregation(F.col("sql")))
     conditions = extract_conditions(plain)
-    numeric = conditions.filter("clause = 0 AND kind IN ('num', 'between')").select(
-        "sample_id", "property_id", F.when(F.col("kind") == "between", "BETWEEN").otherwise(F.col("op")).alias("op"),
-        F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"))
-    checked = join_control(stored, numeric, "sample_id", spread="data_id").join(values.select("data_id", "property_id", "value"), ["data_id", "property_id"])
-    bad = checked.filter(satisfies(F.col("value"), F.col("op"), F.col("lo"), F.col("hi")) == F.lit(False))
+    tests = conditions.groupBy("sample_id", "clause", "alias", "property_id").agg(F.collect_list(F.struct("kind", "op", "lo", "hi", "text")).alias("tests"))
+    checked = join_control(stored, tests, "sample_id", spread="data_id").join(values.select("data_id", "property_id", "value"), ["data_id", "property_id"])
+    value = F.col("value")
+    holds = F.forall("tests", lambda c: F.coalesce(condition_holds(value, c["kind"], c["op"], c["lo"], c["hi"], c["text"], mode), F.lit(False)))
+    aliases = checked.groupBy("sample_id", "data_id", "clause", "alias").agg(F.max(holds).alias("ok"))
+    rows = aliases.groupBy("sample_id", "data_id", "clause").agg(F.min("ok").alias("ok")).groupBy("sample_id", "data_id").agg(F.max("ok").alias("ok"))
+    bad = rows.filter(~F.col("ok"))
     unknown = stored.join(values.select("data_id"), "data_id", "left_anti")
-    issue = lambda df, name: df.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n")).select("sample_id", F.lit(name).alias("issue"), "n")
-    none = plain.join(conditions.select("sample_id"), "sample_id", "left_anti")
+    issue = lambda df, name: df.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n")).select("sample_id", F.lit(name).alias("issue"), "n")
+    unread = unparsed(plain).filter("reason NOT IN ('empty', 'subquery')")
+    none = plain.join(conditions.select("sample_id"), "sample_id", "left_anti").join(unread, "sample_id", "left_anti")
     empty = plain.join(stored.select("sample_id").distinct(), "sample_id", "left_anti")
-    return reduce(DataFrame.unionByName, [issue(bad, "value_violation"), issue(unknown, "no_record"),
-                                          issue(none, "no_conditions"), issue(empty, "empty_data")])
+    found = [issue(bad, "value_violation"), issue(unknown, "no_record"), issue(none, "no_conditions"), issue(empty, "empty_data"), issue(unread, "unparsed")]
+    if declared is not None:
+        sizes = result_sizes(declared, stored).join(declared, "sample_id").filter(F.col("n_result") != F.col("n"))
+        found.append(sizes.select("sample_id", F.lit("count_mismatch").alias("issue"), F.abs(F.col("n_result") - F.col("n")).alias("n")))
+    return reduce(DataFrame.unionByName, found)
 
 
 def value_by_name(wanted: DataFrame, values: DataFrame) -> DataFrame:

@@ -130,4 +130,4 @@ def time_workload(spark: SparkSession, queries: list[tuple[int, str, str]]) -> t
             failures.append((sample_id, category, type(exc).__name__))
     measured = spark.createDataFrame(timings, "sample_id bigint, category string, ms double, n_rows bigint")
     failed = spark.createDataFrame(failures, "sample_id bigint, category string, error string")
-    return A.runtime_summary(measured, "ms", ["category"]), failed
+    return A.runtime_summary(measured, "ms", ["category"], max_below=20), failed

@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 # A control table (predicates, terms) may be broadcast up to this many rows.
 BROADCAST_ROWS = 50_000
+BROADCAST_BYTES = 64 << 20
 
 
-def local_copy(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
-    """``df`` as local rows when it has at most ``max_rows`` of them, else None.
+def local_copy(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame | None:
+    """``df`` as local rows when it has at most ``max_rows`` of them and ``max_bytes``, else None.
     Never more than ``max_rows`` + 1 rows reach the driver, and the plan behind a
     control table runs once instead of once per use."""
     table = df.limit(max_rows + 1).toArrow()
-    if table.num_rows > max_rows:
+    if table.num_rows > max_rows or table.nbytes > max_bytes:
         return None
     return df.sparkSession.createDataFrame(table, schema=df.schema)
 

@@ -25,4 +25,5 @@ def test_query_matches_check(spark, duck, name):
 
 
 def test_entry(spark):
-    assert entry(spark).columns == ["data_id"]
+    found = entry(spark)
+    assert found.columns == ["data_id"] and found.count() > 0

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from sparsile.catalog.tables import EDGE_TEXTS
 from sparsile.functions import bitmaps, ids, numeric, phrases, sqltext
-from sparsile.operators import aggregates, leaves, matching, numbering, retrieval, scoring
+from sparsile.operators import aggregates, leaves, matching, numbering, retrieval, scoring, shaping
 from sparsile.operators.retrieval import Condition
-from sparsile.plans import workload
+from sparsile.plans import ingest, validation, workload
 from sparsile.session import fresh_path
 from sparsile.sources import dictionary, eav_store, json_docs, reports
 
@@ -41,7 +41,7 @@ def test_workload_equals_single_retrievals_and_salted_plan(spark, tables):
     salted = retrieval.evaluate_predicates(tables.eav_value, tables.predicates, tables.eav_entity, max_predicates=0)
     pairs = lambda df: sorted((r.sample_id, r.data_id) for r in df.collect())
     assert pairs(broadcast) == pairs(salted)
-    single = retrieval.retrieve(tables.eav_entity, tables.eav_value, [Condition(4, "between", lo=10, hi=20), Condition(5, "num", ">", lo=920)])
+    single = retrieval.retrieve(tables.eav_entity, tables.eav_value, [Condition(4, "between", lo=10, hi=20), Condition(5, "num", ">", lo=905)])
     assert [d for s, d in pairs(broadcast) if s == 1] == [r.data_id for r in single.collect()]
 
 
@@ -252,3 +252,92 @@ def test_scores(spark):
     counts = scoring.recall_counts(samples, gold, pred)
     assert scoring.macro_recall(counts).first()[0] == pytest.approx((1 + 0.5 + 1 + 0 + 0) / 5)
     assert scoring.micro_recall(counts).first()[0] == pytest.approx((2 + 1 + 1) / (2 + 2 + 1 + 1 + 1))
+
+
+@pytest.mark.parametrize("n", [62, 63, 64, 65, 130])
+def test_any_number_of_aliases(spark, n):
+    values = spark.createDataFrame([(e, p, str(e)) for e in range(4) for p in range(n) if (e, p) != (1, n - 1)], "data_id long, property_id int, value string")
+    conditions = [Condition(p, "num", "<=", lo=2) for p in range(n)]
+    rows = retrieval._as_predicates(spark, [conditions])
+    expected = [0, 2]
+    assert sorted(r.data_id for r in retrieval.evaluate_predicates(values, rows).collect()) == expected
+    assert sorted(r.data_id for r in retrieval.matching_ids(values, [conditions]).collect()) == expected
+
+
+def test_query_text_reader(spark):
+    texts = [
+        (1, "SELECT 1 FROM t WHERE v.property_id = 5 AND (v.value = 'a' OR v.value = 'b (c)') AND w.property_id = 6 AND (w.value > 3 OR CAST(w.value AS DECIMAL(20, 5)) < 1)"),
+        (2, "SELECT 1 FROM t WHERE v.property_id IN (5, 6) AND v.value = 'z'"),
+        (3, "SELECT 1 FROM t WHERE v.property_id = 3 AND length(v.value) > 3"),
+        (4, ""),
+    ]
+    samples = spark.createDataFrame(texts, "sample_id long, sql string")
+    found = {}
+    for r in matching.extract_conditions(samples).collect():
+        found.setdefault(r.sample_id, set()).add((r.clause, r.alias, r.property_id, r.kind, None if r.lo is None else float(r.lo), r.text))
+    first = [("v", 5, "str", None, "a"), ("v", 5, "str", None, "b (c)")]
+    second = [("w", 6, "bare", 3.0, None), ("w", 6, "num", 1.0, None)]
+    assert {c for c, *_ in found[1]} == {0, 1, 2, 3}
+    by_clause = {frozenset(x[1:] for x in found[1] if x[0] == c) for c in range(4)}
+    assert by_clause == {frozenset((a, b)) for a in first for b in second}
+    assert found[2] == {(0, "v", 5, "str", None, "z"), (0, "v", 6, "str", None, "z")}
+    assert set(found) == {1, 2} and {r.sample_id: r.reason for r in matching.unparsed(samples).collect()} == {3: "value_test", 4: "empty"}
+
+
+def test_in_list_is_one_alias(spark):
+    values = spark.createDataFrame([(1, 5, "z"), (2, 6, "z"), (2, 5, "y"), (3, 5, "y"), (3, 6, "y")], "data_id long, property_id int, value string")
+    samples = spark.createDataFrame([(1, "SELECT 1 FROM t WHERE v.property_id IN (5, 6) AND v.value = 'z'")], "sample_id long, sql string")
+    assert sorted(r.data_id for r in retrieval.evaluate_predicates(values, matching.extract_conditions(samples)).collect()) == [1, 2]
+
+
+def test_terms_answer_alike_for_any_vocabulary_size(spark):
+    texts = spark.createDataFrame([(1, "red apple"), (1, "green apple"), (2, "apple"), (2, "apple")], "k long, text string")
+    terms = spark.createDataFrame([("apple",), ("red",), ("pear",)], "term string")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(matching.terms_in_text(texts, terms)) == rows(matching.terms_in_text(texts, terms, max_inline=1))
+
+
+def test_documents_with_leading_marks_and_fractional_ids(spark):
+    docs = spark.createDataFrame([(1, '﻿\n [{"_meta_id": 1.0, "title": "t", "data": {"a": "1"}}]'), (2, '\t\n{"template": {"K": {}}, "data": [{"meta": {"数据ID": 7.0}, "content": {"K": {"a": "1"}}}]}')], "no long, value string")
+    assert [r.raw_id for r in json_docs.explode_array_envelope(docs).collect()] == [1]
+    assert [r.raw_id for r in json_docs.explode_template_envelope(docs).collect()] == [7]
+    good, bad = json_docs.split_corrupt(docs)
+    assert (good.count(), bad.count()) == (2, 0)
+
+
+def test_long_titles_keep_their_roles_and_values_their_length(spark):
+    title, text = "t" * 250, "v" * 3000
+    docs = spark.createDataFrame([(1, '[{"_meta_id": 5, "title": "%s", "data": {"a": "%s"}}]' % (title, text))], "no long, value string")
+    dictionary = spark.createDataFrame([("a", 3)], "field string, property_id int")
+    properties = spark.createDataFrame([(3, "a")], "property_id int, property_name string")
+    roles = spark.createDataFrame([(title, 3, "object")], "title string, property_id int, role string")
+    whole = ingest.load(docs, "no", dictionary, properties, roles)
+    assert whole.values.first().value == text and whole.entities.first().object[3] == "1" and whole.entities.first().title == title
+    cut = ingest.load(docs, "no", dictionary, properties, roles, value_width=2000, title_width=200)
+    assert len(cut.values.first().value) == 2000 and cut.entities.first().title == title[:200] and cut.entities.first().object[3] == "1"
+
+
+def test_pairs_are_numbered_inside_and_across_documents(spark):
+    pairs = [(d, p) for d in (3, 1, 2) for p in range(0, 9000, 7)]
+    found = numbering.number_pairs(spark.createDataFrame(pairs, "d long, p long"), "d", "p", "n").collect()
+    assert {(r.d, r.p): r.n for r in found} == {pair: i + 1 for i, pair in enumerate(sorted(pairs))}
+
+
+def test_only_a_whole_zero_is_lifted(spark):
+    texts = spark.createDataFrame([("大于0的",), ("大于0.5的",), ("大于05",), ("小于0",)], "t string")
+    assert [r[0] for r in texts.select(sqltext.rewrite_zero_phrase(F.col("t"))).collect()] == ["大于0.1的", "大于0.5的", "大于05", "小于0.1"]
+
+
+def test_verification_reads_every_clause_and_text_tests(spark):
+    samples = spark.createDataFrame([(1, "SELECT 1 FROM t WHERE v.property_id = 5 AND (v.value > 8 OR v.value < 2)"), (2, "SELECT 1 FROM t WHERE v.property_id = 6 AND v.value = 'x'"),
+                                     (3, "SELECT 1 FROM t WHERE v.property_id = 6 AND f(v.value) = 1")], "sample_id long, sql string")
+    values = spark.createDataFrame([(1, 5, "9"), (2, 5, "1"), (3, 5, "5"), (4, 6, "x"), (5, 6, "y")], "data_id long, property_id int, value string")
+    stored = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 4), (2, 5), (3, 4)], "sample_id long, data_id long")
+    declared = spark.createDataFrame([(1, 3), (2, 9), (3, 1)], "sample_id long, n long")
+    found = {(r.sample_id, r.issue, r.n) for r in validation.verify_results(samples, stored, values, declared).collect()}
+    assert found == {(1, "value_violation", 1), (2, "value_violation", 1), (3, "unparsed", 1), (2, "count_mismatch", 7)}
+
+
+def test_ids_beyond_the_bitmap_are_reported(spark):
+    values = spark.createDataFrame([(1, 3), (1, 1024), (2, 1024)], "data_id long, property_id int")
+    assert [tuple(r) for r in shaping.ids_outside_bitmap(values).collect()] == [(1024, 2)]

@@ -168,8 +168,8 @@ def grow(gram_counts: DataFrame, depth: int = DEPTH, share: float = SHARE, diver
     good = gains.filter(F.col("gain") >= divergence).select("level", "context")
     kept = nodes_kept.filter("level > 0").join(good, ["level", "context"]).withColumn("keep", F.col("c") >= least / 10)
     states = kept.groupBy("level", "context").agg(((F.first("back") + F.sum(F.when(F.col("keep"), 0).otherwise(F.col("c")))) / (F.first("n") + F.first("back"))).alias("left"))
-    state_rows = states.toPandas()
-    entry_rows = kept.filter("keep").select("level", "key", (F.col("c") / (F.col("n") + F.col("back"))).alias("share")).toPandas()
+    state_rows = states.toArrow().to_pandas()
+    entry_rows = kept.filter("keep").select("level", "key", (F.col("c") / (F.col("n") + F.col("back"))).alias("share")).toArrow().to_pandas()
     out_states, out_entries = [], []
     alive: np.ndarray | None = None
     for level in range(1, depth + 1):

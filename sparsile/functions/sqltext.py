@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 # Patterns that decide how a query text is read.
 AGGREGATE_CALL = r"(?i)\b(?:AVG|MAX|MIN|SUM|COUNT)\s*\("
 EXTREME_CALL = r"(?i)\b(?:AVG|MAX|MIN)\s*\("
+AGGREGATE_OF = r"(?i)\b(AVG|MAX|MIN|SUM|COUNT)\s*\(\s*(CAST\s*\(\s*)?(\w+)\.(?:value|data_id)"
 AGGREGATE_NAMES = ("COUNT", "SUM", "AVG", "MAX", "MIN")
 VALUE_JOIN = r"(?i)JOIN\s+[\w.]+\.value_table"
 SUBQUERY = r"(?i)\(\s*SELECT\b"
@@ -211,6 +212,12 @@ def alias_conditions(sql: Column) -> Column:
     return F.concat(*[p.cast(CONDITION_TYPE) for p in parts])
 
 
+def aggregate_calls(sql: Column) -> Column:
+    """array of (call, fn, alias, as_number) of the aggregate calls on ``alias.value`` or ``alias.data_id``, in text order."""
+    return F.transform(_matches(sql, AGGREGATE_OF, lambda fn, cast, alias: F.struct(F.lower(fn).alias("fn"), alias.alias("alias"), (cast != "").alias("as_number")), 3),
+                       lambda c, i: F.struct(i.alias("call"), c["fn"].alias("fn"), c["alias"].alias("alias"), c["as_number"].alias("as_number")))
+
+
 def or_clauses(sql: Column) -> Column:
     """Query text per alternative: every combination of one member from each bracketed OR group, with what stands outside
     the groups; an unbracketed OR separates whole alternatives, each with the groups it holds."""

@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from sparsile.functions import phrases, sqltext
 from sparsile.operators import aggregates as A
-from sparsile.operators.numbering import reindex
+from sparsile.operators.matching import extract_conditions
+from sparsile.operators.numbering import dense_number, reindex
+from sparsile.operators.retrieval import evaluate_aggregates, evaluate_predicates
+from sparsile.session import durable
+from sparsile.sources.reports import CHUNK
 
 # Points per match of the two scoring rules (number, range or operator word, literal).
 POINTS = {1: (5, 3, 5), 2: (3, 2, 5)}
@@ -113,6 +117,30 @@ def curate_samples(samples: DataFrame, version: int = 2, threshold: str = "0.1")
     return kept.withColumn("sql", sqltext.rewrite_zero_threshold(F.col("sql"), threshold))
 
 
+def evaluate_aggregate_texts(samples: DataFrame, values: DataFrame, mode: str = "strict") -> DataFrame:
+    """(sample_id, call, fn, value, text) of every aggregate call of the samples' query texts, in one job."""
+    asked = samples.filter(sqltext.is_aggregation(F.col("sql")))
+    calls = asked.select("sample_id", F.explode(sqltext.aggregate_calls(F.col("sql"))).alias("c")).select("sample_id", "c.*")
+    return evaluate_aggregates(values, calls, extract_conditions(asked), mode)
+
+
+def gold_results(samples: DataFrame, values: DataFrame, entities: DataFrame, records: DataFrame, missing: str = "null", chunk: int = CHUNK) -> DataFrame:
+    """(sample_id, chunk, result, result_data): ids of every id query in order, each with its record, in chunks of
+    bounded size; a sample without a hit has one empty chunk.  ``missing`` keeps ids without a record (``null``) or skips them in ``result_data`` (``skip``)."""
+    asked = samples.filter(~sqltext.is_aggregation(F.col("sql")))
+    hits = durable(evaluate_predicates(values, extract_conditions(asked), entities), "hits")
+    numbered = dense_number(hits, "data_id", "_n", partition_by=["sample_id"])
+    rows = numbered.join(records.withColumn("_known", F.lit(True)), "data_id", "left").withColumn("chunk", F.floor((F.col("_n") - 1) / chunk))
+    record = F.struct(*[c for c in records.columns if c != "data_id"])
+    listed = F.array_sort(F.collect_list(F.struct("_n", "data_id", record.alias("record"), "_known")))
+    packed = rows.groupBy("sample_id", "chunk").agg(listed.alias("_rows"))
+    kept = F.col("_rows") if missing == "null" else F.filter("_rows", lambda r: F.coalesce(r["_known"], F.lit(False)))
+    data = F.transform(kept, lambda r: F.when(r["_known"], r["record"]))
+    chunks = packed.select("sample_id", "chunk", F.transform("_rows", lambda r: r["data_id"]).alias("result"), data.alias("result_data"))
+    return asked.select("sample_id").join(chunks, "sample_id", "left").withColumns({
+        "chunk": F.coalesce("chunk", F.lit(0)), "result": F.coalesce("result", F.array().cast("array<bigint>")), "result_data": F.coalesce("result_data", F.array().cast(chunks.schema["result_data"].dataType))})
+
+
 def workload_report(samples: DataFrame, sizes: DataFrame) -> DataFrame:
     return workload_stats(samples, sizes).join(keyword_agreement(samples).drop("n"), "category")
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
 from sparsile.llm.text import flat, per_text, sizes_of
 
-MEMO_PIECES = 300_000
+MEMO_PIECES = 450_000
 
 
 class _Numbered(dict):
@@ -22,31 +23,59 @@ class _Numbered(dict):
         return number
 
 
+def joined(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of lists in a row, and the length of each."""
+    lengths = sizes_of(lists)
+    return np.fromiter(chain.from_iterable(lists), dtype=np.int32, count=int(lengths.sum())), lengths
+
+
 class SequenceMemo:
-    """Ids of texts that are cut into independent pieces.  Known pieces are kept up to ``limit`` of them."""
+    """Ids of texts that are cut into independent pieces.  Known pieces are kept up to ``limit`` of them.
+    ``encode_many`` gives the ids of pieces in a row and the number of each; ``cut`` gives the smaller pieces of which a
+    piece is made, or None if it is to be encoded as it is."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], limit: int = MEMO_PIECES) -> None:
-        self.encode_many, self.limit = encode_many, limit
+    def __init__(self, encode_many: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], cut: Callable[[str], list[str] | None] | None = None, limit: int = MEMO_PIECES) -> None:
+        self.encode_many, self.cut, self.limit = encode_many, cut, limit
         self._reset()
 
     def _reset(self) -> None:
         self.numbers = _Numbered()
         self.ids, self.lengths, self.starts = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
+    def _put(self, places: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.starts[places], self.lengths[places] = len(self.ids) + np.cumsum(lengths) - lengths, lengths
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of known pieces in a row, and the number of each."""
+        lengths = self.lengths[numbers]
+        return self.ids[np.arange(int(lengths.sum())) + np.repeat(self.starts[numbers] - (np.cumsum(lengths) - lengths), lengths)], lengths
+
+    def _learn(self) -> None:
+        fresh, base = self.numbers.fresh, len(self.starts)
+        self.numbers.fresh = []
+        inner = {} if self.cut is None else {base + i: parts for i, w in enumerate(fresh) if (parts := self.cut(w)) is not None}
+        per = sizes_of(list(inner.values()))
+        parts = self._numbered(flat(list(inner.values())))
+        more = self.numbers.fresh
+        self.numbers.fresh = []
+        room = len(self.numbers) - base
+        self.starts, self.lengths = np.append(self.starts, np.zeros(room, np.int64)), np.append(self.lengths, np.zeros(room, np.int64))
+        whole = [n for n in range(base, base + len(fresh)) if n not in inner]
+        self._put(np.array([*whole, *range(base + len(fresh), base + room)], np.int64), *self.encode_many([*(fresh[n - base] for n in whole), *more]))
+        if inner:
+            ids, lengths = self._gather(parts)
+            self._put(np.array(list(inner), np.int64), ids, per_text(lengths, per))
+
+    def _numbered(self, pieces: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.numbers.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+
     def encode(self, pieces: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and their number per text."""
-        per = sizes_of(pieces)
-        numbers = np.fromiter(map(self.numbers.__getitem__, flat(pieces)), dtype=np.int64, count=int(per.sum()))
+        numbers = self._numbered(flat(pieces))
         if self.numbers.fresh:
-            found = self.encode_many(self.numbers.fresh)
-            lengths = sizes_of(found)
-            ids = np.fromiter((i for part in found for i in part), dtype=np.int32, count=int(lengths.sum()))
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
-            self.ids, self.lengths = np.concatenate([self.ids, ids]), np.concatenate([self.lengths, lengths])
-            self.numbers.fresh = []
-        lengths = self.lengths[numbers]
-        places = np.arange(int(lengths.sum())) + np.repeat(self.starts[numbers] - (np.cumsum(lengths) - lengths), lengths)
-        out = self.ids[places], per_text(lengths, per)
+            self._learn()
+        ids, lengths = self._gather(numbers)
         if len(self.numbers) > self.limit:
             self._reset()
-        return out
+        return ids, per_text(lengths, sizes_of(pieces))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql.functions import arrow_udf
 
-from sparsile.llm.memo import SequenceMemo
+from sparsile.llm.memo import SequenceMemo, joined
 from sparsile.llm.text import cut_by_bytes, raw
 
 # Fixed values of the model format.
@@ -130,7 +130,7 @@ class OffsetNormalizer:
                     break
                 at += size
         if at >= len(data):
-            return b"", np.array([at])
+            return b"", np.array([0])
 
         def put(piece: bytes, source: int) -> None:
             out.extend(piece)
@@ -175,17 +175,16 @@ class PieceCodec:
         self.word = re.compile(f"(?:\\A|[ {MARK}])([ {MARK}]*[^ {MARK}]*)")
         self.memo = SequenceMemo(self._encode_words)
 
-    def _encode_words(self, words: list[str]) -> list[list[int]]:
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = self.library.encode(words, num_threads=1)
         lone = [self.library.piece_to_id(MARK)]
-        return [ids if word else lone for word, ids in zip(words, found)]
+        return joined([ids if word else lone for word, ids in zip(words, found)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and their number per text."""
         if self.by_word:
             return self.memo.encode([self.word.findall(t) if t else [] for t in texts])
-        found = self.library.encode(texts, num_threads=1)
-        return np.array([i for ids in found for i in ids], np.int32), np.array([len(ids) for ids in found], np.int64)
+        return joined(self.library.encode(texts, num_threads=1))
 
     def spans(self, data: bytes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and end of each piece in the bytes of the text."""

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparsile.llm.memo import SequenceMemo
+from sparsile.llm.memo import SequenceMemo, joined
 from sparsile.llm.text import cut_by_bytes, raw
 from sparsile.session import durable, fresh_path
 
@@ -74,24 +74,25 @@ class BytePieceEncoder:
         cut = form["pre_tokenizer"] or {}
         self.by_piece = (form["normalizer"] is None and form["model"].get("type", "BPE") == "BPE" and cut.get("type") == "ByteLevel"
                          and not cut.get("add_prefix_space", True) and cut.get("use_regex", True))
-        self.words = SequenceMemo(self._encode_words)
-        self.pieces = SequenceMemo(self._encode_pieces)
+        self.words = SequenceMemo(self._encode_pieces, self._cut)
 
-    def _encode_pieces(self, pieces: list[str]) -> list[list[int]]:
-        tokenize = self.tokenizer.model.tokenize
-        return [[t.id for t in tokenize(p.encode().decode("latin-1").translate(_STAND_INS))] for p in pieces]
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        tokenize, blank = self.tokenizer.model.tokenize, chr(_STAND_INS[32])
+        shown = [p.replace(" ", blank) if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(_STAND_INS) for p in pieces]
+        return joined([[t.id for t in tokenize(p)] for p in shown])
 
-    def _encode_words(self, words: list[str]) -> list[list[int]]:
-        ids, per = self.pieces.encode([_INNER.findall(w) for w in words])
-        ids, ends = ids.tolist(), np.cumsum(per).tolist()
-        return [ids[stop - n : stop] for stop, n in zip(ends, per.tolist())]
+    @staticmethod
+    def _cut(word: str) -> list[str] | None:
+        if word.isalpha() or (word[0] == " " and word[1:].isalpha()):  # one piece of the pattern
+            return None
+        parts = _INNER.findall(word)
+        return parts if len(parts) > 1 else None
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and their number per text."""
         if self.by_piece:
             return self.words.encode([_PIECE.findall(t) for t in texts])
-        found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        return np.array([i for ids in found for i in ids], np.int32), np.array([len(ids) for ids in found], np.int64)
+        return joined([e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)])
 
 
 def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,19 +64,34 @@ def number_pairs(df: DataFrame, first: str, second: str, name: str) -> DataFrame
     return inside.join(starts, first).withColumn(name, (F.col("_inside") + F.col("_before")).cast("bigint")).drop("_inside", "_before")
 
 
+def ranged_total(df: DataFrame, order: str, name: str, weight: str | None = None, partition_by: list[str] | None = None) -> DataFrame:
+    """Running sum of ``weight`` (1 per row if None) in order of any sortable column without ties, the row included.
+
+    Rows are cut into ranges of equal count (Spark samples the cuts; they only place the rows, the sums are exact) and
+    written once, so that each row keeps its range.  Totals per range, one row each, give every range its start.
+    """
+    group = partition_by or []
+    amount = F.lit(1) if weight is None else F.col(weight)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = durable(df.repartitionByRange(parts, *group, order).withColumn("_part", F.spark_partition_id()), "ranged")
+    totals = ranged.groupBy(*group, "_part").agg(F.sum(amount).alias("_n"))
+    earlier = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = totals.select(*group, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    inside = W.partitionBy(*group, "_part").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    summed = ranged.withColumn("_in", F.sum(amount).over(inside)).alias("r").join(
+        starts.alias("s"), reduce(lambda a, c: a & F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")), group, F.col("r._part") == F.col("s._part")))
+    return summed.select(*[F.col(f"r.{c}") for c in df.columns], (F.col("_in") + F.col("_start")).cast("bigint").alias(name))
+
+
 def exact_percentiles(df: DataFrame, col: str, by: list[str], shares: dict[str, float]) -> DataFrame:
-    """Continuous percentiles of a double column, for inputs of any size.
+    """Continuous percentiles of a double column per group, for inputs of any size and any spread of values.
 
-    Equal values are counted first.  Values are then laid on an integer scale
-    between their group's extremes (which keeps their order), and a running total
-    of counts over that scale gives each value its ranks; a percentile is read
-    from the values at the two ranks around it.
+    Equal values are counted first; a running total of counts over value ranges gives each value its ranks, and a percentile is
+    read from the values at the two ranks around it.
     """
     counts = durable(df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_c")), "counts")
-    ends = counts.groupBy(*by).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"), F.sum("_c").alias("_total"))
-    position = (F.col(col) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * float((1 << 44) - 1)
-    scaled = counts.join(ends, by).withColumn("_key", F.coalesce(F.floor(position), F.lit(0)).cast("bigint"))
-    ranked = running_total(scaled, "_key", "_upto", "_c", [col], by)
+    totals = counts.groupBy(*by).agg(F.sum("_c").alias("_total"))
+    ranked = ranged_total(counts, col, "_upto", "_c", by).join(totals, by)
     aggregates = []
     for name, share in shares.items():
         target = (F.col("_total") - 1) * share
@@ -87,13 +104,9 @@ def exact_percentiles(df: DataFrame, col: str, by: list[str], shares: dict[str,
 
 
 def assign_dataset_id(entities: DataFrame) -> DataFrame:
-    """Same title, same four-digit id, numbered by title.
-
-    Titles are counted in thousands at most (the id has four digits), so only
-    the distinct titles meet in one window.
-    """
-    ids = entities.select("title").filter("title IS NOT NULL").distinct().withColumn(
-        "dataset_id", F.format_string("%04d", F.row_number().over(W.orderBy("title"))))
+    """Same title, same id of four or more digits, numbered by title; distinct titles are numbered range by range."""
+    titles = entities.select("title").filter("title IS NOT NULL").distinct()
+    ids = ranged_total(titles, "title", "_n").select("title", F.format_string("%04d", "_n").alias("dataset_id"))
     return entities.drop("dataset_id").join(ids, "title", "left")
 
 
@@ -138,18 +151,17 @@ def rank_frequency(coverage: DataFrame) -> DataFrame:
 
 def cdf(counts: DataFrame, value: str) -> DataFrame:
     """Share of rows at or below each value.  Rows are counted per distinct
-    value before the running sum."""
+    value before the running sum, which goes range by range."""
     per_value = counts.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(W.partitionBy())
-    upto = F.sum("n").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, 0))
-    return per_value.select(value, "n", ((upto - F.col("n") + 1) / total).alias("cdf_first"), (upto / total).alias("cdf"))
+    total = counts.count()
+    upto = F.col("_upto")
+    return ranged_total(per_value, value, "_upto", "n").select(value, "n", ((upto - F.col("n") + 1) / total).alias("cdf_first"), (upto / total).alias("cdf"))
 
 
 def cdf_rows(counts: DataFrame, value: str, key: str) -> DataFrame:
     """i/n per row in value order; tied rows (ordered by ``key``) get different shares."""
-    per_value = counts.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    starts = per_value.select(
-        value, F.coalesce(F.sum("_n").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-        F.sum("_n").over(W.partitionBy()).alias("_total"))
+    total = counts.count()
+    per_value = counts.groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
+    starts = ranged_total(per_value, value, "_upto", "_c").select(value, (F.col("_upto") - F.col("_c")).alias("_before"))
     numbered = dense_number(counts, key, "_i", partition_by=[value]).join(starts, value)
-    return numbered.withColumn("cdf", (F.col("_before") + F.col("_i")) / F.col("_total")).drop("_i", "_before", "_total")
+    return numbered.withColumn("cdf", (F.col("_before") + F.col("_i")) / total).drop("_i", "_before")

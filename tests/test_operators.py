@@ -341,3 +341,15 @@ def test_verification_reads_every_clause_and_text_tests(spark):
 def test_ids_beyond_the_bitmap_are_reported(spark):
     values = spark.createDataFrame([(1, 3), (1, 1024), (2, 1024)], "data_id long, property_id int")
     assert [tuple(r) for r in shaping.ids_outside_bitmap(values).collect()] == [(1024, 2)]
+
+
+def test_percentiles_with_an_outlier(spark):
+    rows = [("a", float(i)) for i in range(2001)] + [("a", 1e18)] + [("b", 5.0)] * 10
+    found = numbering.exact_percentiles(spark.createDataFrame(rows, "g string, x double"), "x", ["g"], {"p50": 0.5, "p0": 0.0, "p100": 1.0})
+    assert {r.g: (r.p50, r.p0, r.p100) for r in found.collect()} == {"a": (1000.5, 0.0, 1e18), "b": (5.0, 5.0, 5.0)}
+
+
+def test_many_titles_are_numbered_in_order(spark):
+    titles = spark.range(20_000).select(F.concat(F.lit("t"), F.format_string("%06d", (F.col("id") * 7919) % 20_000)).alias("title"))
+    found = numbering.assign_dataset_id(titles.union(titles)).distinct().collect()
+    assert len(found) == 20_000 and all(int(r.dataset_id) == int(r.title[1:]) + 1 for r in found)

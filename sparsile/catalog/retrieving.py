@@ -10,6 +10,7 @@ from sparsile.functions.numeric import compare, near, non_empty, to_decimal
 from sparsile.operators import enrich, matching, retrieval
 from sparsile.operators.retrieval import Condition
 from sparsile.plans import validation
+from sparsile.session import durable
 
 NUM = "TRY_CAST({} AS DECIMAL(30,15))"
 PREFIX = r"TRY_CAST(NULLIF(regexp_extract({0}, '^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)', 1), '') AS DECIMAL(30,15))"
@@ -170,7 +171,7 @@ def _(t):
 
 def region_queries(t, suffix: str):
     """One aggregate and one id query per region, over views of the whole tables."""
-    t.eav_value.createOrReplaceTempView(f"value_table_{suffix}")
+    durable(t.eav_value, "store").createOrReplaceTempView(f"value_table_{suffix}")  # once for all texts
     t.eav_entity.createOrReplaceTempView(f"entity_table_{suffix}")
     out = []
     for region in range(5):

@@ -225,9 +225,12 @@ def _(t):
 
 # ---- workload reports ------------------------------------------------------
 
-@register("a18_workload_stats", rf"""SELECT {CLASS_A} AS category, COUNT(*) AS samples, round(avg({count_of(r'(?i)\bJOIN\b')}), 6) AS avg_joins, min({count_of(r'(?i)\bJOIN\b')}) AS min_joins, max({count_of(r'(?i)\bJOIN\b')}) AS max_joins,
+STATS = rf"""SELECT {CLASS_A} AS category, COUNT(*) AS samples, round(avg({count_of(r'(?i)\bJOIN\b')}), 6) AS avg_joins, min({count_of(r'(?i)\bJOIN\b')}) AS min_joins, max({count_of(r'(?i)\bJOIN\b')}) AS max_joins,
 round(avg({count_of(r'(?i)\bWHERE\b')}), 6) AS avg_where, round(avg({FILTERS}), 6) AS avg_filters, min({FILTERS}) AS min_filters, max({FILTERS}) AS max_filters, round(avg(len({PIDS})), 6) AS avg_props, CAST(median(n_result) AS DOUBLE) AS median_result,
-COALESCE(CAST(len(list_distinct(flatten(list({PIDS})))) AS BIGINT), 0) AS distinct_props FROM samples JOIN x_size USING (sample_id) GROUP BY 1""")
+COALESCE(CAST(len(list_distinct(flatten(list({PIDS})))) AS BIGINT), 0) AS distinct_props FROM samples JOIN x_size USING (sample_id) GROUP BY 1"""
+
+
+@register("a18_workload_stats", STATS)
 def _(t):
     return rounded(workload.workload_stats(t.samples, sizes(t)), "avg_joins", "avg_where", "avg_filters", "avg_props")
 
@@ -278,9 +281,9 @@ def _(t):
     return rounded(validation.quality_overview(t.samples, sizes(t)), "value")
 
 
-@register("v7_workload_report", f"SELECT category, n AS samples, agg_share, multi_share FROM ({AGREE}) q")
+@register("v7_workload_report", f"SELECT s.*, a.agg_share, a.multi_share FROM ({STATS}) s JOIN ({AGREE}) a ON a.category = s.category")
 def _(t):
-    return rounded(workload.workload_report(t.samples, sizes(t)), "agg_share", "multi_share").select("category", "samples", "agg_share", "multi_share")
+    return rounded(workload.workload_report(t.samples, sizes(t)), "avg_joins", "avg_where", "avg_filters", "avg_props", "agg_share", "multi_share")
 
 
 # class, count and failures are fixed; the times are not

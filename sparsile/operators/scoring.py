@@ -14,37 +14,30 @@ SCALAR_TOLERANCE = 1e-6
 
 
 def _set_counts(samples: DataFrame, gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Per sample: distinct gold values, distinct predicted values, both."""
+    """Per sample: distinct gold values, distinct predicted values, both, and whether a single value on either
+    side lies within the tolerance.  Values may be ids or texts of numbers; one pass over both sides."""
     sides = gold.select("sample_id", "value", F.lit(1).alias("g"), F.lit(0).alias("p")).unionByName(
         predicted.select("sample_id", "value", F.lit(0).alias("g"), F.lit(1).alias("p")))
     per_value = sides.groupBy("sample_id", "value").agg(F.max("g").alias("g"), F.max("p").alias("p"))
-    counts = per_value.groupBy("sample_id").agg(F.sum("g").alias("n_gold"), F.sum("p").alias("n_pred"), F.sum(F.col("g") * F.col("p")).alias("n_both"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-    return samples.join(counts, "sample_id", "left").select(*samples.columns, zero("n_gold"), zero("n_pred"), zero("n_both"))
-
-
-def _scalar_hits(samples: DataFrame, gold: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Scalar samples whose single predicted value is within the tolerance."""
-    wanted = samples.filter("kind = 'scalar'").select("sample_id")
-    one = lambda df, name: df.join(wanted, "sample_id", "left_semi").groupBy("sample_id").agg(
-        F.max("value").alias(name), F.count_distinct("value").alias(f"n_{name}"))
-    pair = one(gold, "gold").join(one(predicted, "pred"), "sample_id")
-    close = (F.col("n_gold") == 1) & (F.col("n_pred") == 1) & (F.abs(F.col("gold") - F.col("pred")) <= SCALAR_TOLERANCE)
-    return pair.select("sample_id", close.alias("close"))
+    only = lambda side: F.max(F.when(F.col(side) == 1, F.col("value"))).cast("double")  # noqa: E731  the value itself where there is one
+    close = (F.sum("g") == 1) & (F.sum("p") == 1) & (F.abs(only("g") - only("p")) <= SCALAR_TOLERANCE)
+    counts = per_value.groupBy("sample_id").agg(F.sum("g").alias("n_gold"), F.sum("p").alias("n_pred"), F.sum(F.col("g") * F.col("p")).alias("n_both"), close.alias("close"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return samples.join(counts, "sample_id", "left").select(*samples.columns, zero("n_gold"), zero("n_pred"), zero("n_both"), F.coalesce("close", F.lit(False)).alias("close"))
 
 
 def execution_accuracy(samples: DataFrame, gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """(sample_id, ex): order-free, duplicate-free set equality; scalars within 1e-6; failures 0."""
-    scored = _set_counts(samples, gold, predicted).join(_scalar_hits(samples, gold, predicted), "sample_id", "left")
+    scored = _set_counts(samples, gold, predicted)
     same = (F.col("n_gold") == F.col("n_both")) & (F.col("n_pred") == F.col("n_both"))
-    hit = F.when(F.col("kind") == "scalar", F.coalesce("close", F.lit(False))).otherwise(same)
+    hit = F.when(F.col("kind") == "scalar", F.col("close")).otherwise(same)
     return scored.select("sample_id", F.when(F.col("failed"), 0).otherwise(hit.cast("int")).alias("ex"))
 
 
 def recall_counts(samples: DataFrame, gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """(sample_id, hits, wanted); samples without gold values are left out."""
-    scored = _set_counts(samples, gold, predicted).join(_scalar_hits(samples, gold, predicted), "sample_id", "left")
-    hits = F.when(F.col("failed"), 0).when(F.col("kind") == "scalar", F.coalesce("close", F.lit(False)).cast("int")).otherwise(F.col("n_both"))
+    scored = _set_counts(samples, gold, predicted)
+    hits = F.when(F.col("failed"), 0).when(F.col("kind") == "scalar", F.col("close").cast("int")).otherwise(F.col("n_both"))
     wanted = F.when(F.col("kind") == "scalar", 1).otherwise(F.col("n_gold"))
     return scored.filter("n_gold > 0").select("sample_id", hits.cast("bigint").alias("hits"), wanted.cast("bigint").alias("wanted"))
 

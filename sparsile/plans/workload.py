@@ -101,13 +101,13 @@ def best_of_group(scored: DataFrame, version: int = 1) -> DataFrame:
     """Samples that survive their duplicate group: every sample with the top
     score; in version 2 a group whose top score is 0 keeps its highest id only.
     The group's best is an aggregate joined back, so a huge group is not sorted."""
-    keyed = scored.withColumn("norm_sql", sqltext.normalize_space(F.col("sql")))
-    best = keyed.groupBy("norm_sql").agg(F.max("score").alias("_top"), F.max("sample_id").alias("_last"))
-    joined = keyed.join(best, "norm_sql")
+    keyed = scored.withColumn("_text", F.md5(sqltext.normalize_space(F.col("sql")).cast("binary")))  # 128 bits stand for the text
+    best = keyed.select("_text", "score", "sample_id").groupBy("_text").agg(F.max("score").alias("_top"), F.max("sample_id").alias("_last"))
+    joined = keyed.join(best, "_text")
     keep = F.col("score") == F.col("_top")
     if version == 2:
         keep = keep & ((F.col("_top") > 0) | (F.col("sample_id") == F.col("_last")))
-    return joined.filter(keep).drop("norm_sql", "_top", "_last")
+    return joined.filter(keep).drop("_text", "_top", "_last")
 
 
 def curate_samples(samples: DataFrame, version: int = 2, threshold: str = "0.1") -> DataFrame:

@@ -121,6 +121,7 @@ def test_grams_by_hand():
     codes, sizes = suffix_tree.grams([[b"ab"], []])
     assert sizes.tolist() == [4, 1]
     pad, end = suffix_tree.START, suffix_tree.END
-    last = [[pad, pad, pad, pad, pad, pad, ord("a")], [pad, pad, pad, pad, pad, ord("a"), ord("b")], [pad, pad, pad, pad, ord("a"), ord("b"), 32], [pad, pad, pad, ord("a"), ord("b"), 32, end]]
-    expected = [int.from_bytes(bytes(x), "big") for x in last]
-    assert codes.tolist()[:4] == expected
+    symbols = [ord("a"), ord("b"), 32, end]
+    padded = [pad] * suffix_tree.DEPTH + symbols
+    assert codes.tolist()[:4] == [int.from_bytes(bytes(padded[i : i + suffix_tree.DEPTH + 1]), "big") for i in range(4)]
+    assert codes.tolist()[4] == int.from_bytes(bytes([pad] * suffix_tree.DEPTH + [end]), "big")

@@ -139,6 +139,12 @@ def explode_leaves(records: DataFrame, json_col: str = "data", rules: LeafRules
         "leaf_pos IS NOT NULL").select(*keep, "leaf_pos", "leaf.field", "leaf.value")
 
 
+def unpack_leaves(records: DataFrame, column: str = "leaves") -> DataFrame:
+    """One row per leaf of records that hold their leaves as an array (see ``record_leaves``)."""
+    keep = [c for c in records.columns if c != column]
+    return records.select(*keep, F.posexplode_outer(column).alias("leaf_pos", "leaf")).filter("leaf_pos IS NOT NULL").select(*keep, "leaf_pos", "leaf.field", "leaf.value")
+
+
 def last_write_wins(leaves: DataFrame, record_keys: list[str]) -> DataFrame:
     """A field repeated inside one record keeps its last value but its first place."""
     carried = [c for c in leaves.columns if c not in (*record_keys, "field", "leaf_pos", "value")]

@@ -35,19 +35,18 @@ def load(docs: DataFrame, order_key: str, dictionary: DataFrame, properties: Dat
     """``docs`` is (order_key, value [, file_name]); ``order_key`` is a unique
     integer giving the load order of documents.
 
-    Documents are read twice: once for their ids, once for their leaves.  Both
-    results are compact and kept in the shared folder, so neither the collision
-    pass nor the second output table parses JSON again.  Leaves are shuffled once
+    Documents are read and parsed once, into one compact row per record (id, title, leaves) in the shared
+    folder; id collisions are settled on its ids and joined back to it.  Leaves are shuffled once
     by record; the last-write aggregate and the merge reuse that partitioning.  Roles are
     looked up by the whole title; widths cut what is stored, if given.
     """
     keyed = records_of(docs, rules).filter("raw_id IS NOT NULL").withColumn(
         "data_id", normalize_id(F.col("raw_id"), id_rule, F.col("from_template")))
     order = [order_key, "pos"]
-    ids = durable(keyed.select(*order, "data_id"), "ids")
-    changes = durable(numbering.collision_changes(ids, "data_id", order), "changes")
-    records = keyed.join(changes, order, "left").withColumn("data_id", F.coalesce("new_id", "data_id"))
-    exploded = leaves.explode_leaves(records.select("data_id", "title", "data_producers", "data_organizations", "data"), rules=rules)
+    packed = durable(keyed.select(*order, "data_id", "title", "data_producers", "data_organizations", F.expr(leaves.record_leaves("`data`", rules)).alias("leaves")), "records")
+    changes = durable(numbering.collision_changes(packed.select(*order, "data_id"), "data_id", order), "changes")
+    records = packed.join(changes, order, "left").withColumn("data_id", F.coalesce("new_id", "data_id"))
+    exploded = leaves.unpack_leaves(records.select("data_id", "title", "data_producers", "data_organizations", "leaves"))
     known = exploded.join(dictionary.filter("property_id IS NOT NULL").select("field"), "field", "left_semi")
     flat = leaves.last_write_wins(known.repartition("data_id"), ["data_id"])
     mapped = durable(shaping.classify_roles(shaping.map_fields(flat, dictionary, properties, value_width), roles).withColumn("title", shaping.cut(F.col("title"), title_width)), "mapped")

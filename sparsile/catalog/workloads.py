@@ -274,6 +274,22 @@ def _(t):
     return validation.verify_results(t.nation_samples, t.sql(SHIFTED), t.eav_value)
 
 
+# stored customers of each nation against a balance outside a band, and a text that cannot be read
+BANDS = """SELECT CAST(n_nationkey AS BIGINT) AS sample_id, CASE WHEN n_nationkey = 24 THEN 'SELECT v.data_id FROM eav.value_table v WHERE v.property_id = 23 AND floor(v.value) = 1' ELSE
+'SELECT v.data_id FROM eav.value_table v JOIN eav.value_table v2 ON v2.data_id = v.data_id WHERE v.property_id = 24 AND v.value <> ''BUILDING'' AND v2.property_id = 23 AND (v2.value > 6000 OR v2.value < 2000)' END AS sql FROM {nation}"""
+
+
+@register("v4_clauses_and_texts", """SELECT CAST(c_nationkey AS BIGINT) AS sample_id, 'value_violation' AS issue, COUNT(*) AS n FROM customer WHERE c_nationkey < 24 AND (c_mktsegment = 'BUILDING' OR c_acctbal BETWEEN 2000 AND 6000) GROUP BY 1
+UNION ALL SELECT 24, 'unparsed', 1
+UNION ALL SELECT CAST(n_nationkey AS BIGINT), 'empty_data', 1 FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer)
+UNION ALL SELECT CAST(n_nationkey AS BIGINT), 'count_mismatch', 3 FROM nation WHERE n_regionkey = 1""")
+def _(t):
+    stored = t.customer.select(F.col("c_nationkey").cast("bigint").alias("sample_id"), (1000002 + 4 * F.col("c_custkey")).alias("data_id"))
+    counts = t.nation.join(stored, F.col("sample_id") == F.col("n_nationkey"), "left").groupBy("n_nationkey", "n_regionkey").agg(F.count("data_id").alias("n"))
+    declared = counts.select(F.col("n_nationkey").cast("bigint").alias("sample_id"), (F.col("n") + F.when(F.col("n_regionkey") == 1, 3).otherwise(0)).alias("n"))
+    return validation.verify_results(t.sql(BANDS), stored, t.eav_value, declared)
+
+
 @register("v5_quality_overview", r"""SELECT unnest(['mean_size', 'missing_aggregate', 'unselective', 'stars']) AS name, unnest([round(m, 6), CAST(a AS DOUBLE), CAST(u AS DOUBLE), CASE WHEN a + u = 0 THEN 5.0 WHEN a + u <= 10 THEN 4.0 WHEN a + u <= 30 THEN 3.0 ELSE 2.0 END]) AS value FROM (
 SELECT avg(n_result) AS m, SUM(CASE WHEN regexp_matches(natural_language, '最大|最小|平均|最高|最低|总和|统计') AND NOT regexp_matches(sql, '(?i)(MAX|MIN|AVG|SUM|COUNT)\(') THEN 1 ELSE 0 END) AS a, 0 AS u FROM samples JOIN x_size USING (sample_id)) q
 UNION ALL SELECT 'size ' || bin, CAST((SELECT COUNT(*) FROM x_size WHERE n_result BETWEEN lo AND hi) AS DOUBLE) FROM (VALUES ('0', 0, 0), ('1-5', 1, 5), ('6-50', 6, 50), ('51-200', 51, 200), ('201-500', 201, 500), ('500+', 501, 999999999)) b(bin, lo, hi)""")
@@ -286,6 +302,33 @@ def _(t):
     return rounded(workload.workload_report(t.samples, sizes(t)), "avg_joins", "avg_where", "avg_filters", "avg_props", "agg_share", "multi_share")
 
 
+# texts with one fault each, by customer
+BROKEN = """SELECT CAST(c_custkey AS BIGINT) AS sample_id, '' AS natural_language, CAST(c_custkey % 2 AS BIGINT) AS n_result, CASE c_custkey % 5
+WHEN 0 THEN 'SELECT DISTINCT v.data_id WHERE v.property_id = 22' WHEN 1 THEN 'SELECT v.data_id FROM eav.value_table v WHERE v.property_id = 23 AND CAST(v.data_id AS DECIMAL(30, 15)) > 5'
+WHEN 2 THEN 'SELECT v.data_id FROM eav.value_table v JOIN eav.value_table v2 ON v2.data_id = v.data_id WHERE v.property_id = 22 AND v2.property_id = 22'
+WHEN 3 THEN '' ELSE 'SELECT v.data_id FROM eav.value_table v WHERE v.property_id = 22' END AS sql FROM {customer}"""
+
+
+@register("v2_every_issue", """SELECT CAST(c_custkey AS BIGINT) AS sample_id, CASE c_custkey % 5 WHEN 0 THEN 'missing_from' WHEN 1 THEN 'bad_cast' WHEN 2 THEN 'duplicate_property' ELSE 'missing_sql' END AS issue FROM customer WHERE c_custkey % 5 < 4
+UNION ALL SELECT CAST(c_custkey AS BIGINT), 'empty_suspicious' FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 5 <> 3""")
+def _(t):
+    broken = t.sql(BROKEN)
+    return validation.review_queries(broken.drop("n_result"), broken.select("sample_id", "n_result"))
+
+
+# three properties and 400 to 880 rows; a third of the questions ask for an aggregate that the text lacks
+WIDE = """SELECT CAST(c_custkey AS BIGINT) AS sample_id, CASE WHEN c_custkey % 3 = 0 THEN '最大的' ELSE '' END AS natural_language, CAST(400 + 20 * (c_custkey % 25) AS BIGINT) AS n_result,
+'SELECT v.data_id FROM eav.value_table v WHERE v.property_id = 21 AND w.property_id = 22 AND x.property_id = 23' AS sql FROM {customer}"""
+
+
+@register("v5_every_count", """SELECT name, value FROM (SELECT unnest(['mean_size', 'missing_aggregate', 'unselective', 'stars']) AS name, unnest([round(avg(m), 6), CAST(SUM(a) AS DOUBLE), CAST(SUM(u) AS DOUBLE), CASE WHEN SUM(a) + SUM(u) = 0 THEN 5.0 WHEN SUM(a) + SUM(u) <= 10 THEN 4.0 WHEN SUM(a) + SUM(u) <= 30 THEN 3.0 ELSE 2.0 END]) AS value
+FROM (SELECT 400 + 20 * (c_custkey % 25) AS m, CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS a, CASE WHEN 400 + 20 * (c_custkey % 25) > 500 THEN 1 ELSE 0 END AS u FROM customer) q) r
+UNION ALL SELECT 'size ' || bin, CAST((SELECT COUNT(*) FROM customer WHERE 400 + 20 * (c_custkey % 25) BETWEEN lo AND hi) AS DOUBLE) FROM (VALUES ('0', 0, 0), ('1-5', 1, 5), ('6-50', 6, 50), ('51-200', 51, 200), ('201-500', 201, 500), ('500+', 501, 999999999)) b(bin, lo, hi)""")
+def _(t):
+    wide = t.sql(WIDE)
+    return rounded(validation.quality_overview(wide.drop("n_result"), wide.select("sample_id", "n_result")), "value")
+
+
 # class, count and failures are fixed; the times are not
 @register("v8_time_workload", "SELECT * FROM (VALUES ('aggregated', CAST(5 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS VARCHAR)), ('simple', 5, 1, 'AnalysisException')) v(category, n, failed, error)")
 def _(t):

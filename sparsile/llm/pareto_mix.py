@@ -17,6 +17,8 @@ gives an empty result; a source of size 0 has target 0.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,7 +29,6 @@ from sparsile.sizing import local_copy
 WEIGHTS = (5, 2, 1)
 MOST = 3
 WORD = r"[^\x20\x09-\x0D]+"
-ROWS_PER_BUCKET = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -58,7 +59,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 def sampling_cuts(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, source_size, target, copies, cut): whole copies of every document of a source, and the
     highest draw that gets one more."""
-    buckets = max(1, -(-sizes.count() // ROWS_PER_BUCKET))
+    buckets = max(1, math.isqrt(sizes.count()))  # as many buckets as rows in one
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     plan = targets.withColumn("copies", F.floor(share)).withColumn("p", share - F.col("copies")).withColumn("owed", F.col("target") - F.col("copies") * F.col("source_size"))
     # equal draws are one draw; p is one number per source, so ranks order as draws do

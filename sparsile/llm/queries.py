@@ -104,7 +104,18 @@ def op9_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", piece_codec.round_trip(F.col("text"), public_tokenizers.path("piece_bpe_32k.model")).alias("r")).select("doc_id", "r.*")
 
 
-@query()
+JOIN_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) ELSE [array_to_string(ws, ' ')] END)) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE c >= 0.8 * (nx.n + ny.n - c)),
+r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT d.doc_id, (SELECT min(y) FROM r WHERE x = d.doc_id) AS class_id, (SELECT count(*) FROM e WHERE x = d.doc_id) AS n_links FROM documents d
+"""
+
+
+@query(JOIN_SQL)
 def op10_chosen_path(spark: SparkSession, folder: str) -> DataFrame:
     return chosen_path.similarity_join(table(spark, folder, "documents"))
 

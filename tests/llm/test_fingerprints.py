@@ -6,12 +6,13 @@ import random
 
 import numpy as np
 import pytest
+from compare import connect, difference
 from conftest import FOLDER
 from pyspark.sql import functions as F
 
 from sparsile.llm import chosen_path, oph
 from sparsile.llm.components import connected
-from sparsile.llm.queries import QUERIES
+from sparsile.llm.queries import CHECKS, QUERIES
 
 
 def shingles(text):
@@ -84,6 +85,11 @@ def test_join_query(spark, rows):
     assert found == exact(rows)
 
 
+def test_join_equals_sql(spark):
+    folder = "/root/testdata/sf0.01"
+    assert difference(spark, connect(folder), QUERIES["op10_chosen_path"], CHECKS["op10_chosen_path"], folder) is None
+
+
 def test_large_groups_and_common_passages(spark):
     rnd = random.Random(8)
     word = lambda: f"w{rnd.randrange(5000)}"

@@ -33,13 +33,14 @@ from pyspark.sql import functions as F
 from sparsile.llm.text import cut_by_bytes, flat, per_text, raw, sizes_of
 from sparsile.session import durable
 
-DEPTH = 6
+DEPTH = 5
 SHARE = 1e-6
 DIVERGENCE = 8.0
 BACKING = 1.0
 HEAVY = 1e-6
-KEPT_GRAMS = 3_000_000
-KEPT_WORDS = 400_000
+KEPT_GRAMS = 1_000_000
+KEPT_WORDS = 250_000
+PIECE_BYTES = 1_500_000  # a symbol takes some fifty bytes of work arrays
 SYMBOLS = 257
 START, END = 0xFF, 0xFE  # bytes that never occur in UTF-8: before a text, and its end mark
 
@@ -91,7 +92,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words_seen.clear()
 
     for batch in batches:
-        for piece in cut_by_bytes(batch.column("body")):
+        for piece in cut_by_bytes(batch.column("body"), PIECE_BYTES):
             words = read_words(raw(piece))
             codes, uniques = pd.factorize(grams(words)[0])
             held.append((uniques, np.bincount(codes, minlength=len(uniques))))
@@ -207,7 +208,7 @@ def score(docs: DataFrame, tree: SuffixTree, word_counts: DataFrame, heavy: floa
         table = {w: logs(c) for w, c in counts.items()}
         for batch in batches:
             at = 0
-            for piece in cut_by_bytes(batch.column("body")):
+            for piece in cut_by_bytes(batch.column("body"), PIECE_BYTES):
                 part = batch.slice(at, len(piece))
                 at += len(piece)
                 words = read_words(raw(piece))
@@ -215,7 +216,7 @@ def score(docs: DataFrame, tree: SuffixTree, word_counts: DataFrame, heavy: floa
                 number, uniques = pd.factorize(codes)
                 where = known.get_indexer(uniques)
                 new = uniques[where < 0]
-                if len(known) + len(new) > KEPT_GRAMS // 3:
+                if len(known) + len(new) > KEPT_GRAMS // 2:
                     known, values, new = pd.Index(uniques), np.empty(0), uniques
                 elif len(new):
                     known = known.append(pd.Index(new))

@@ -56,9 +56,10 @@ def dense_number(df: DataFrame, key: str, name: str, order_within: list[str] | N
 
 
 def number_pairs(df: DataFrame, first: str, second: str, name: str) -> DataFrame:
-    """Number rows 1..n by a unique pair of integers.  Rows are numbered inside their ``first`` in steps of
-    ``second``, and each ``first`` starts where the one before it ends, so one huge ``first`` is cut like many small ones."""
-    inside = dense_number(df, second, "_inside", partition_by=[first])
+    """Number rows 1..n by a unique pair of integers, such as (document, position).  Rows are numbered inside their
+    ``first`` by buckets of 4,096 positions, and each ``first`` starts where the one before it ends, so one huge
+    ``first`` is cut like many small ones.  Bucket totals of one ``first`` meet in one window."""
+    inside = dense_number(df, second, "_inside", partition_by=[first], key_bits=2 * DIGIT_BITS)
     totals = df.groupBy(first).agg(F.count(F.lit(1)).alias("_n"))
     starts = running_total(totals, first, "_upto", "_n").select(first, (F.col("_upto") - F.col("_n")).alias("_before"))
     return inside.join(starts, first).withColumn(name, (F.col("_inside") + F.col("_before")).cast("bigint")).drop("_inside", "_before")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from sparsile.llm.text import cut_by_bytes, flat, per_text, raw, sizes_of
 from sparsile.session import durable
 
-DEPTH = 5
+DEPTH = 6
 SHARE = 1e-6
 DIVERGENCE = 8.0
 BACKING = 1.0

@@ -125,3 +125,11 @@ def test_grams_by_hand():
     padded = [pad] * suffix_tree.DEPTH + symbols
     assert codes.tolist()[:4] == [int.from_bytes(bytes(padded[i : i + suffix_tree.DEPTH + 1]), "big") for i in range(4)]
     assert codes.tolist()[4] == int.from_bytes(bytes([pad] * suffix_tree.DEPTH + [end]), "big")
+
+
+def test_sixth_symbol_back_decides(spark):
+    codes, _ = suffix_tree.grams(suffix_tree.read_words([b"xaaaaab yaaaaac " * 200]))
+    grams, n = np.unique(codes, return_counts=True)
+    tree = suffix_tree.grow(spark.createDataFrame(list(zip(grams.tolist(), n.tolist())), "gram long, c long"))
+    after = lambda context, symbol: 10 ** tree.log10(np.array([int.from_bytes(context + symbol, "big")]))[0]
+    assert after(b"xaaaaa", b"b") > 0.9 < after(b"yaaaaa", b"c") and after(b"xaaaaa", b"c") < 0.1

@@ -2,14 +2,16 @@
 
 A text is read as its words (ASCII capitals lower-cased), each closed by a blank, then one end mark; symbols are the
 UTF-8 bytes, the blank and the end mark, so the tree gives every possible text a probability.  A context is a run of
-up to ``DEPTH`` symbols before the next one.  It becomes a state if it holds at least ``SHARE`` of all training symbols
+up to ``DEPTH`` symbols before the next one.  It becomes a state if it occurs at least ``LEAST`` times in training
 and its next-symbol distribution diverges from its parent's (the context without its oldest symbol): count times
 Kullback-Leibler divergence above ``DIVERGENCE`` nats.  A state's distribution is its counts, smoothed towards its
-parent's with a weight of ``BACKING`` per distinct symbol; symbols seen too rarely in a state are left to the parent's share.  A symbol is scored in the longest suffix
+parent's with a weight of ``BACKING`` per distinct symbol.  A symbol is scored in the longest suffix
 of what stands before it that is a state, in a row from the root.
 
-Counts cover every training document.  The tree is bounded by its parameters, not by the corpus: a level has at most
-1 / SHARE states and 10 / SHARE kept symbols; this bounded table is what the driver hands to the executors.
+Counts cover every training document, and the tree grows with the corpus.  It is never whole in one place: contexts
+that agree in their nearest two symbols are grown together, and their grams scored, where their counts meet; only the
+counts of single symbols and pairs, at most 65,536, reach the driver.  Documents stand in blocks of 2 ** ``BLOCK_BITS`` rows;
+the distinct grams of a block are joined to their values, and a block meets its values once.
 
 Base scores need the count of every word.  Words holding at least ``HEAVY`` of all training tokens, at most 1 / HEAVY of
 them, go to the executors; the others meet their counts in a join, so that no hot word is ever shuffled by row.
@@ -30,15 +32,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparsile.llm.text import cut_by_bytes, flat, per_text, raw, sizes_of
+from sparsile.llm.text import cut_by_bytes, raw, sizes_of
 from sparsile.session import durable
 
 DEPTH = 6
-SHARE = 1e-6
+LEAST = 2
 DIVERGENCE = 8.0
 BACKING = 1.0
 HEAVY = 1e-6
 KEPT_GRAMS = 1_000_000
+BLOCK_BITS = 13  # a block has 2 ** BLOCK_BITS rows at most
 KEPT_WORDS = 250_000
 PIECE_BYTES = 1_500_000  # a symbol takes some fifty bytes of work arrays
 SYMBOLS = 257
@@ -76,44 +79,72 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of words (word, null, n) and of grams (null, gram, n); a bounded number is held."""
+    """Partial training counts of words (word, null, null, n) and of the grams of a block (null, block, gram, n), those
+    of other documents with n = 0; a bounded number is held."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     words_seen: dict[bytes, int] = {}
+    own = -1
+    names = ["word", "block", "gram", "n"]
 
     def gram_rows() -> Iterator[pa.RecordBatch]:
         if held:
             keys, n = _merged(held)
             held.clear()
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.binary()), pa.array(keys), pa.array(n)], names=["word", "gram", "n"])
+            order = np.argsort(keys)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.binary()), pa.array(np.full(len(keys), own)), pa.array(keys[order]), pa.array(n[order])], names=names)
 
     def word_rows() -> Iterator[pa.RecordBatch]:
         if words_seen:
-            yield pa.RecordBatch.from_arrays([pa.array(list(words_seen), pa.binary()), pa.nulls(len(words_seen), pa.int64()), pa.array(list(words_seen.values()), pa.int64())], names=["word", "gram", "n"])
+            none = pa.nulls(len(words_seen), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(words_seen), pa.binary()), none, none, pa.array(list(words_seen.values()), pa.int64())], names=names)
             words_seen.clear()
 
     for batch in batches:
-        for piece in cut_by_bytes(batch.column("body"), PIECE_BYTES):
-            words = read_words(raw(piece))
-            codes, uniques = pd.factorize(grams(words)[0])
-            held.append((uniques, np.bincount(codes, minlength=len(uniques))))
-            for w in flat(words):
-                words_seen[w] = words_seen.get(w, 0) + 1
-            words_seen[_END_WORD] = words_seen.get(_END_WORD, 0) + len(words)
-            if sum(len(k) for k, _ in held) > KEPT_GRAMS:
-                held[:] = [_merged(held)]
-                if len(held[0][0]) > KEPT_GRAMS // 2:
-                    yield from gram_rows()
-            if len(words_seen) > KEPT_WORDS:
-                yield from word_rows()
+        blocks = batch.column("block").to_numpy()
+        training = batch.column("training").to_numpy(zero_copy_only=False).astype(bool)
+        cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)] if len(blocks) else []
+        for start, stop in zip(cuts, cuts[1:]):
+            if blocks[start] != own:
+                yield from gram_rows()
+                own = int(blocks[start])
+            at = start
+            for piece in cut_by_bytes(batch.column("body").slice(start, stop - start), PIECE_BYTES):
+                learn = training[at : at + len(piece)]
+                at += len(piece)
+                words = read_words(raw(piece))
+                symbols, sizes = grams(words)
+                codes, uniques = pd.factorize(symbols)
+                held.append((uniques, np.bincount(codes, np.repeat(learn, sizes), len(uniques)).astype(np.int64)))
+                for text, counts in zip(words, learn):
+                    if counts:
+                        for w in text:
+                            words_seen[w] = words_seen.get(w, 0) + 1
+                if learn.any():
+                    words_seen[_END_WORD] = words_seen.get(_END_WORD, 0) + int(learn.sum())
+                if sum(len(k) for k, _ in held) > max(KEPT_GRAMS, 2 * len(held[0][0])):
+                    held[:] = [_merged(held)]
+                    if len(held[0][0]) > 4 * KEPT_GRAMS:
+                        yield from gram_rows()
+                if len(words_seen) > KEPT_WORDS:
+                    yield from word_rows()
     yield from gram_rows()
     yield from word_rows()
 
 
-def corpus_counts(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(word, c) and (gram, c) over all of ``docs``; the empty word is the end token."""
-    rows = docs.select(F.col(text).alias("body")).mapInArrow(_counts, "word binary, gram long, n long")
-    counts = durable(rows.groupBy("word", "gram").agg(F.sum("n").alias("c")), "counts")
-    return counts.filter("word IS NOT NULL").select("word", "c"), counts.filter("gram IS NOT NULL").select("gram", "c")
+def in_blocks(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, hash, body, training, block) of every document, kept so that blocks stay as they are."""
+    block = F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)
+    return durable(docs.select(
+        F.col(key).alias("key"), F.xxhash64(text).alias("hash"), F.col(text).alias("body"), F.coalesce(training, F.lit(False)).alias("training"), block.alias("block")), "blocks")
+
+
+def corpus_counts(blocks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(word, c) and (gram, c) over the training documents, with grams of other documents at 0, and (block, gram) over
+    all, some of them repeated; the empty word is the end token."""
+    rows = durable(blocks.select("block", "training", "body").mapInArrow(_counts, "word binary, block long, gram long, n long"), "partial")
+    words = durable(rows.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c")), "words")
+    seen = rows.filter("gram IS NOT NULL")
+    return words, durable(seen.groupBy("gram").agg(F.sum("n").alias("c")), "grams"), seen.select("block", "gram")
 
 
 @dataclass
@@ -146,67 +177,86 @@ class SuffixTree:
         return np.log10(p)
 
 
-def grow(gram_counts: DataFrame, depth: int = DEPTH, share: float = SHARE, divergence: float = DIVERGENCE, backing: float = BACKING) -> SuffixTree:
-    """Derive the tree from gram counts.  Divergences are computed where the counts are; the driver receives the
-    bounded tree only."""
-    mask = lambda level: F.lit((1 << (8 * (level + 1))) - 1)
-    root_counts = np.zeros(256)
-    for r in gram_counts.groupBy(F.col("gram").bitwiseAND(mask(0)).alias("s")).agg(F.sum("c").alias("c")).collect():
-        root_counts[r.s] = r.c
-    total = root_counts.sum()
-    root = (root_counts + 0.5) / (total + 0.5 * SYMBOLS)
-    least = max(share * total, 2.0)
-    levels = [F.struct(F.lit(k).alias("level"), F.col("gram").bitwiseAND(mask(k)).alias("key")) for k in range(depth + 1)]
-    nodes = gram_counts.withColumn("x", F.explode(F.array(*levels))).groupBy("x.level", "x.key").agg(F.sum("c").alias("c")).withColumn("context", F.shiftright("key", 8))
-    sums = nodes.groupBy("level", "context").agg(F.sum("c").alias("n"), (backing * F.count(F.lit(1))).alias("back"))
-    # frequent contexts only: at most 1 / share per level
-    wide = nodes.join(sums.filter(F.col("n") >= least), ["level", "context"])
-    nodes_kept = durable(wide, "contexts")
-    up_bits = lambda level: F.expr(f"shiftleft(1L, 8 * {level}) - 1")
-    above = nodes_kept.select((F.col("level") + 1).alias("level"), F.col("key").alias("above"), (F.col("c") / F.col("n")).alias("q"))
-    pairs = nodes_kept.filter("level > 0").withColumn("above", F.col("key").bitwiseAND(up_bits("level"))).join(above, ["level", "above"])
-    gains = pairs.groupBy("level", "context").agg(F.sum(F.col("c") * F.log(F.col("c") / F.col("n") / F.col("q"))).alias("gain"))
-    good = gains.filter(F.col("gain") >= divergence).select("level", "context")
-    kept = nodes_kept.filter("level > 0").join(good, ["level", "context"]).withColumn("keep", F.col("c") >= least / 10)
-    states = kept.groupBy("level", "context").agg(((F.first("back") + F.sum(F.when(F.col("keep"), 0).otherwise(F.col("c")))) / (F.first("n") + F.first("back"))).alias("left"))
-    state_rows = states.toArrow().to_pandas()
-    entry_rows = kept.filter("keep").select("level", "key", (F.col("c") / (F.col("n") + F.col("back"))).alias("share")).toArrow().to_pandas()
-    out_states, out_entries = [], []
+def _nodes(grams_: np.ndarray, c: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(grams_ & ((1 << (8 * (level + 1))) - 1), return_inverse=True)
+    return keys, np.bincount(at, c, len(keys))
+
+
+def build(grams_: np.ndarray, c: np.ndarray, symbols: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE,
+          backing: float = BACKING) -> SuffixTree:
+    """The tree of all contexts whose gram counts are given, over the counts of all symbols and of pairs (sorted keys
+    and counts).  A context's counts must be complete."""
+    total = symbols.sum()
+    root = (symbols + 0.5) / (total + 0.5 * SYMBOLS)
+    grams_, c = grams_[c > 0], c[c > 0]
+    states, entries = [], []
+    above, q = np.arange(256), symbols / max(total, 1)
     alive: np.ndarray | None = None
     for level in range(1, depth + 1):
-        s = state_rows[state_rows.level == level].sort_values("context")
-        contexts, left = s.context.to_numpy(np.int64), s.left.to_numpy(float)
+        keys, n_key = pairs if level == 1 else _nodes(grams_, c, level)
+        contexts, at = np.unique(keys >> 8, return_inverse=True)
+        n, back = np.bincount(at, n_key, len(contexts)), backing * np.bincount(at, minlength=len(contexts))
+        own = n_key / n[at]
+        suffix = np.searchsorted(above, keys & ((1 << (8 * level)) - 1))
+        gain = np.bincount(at, n_key * np.log(own / q[suffix]), len(contexts))
+        good = (n >= least) & (gain >= divergence)
         if alive is not None:  # a state hangs below a state
-            parent = np.isin(contexts & ((1 << (8 * (level - 1))) - 1), alive)
-            contexts, left = contexts[parent], left[parent]
-        e = entry_rows[entry_rows.level == level].sort_values("key")
-        keys, own = e.key.to_numpy(np.int64), e.share.to_numpy(float)
-        inside = np.isin(keys >> 8, contexts)
-        out_states.append((contexts, left))
-        out_entries.append((keys[inside], own[inside]))
-        alive = contexts
-    return SuffixTree(root, out_states, out_entries)
-
-
-def score(docs: DataFrame, tree: SuffixTree, word_counts: DataFrame, heavy: float = HEAVY, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, n_known, train_tokens, base_score, score) of every document."""
-    spark = docs.sparkSession
+            good &= np.isin(contexts & ((1 << (8 * (level - 1))) - 1), alive)
+        kept = good[at]
+        states.append((contexts[good], (back / (n + back))[good]))
+        entries.append((keys[kept], (n_key / (n + back)[at])[kept]))
+        above, q, alive = keys, own, contexts[good]
+    return SuffixTree(root, states, entries)
+
+
+def _heads(gram_counts: DataFrame) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Counts of all symbols, and of pairs of a symbol and the one before it."""
+    rows = gram_counts.filter("c > 0").groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("pair")).agg(F.sum("c").alias("c")).toArrow().to_pandas().sort_values("pair")
+    keys, c = rows.pair.to_numpy(np.int64), rows.c.to_numpy(float)
+    return np.bincount(keys & 0xFF, c, 256), (keys, c)
+
+
+def grow(gram_counts: DataFrame, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE, backing: float = BACKING) -> SuffixTree:
+    """The whole tree on the driver, for tables of counts that fit there; ``gram_values`` needs no such place."""
+    rows = gram_counts.select("gram", "c").toArrow().to_pandas()
+    return build(rows.gram.to_numpy(np.int64), rows.c.to_numpy(float), *_heads(gram_counts), depth, least, divergence, backing)
+
+
+def gram_values(gram_counts: DataFrame) -> DataFrame:
+    """(gram, value): log10 probability of the symbol of every gram after its context."""
+    symbols, pairs = _heads(gram_counts)
+    shared = gram_counts.sparkSession.sparkContext.broadcast((symbols, pairs))
+
+    def valued(part: pa.Table) -> pa.Table:
+        symbols, (keys, n) = shared.value
+        codes, c = part.column("gram").to_numpy(), part.column("c").to_numpy().astype(float)
+        nearest = (keys >> 8) == ((codes[0] >> 8) & 0xFF)
+        tree = build(codes, c, symbols, (keys[nearest], n[nearest]))
+        return pa.table({"gram": codes, "value": tree.log10(codes)})
+
+    near = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)).alias("near")
+    return gram_counts.select("gram", "c", near).groupBy("near").applyInArrow(valued, "gram long, value double")
+
+
+def score(blocks: DataFrame, values: DataFrame, word_counts: DataFrame, heavy: float = HEAVY, key: str = "doc_id") -> DataFrame:
+    """(key, n_tokens, n_known, train_tokens, base_score, score) of every document; ``values`` has (block, gram, value)."""
+    spark = blocks.sparkSession
     totals = word_counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_train, distinct = int(totals.n), int(totals.v)
     below = n_train + 0.5 * (distinct + 1)
     bound = max(heavy * n_train, 1.0)
     frequent = word_counts.filter(F.col("c") >= bound).toArrow()  # at most 1 / heavy words
-    shared = spark.sparkContext.broadcast(((tree.root, tree.states, tree.entries), dict(zip(frequent.column("word").to_pylist(), frequent.column("c").to_pylist()))))
-    key_type = docs.schema[key].dataType.simpleString()
+    shared = spark.sparkContext.broadcast(dict(zip(frequent.column("word").to_pylist(), frequent.column("c").to_pylist())))
+    key_type = blocks.schema["key"].dataType.simpleString()
     logs = lambda c: math.log10((c + 0.5) / below)
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, counts = shared.value
-        model = SuffixTree(*parts)
-        known: pd.Index = pd.Index(np.empty(0, np.int64))
-        values = np.empty(0)
-        table = {w: logs(c) for w, c in counts.items()}
-        for batch in batches:
+    def scored(block: pa.Table, own_values: pa.Table) -> pa.Table:
+        table = {w: logs(c) for w, c in shared.value.items()}
+        known, value = own_values.column("gram").to_numpy(), own_values.column("value").to_numpy()
+        order = np.argsort(known)
+        known, value = known[order], value[order]
+        out = []
+        for batch in block.to_batches():
             at = 0
             for piece in cut_by_bytes(batch.column("body"), PIECE_BYTES):
                 part = batch.slice(at, len(piece))
@@ -214,17 +264,12 @@ def score(docs: DataFrame, tree: SuffixTree, word_counts: DataFrame, heavy: floa
                 words = read_words(raw(piece))
                 codes, sizes = grams(words)
                 number, uniques = pd.factorize(codes)
-                where = known.get_indexer(uniques)
-                new = uniques[where < 0]
-                if len(known) + len(new) > KEPT_GRAMS // 2:
-                    known, values, new = pd.Index(uniques), np.empty(0), uniques
-                elif len(new):
-                    known = known.append(pd.Index(new))
-                values = np.concatenate([values, model.log10(new)])
-                place = known.get_indexer(uniques)
+                place = np.searchsorted(known, uniques)
+                if len(uniques) and (place[-1] >= len(known) or not np.array_equal(known[np.minimum(place, len(known) - 1)], uniques)):
+                    raise RuntimeError("a gram of a block has no value")
                 # values are summed exactly enough per text in its own window
                 ends = np.cumsum(sizes)
-                sums = np.add.reduceat(values[place][number], ends - sizes)
+                sums = np.add.reduceat(value[place][number], ends - sizes)
                 base, n_known, rare = [], [], []
                 for own in words:
                     found = list(map(table.get, own))
@@ -234,11 +279,13 @@ def score(docs: DataFrame, tree: SuffixTree, word_counts: DataFrame, heavy: floa
                     base.append(math.fsum(found) + (logs(0) if end is None else end))
                     n_known.append(len(found) + (end is not None))
                     rare.append(missing)
-                yield pa.RecordBatch.from_arrays([
+                out.append(pa.RecordBatch.from_arrays([
                     part.column("key"), part.column("hash"), pa.array([len(w) + 1 for w in words], pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()),
-                    pa.array(sums), pa.array(rare, pa.list_(pa.binary()))], names=["key", "hash", "n_tokens", "n_known", "base", "score", "rare"])
+                    pa.array(sums), pa.array(rare, pa.list_(pa.binary()))], names=["key", "hash", "n_tokens", "n_known", "base", "score", "rare"]))
+        return pa.Table.from_batches(out)
 
-    rows = durable(docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), F.col(text).alias("body")).mapInArrow(
+    texts = blocks.select("block", "key", "hash", "body")
+    rows = durable(texts.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(
         scored, f"key {key_type}, hash long, n_tokens long, n_known long, base double, score double, rare array<binary>"), "scored")
     one = ["key", "hash"]
     copies = rows.groupBy(*one).agg(F.count(F.lit(1)).alias("copies"))
@@ -256,5 +303,7 @@ def score(docs: DataFrame, tree: SuffixTree, word_counts: DataFrame, heavy: floa
 
 def train_and_score(docs: DataFrame, training: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Learn from the documents where ``training`` holds, score them all."""
-    words, gram_counts = corpus_counts(docs.filter(training), text)
-    return score(docs, grow(gram_counts), words, key=key, text=text)
+    blocks = in_blocks(docs, training, key, text)
+    words, gram_counts, seen = corpus_counts(blocks)
+    values = seen.join(gram_values(gram_counts), "gram").select("block", "gram", "value")
+    return score(blocks, values, words, key=key)

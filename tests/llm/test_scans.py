@@ -133,3 +133,25 @@ def test_sixth_symbol_back_decides(spark):
     tree = suffix_tree.grow(spark.createDataFrame(list(zip(grams.tolist(), n.tolist())), "gram long, c long"))
     after = lambda context, symbol: 10 ** tree.log10(np.array([int.from_bytes(context + symbol, "big")]))[0]
     assert after(b"xaaaaa", b"b") > 0.9 < after(b"yaaaaa", b"c") and after(b"xaaaaa", b"c") < 0.1
+
+
+def test_states_do_not_depend_on_the_size_of_the_corpus(spark):
+    codes, _ = suffix_tree.grams(suffix_tree.read_words([b"zqj zqk zqj zqk zqj " * 8]))
+    grams, n = np.unique(codes, return_counts=True)
+    small = [(g, c) for g, c in zip(grams.tolist(), n.tolist())]
+    other = [(int.from_bytes(b"aaaaaa" + s, "big"), 2_000_000_000) for s in (b"a", b"b")]
+    grown = lambda rows: suffix_tree.grow(spark.createDataFrame(rows, "gram long, c long"))
+    states = lambda tree: {c for contexts, _ in tree.states for c in contexts.tolist() if c & 0xFF == ord("q")}
+    assert states(grown(small)) and states(grown(small)) <= states(grown(small + other))
+
+
+def test_values_by_part_equal_the_whole_tree(spark):
+    codes, _ = suffix_tree.grams(suffix_tree.read_words([b"the cat sat on the mat " * 40, "über größe xaaab yaaac ".encode() * 30]))
+    grams, n = np.unique(codes, return_counts=True)
+    unseen, _ = suffix_tree.grams(suffix_tree.read_words([b"the cog sat on a hat"]))
+    rows = [*zip(grams.tolist(), n.tolist()), *((g, 0) for g in set(unseen.tolist()) - set(grams.tolist()))]
+    counts = spark.createDataFrame(rows, "gram long, c long")
+    tree = suffix_tree.grow(counts)
+    found = {r.gram: r.value for r in suffix_tree.gram_values(counts).collect()}
+    assert len(found) == len(rows)
+    np.testing.assert_allclose([found[g] for g, _ in rows], tree.log10(np.array([g for g, _ in rows])))

@@ -8,6 +8,7 @@ from conftest import FOLDER
 from pyspark.sql import functions as F
 
 from sparsile.llm import gam, line_crf
+from sparsile.llm.labels import labelled_sample
 from sparsile.llm.queries import QUERIES
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -99,3 +100,10 @@ def test_scores_are_table_sums_and_pairs_help():
     by_hand = paired.base + sum(t[np.searchsorted(c, row[0, j], side="right")] for j, (c, t) in enumerate(zip(paired.cuts, paired.tables)))
     by_hand += sum(t[np.searchsorted(paired.coarse[a], row[0, a], side="right"), np.searchsorted(paired.coarse[b], row[0, b], side="right")] for a, b, t in paired.pairs)
     np.testing.assert_allclose(paired.logit(row)[0], by_hand)
+
+
+def test_sample_has_one_text_per_label(spark):
+    docs = spark.createDataFrame([*((1, f"copy {i % 7}") for i in range(300)), (2, "two"), (3, None)], "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 1), (2, 1)], "doc_id long, quality int")
+    sample = labelled_sample(docs, marks, "text", "quality", "doc_id", 10).to_pylist()
+    assert sorted((r["text"].split()[0], r["label"]) for r in sample) == [("copy", 1), ("two", 0), ("two", 1)]

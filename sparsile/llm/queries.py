@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparsile.llm import chosen_path, gam, line_crf, oph, pareto_mix, piece_codec, rendezvous, suffix_tree, token_frames, trigram_scan
+from sparsile.llm import (chosen_path, gam, lanczos_whiten, line_crf, oph, pareto_mix, phrase_parse, piece_codec, rendezvous, simhash_trie, suffix_tree,
+                          token_frames, trigram_scan)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -126,3 +127,36 @@ def op8_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.coalesce(remainder("doc_id", 5) == 1, F.lit(False))
     rows = suffix_tree.train_and_score(docs, ~held_out)
     return rows.select("doc_id", F.coalesce(remainder("doc_id", 5) == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+PHRASE_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, ws FROM (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p) WHERE len(ws) > 0),
+t AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS gram FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, range(1, 6) r(k) WHERE len(ws) >= k)),
+f AS (SELECT lang, k, gram, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, k, gram AS phrase, f AS a, string_split(gram, ' ') AS ws FROM f WHERE k > 1),
+s AS (SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT lang, ws, a, m, unnest(range(1, k - m + 2)) AS i FROM c, range(2, 5) r(m) WHERE m < k) GROUP BY ALL),
+x AS (SELECT c.* FROM c LEFT JOIN s USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a),
+y AS (SELECT x.lang, x.phrase, x.a, q.cut, l.f AS l, r.f AS r, t.n, CAST(1000 * x.a::HUGEINT * t.n // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+      FROM x JOIN range(1, 5) q(cut) ON q.cut < x.k JOIN t ON t.lang = x.lang JOIN f l ON l.lang = x.lang AND l.gram = array_to_string(x.ws[1:q.cut], ' ')
+      JOIN f r ON r.lang = x.lang AND r.gram = array_to_string(x.ws[q.cut + 1:], ' ')),
+z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, score FROM z
+QUALIFY rank <= 2000
+"""
+
+
+@query(PHRASE_SQL)
+def op11_phrase_parse(spark: SparkSession, folder: str) -> DataFrame:
+    return phrase_parse.mine(table(spark, folder, "documents"))
+
+
+@query()
+def op12_lanczos_whiten(spark: SparkSession, folder: str) -> DataFrame:
+    return lanczos_whiten.whiten(table(spark, folder, "embeddings"))
+
+
+@query()
+def op13_simhash_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_trie.classes(table(spark, folder, "documents"))

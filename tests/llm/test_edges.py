@@ -4,7 +4,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from sparsile.llm import chosen_path, gam, line_crf, oph, pareto_mix, piece_codec, rendezvous, suffix_tree, token_frames, trigram_scan
+from sparsile.llm import chosen_path, gam, line_crf, oph, pareto_mix, phrase_parse, piece_codec, rendezvous, simhash_trie, suffix_tree, token_frames, trigram_scan
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 TOKENS = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,10 +25,11 @@ def operators(docs, labels):
         "suffix_tree": lambda d: suffix_tree.train_and_score(d, F.lit(True)),
         "piece_codec": lambda d: d.select("doc_id", "text", piece_codec.round_trip(F.col("text"), MODEL).alias("v")),
         "chosen_path": chosen_path.similarity_join,
+        "simhash_trie": simhash_trie.classes,
     }
 
 
-NAMES = ["line_crf", "line_spans", "token_frames", "gam", "oph", "rendezvous", "pareto_mix", "trigram_scan", "suffix_tree", "piece_codec", "chosen_path"]
+NAMES = ["line_crf", "line_spans", "token_frames", "gam", "oph", "rendezvous", "pareto_mix", "trigram_scan", "suffix_tree", "piece_codec", "chosen_path", "simhash_trie"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -69,3 +70,17 @@ def test_values_of_blank_texts(operators, edges):
     classes = {r.doc_id: (r.class_id, r.n_links) for r in operators["chosen_path"](edges).collect()}
     assert classes[1] == classes[2] == classes[3] == (1, 3)
     assert classes[6] == classes[7] == classes[None] != classes[4]
+
+
+def test_phrases_of_awkward_rows(edges, empty):
+    assert phrase_parse.mine(empty).collect() == []
+    found = {(r.lang, r.phrase): r for r in phrase_parse.mine(edges, least=3).collect()}
+    # "a b … l" stands in four rows and repeats count; every part of it goes with the longest ones
+    assert {p for lang, p in found if p.startswith("a ")} == {"a b c d e"}
+    assert found["und", "a b c d e"].a == 4
+
+
+def test_simhash_of_awkward_rows(operators, edges):
+    found = {r.doc_id: r for r in operators["simhash_trie"](edges).collect()}
+    assert found[1].fingerprint == found[2].fingerprint == found[3].fingerprint == "0" * 16
+    assert {found[k].component_id for k in (1, 2, 3)} == {1} and {found[k].component_id for k in (6, 7)} == {6}

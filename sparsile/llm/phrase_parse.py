@@ -27,11 +27,13 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparsile.llm.text import Hashes, Numbers, cut_by_bytes, flat, mixed, raw, sizes_of, windows
+from sparsile.llm.text import Hashes, cut_by_bytes, flat, mixed, raw, sizes_of, windows
 from sparsile.session import durable
 from sparsile.sizing import local_copy
 
@@ -41,7 +43,7 @@ TOP = 2000
 TRIGGER = 16
 MARKS = 1 << 26
 PART_BYTES = 1 << 20
-BATCH_BYTES = 2_000_000  # at most 2 ** 20 words, so that three word numbers fit into 63 bits
+BATCH_BYTES = 2_000_000
 NO_LANG = "und"
 
 _SEPARATORS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -112,20 +114,42 @@ def _chunks(longest: int, trigger: int):
 
 # ---- counting --------------------------------------------------------------
 
-def gram_hashes(hashes: np.ndarray, sizes: np.ndarray, width: int, lang: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all n-grams of consecutive word lists, per language, and where they start."""
-    found, starts, _ = windows(hashes, sizes, width)
-    return mixed(found ^ np.uint64(pd.util.hash_array(np.array([lang], dtype=object))[0])), starts
-
-
-def _lists(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[tuple[str, slice, list[list[bytes]]]]:
-    """Rows of one language each, of up to about ``limit`` bytes."""
-    langs = batch.column(0).to_pylist()
-    cuts = [i for i in range(1, len(langs)) if langs[i] != langs[i - 1]]
-    for low, high in zip([0, *cuts], [*cuts, len(langs)]):
-        at = low
-        for part in cut_by_bytes(batch.column(column).slice(low, high - low), limit):
-            yield langs[low], slice(at, at + len(part)), [t.split() for t in raw(part)]
+class Words:
+    """The words of some rows of one language, as numbers of their distinct words."""
+
+    def __init__(self, lang: str, column: pa.Array) -> None:
+        self.lang = lang
+        lists = pc.split_pattern(column, " ")
+        self.sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        self.distinct, self.code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def hashes(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all n-grams inside rows, per language, and where they start."""
+        each = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in self.distinct.cast(pa.binary()).to_pylist()), np.uint64, len(self.distinct))
+        found, starts, _ = windows(each[self.code], self.sizes, width)
+        return mixed(found ^ np.uint64(xxhash.xxh64_intdigest(self.lang.encode(), 42))), starts
+
+    def labels(self, at: np.ndarray, width: int) -> np.ndarray:
+        """A number for the n-gram at each place, equal for equal n-grams only."""
+        label = self.code[at]
+        for j in range(1, width):
+            label = pd.factorize(label * np.int64(len(self.distinct)) + self.code[at + j])[0].astype(np.int64)
+        return label
+
+    def texts(self, at: np.ndarray, width: int) -> pa.Array:
+        words = [self.distinct.take(pa.array(self.code[at + j])) for j in range(width)]
+        return pc.binary_join_element_wise(*words, " ") if width > 1 else words[0]
+
+
+def _by_language(batch: pa.RecordBatch, column: int) -> Iterator[tuple[np.ndarray, Words]]:
+    """(row numbers, words) of a batch's rows by language, of up to about ``BATCH_BYTES`` each."""
+    lang = batch.column(0).dictionary_encode()
+    codes = lang.indices.to_numpy(zero_copy_only=False)
+    for code, name in enumerate(lang.dictionary.to_pylist()):
+        rows, at = np.flatnonzero(codes == code), 0
+        for part in cut_by_bytes(batch.column(column).take(pa.array(rows)), BATCH_BYTES):
+            yield rows[at : at + len(part)], Words(name, part)
             at += len(part)
 
 
@@ -133,45 +157,32 @@ def _grams(width: int, longest: int, marks: np.ndarray | None):
     """Distinct chunks (lang, chunk, last, n) to weighted counts (lang, gram, n) of their n-grams, summed within a batch."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Hashes()
         for batch in batches:
             lasts, weights = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy()
-            for lang, rows, lists in _lists(batch, 1, BATCH_BYTES):
-                words, sizes = flat(lists), sizes_of(lists)
-                ends = np.cumsum(sizes)
+            for rows, words in _by_language(batch, 1):
+                sizes, ends = words.sizes, np.cumsum(words.sizes)
                 # an n-gram must start before the overlap and end inside the chunk
                 starts_per = np.maximum(np.minimum(sizes - np.where(lasts[rows], 0, longest - 1), sizes - width + 1), 0)
-                owner = np.repeat(np.arange(len(lists)), starts_per)
+                owner = np.repeat(np.arange(len(rows)), starts_per)
                 at = np.arange(len(owner)) + (ends - sizes - np.cumsum(starts_per) + starts_per)[owner]
                 if marks is not None and len(at):
-                    hashes = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-                    frequent = np.zeros(len(words), dtype=bool)
-                    found, where = gram_hashes(hashes, sizes, width - 1, lang)
+                    frequent = np.zeros(len(words.code), dtype=bool)
+                    found, where = words.hashes(width - 1)
                     frequent[where] = marked(marks, found)
                     good = frequent[at] & frequent[at + 1]
                     owner, at = owner[good], at[good]
                 if not len(at):
                     continue
-                numbers = Numbers()
-                code = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-                label, n = _labels(code, at, width), weights[rows][owner]
-                _, index, inverse = np.unique(label, return_index=True, return_inverse=True)
-                totals = np.zeros(len(index), np.int64)
-                np.add.at(totals, inverse, n)
-                grams = [b" ".join(words[s : s + width]) for s in at[index].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams, pa.binary()).cast(pa.string()), pa.array(totals)], names=["lang", "gram", "n"])
+                number, _ = pd.factorize(words.labels(at, width))
+                first = np.empty(number.max() + 1, np.int64)
+                first[number[::-1]] = at[::-1]
+                totals = np.zeros(len(first), np.int64)
+                np.add.at(totals, number, weights[rows][owner])
+                yield pa.RecordBatch.from_arrays([pa.array([words.lang] * len(first)), words.texts(first, width), pa.array(totals)], names=["lang", "gram", "n"])
 
     return count
 
 
-def _labels(code: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """A number for each n-gram, equal for equal n-grams only: word numbers are joined in threes and numbered again."""
-    label = code[at]
-    for j in range(1, width):
-        label = pd.factorize(label * np.int64(code.max() + 1) + code[at + j])[0].astype(np.int64)
-    return label
-
-
 def marked(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     slot = hashes % np.uint64(len(marks) * 8)
     return (marks[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
@@ -181,11 +192,9 @@ def _mark_table(grams: DataFrame, width: int, bits: int = MARKS) -> np.ndarray:
     """A table of ``bits`` bits with those of all given n-grams set.  At most ``bits`` / 64 rows reach the driver."""
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Hashes()
         for batch in batches:
-            for lang, _, lists in _lists(batch, 1, BATCH_BYTES):
-                hashes = np.fromiter(map(memo.__getitem__, flat(lists)), np.uint64, width * len(lists))
-                found, _ = gram_hashes(hashes, sizes_of(lists), width, lang)
+            for _, words in _by_language(batch, 1):
+                found, _ = words.hashes(width)
                 yield pa.RecordBatch.from_arrays([pa.array((found % np.uint64(bits)).astype(np.int64))], names=["slot"])
 
     word = F.shiftrightunsigned("slot", 6)

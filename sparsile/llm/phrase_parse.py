@@ -41,6 +41,7 @@ LONGEST = 5
 LEAST = 100
 TOP = 2000
 TRIGGER = 16
+SHRINK = 3  # from this length on, chunks without an n-gram to count are left out
 MARKS = 1 << 26
 PART_BYTES = 1 << 20
 BATCH_BYTES = 2_000_000
@@ -142,6 +143,18 @@ class Words:
         return pc.binary_join_element_wise(*words, " ") if width > 1 else words[0]
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``BATCH_BYTES``, so that more equal n-grams meet."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= BATCH_BYTES:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _by_language(batch: pa.RecordBatch, column: int) -> Iterator[tuple[np.ndarray, Words]]:
     """(row numbers, words) of a batch's rows by language, of up to about ``BATCH_BYTES`` each."""
     lang = batch.column(0).dictionary_encode()
@@ -153,36 +166,55 @@ def _by_language(batch: pa.RecordBatch, column: int) -> Iterator[tuple[np.ndarra
             at += len(part)
 
 
+def _places(words: Words, last: np.ndarray, width: int, longest: int, marks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of the n-grams of ``width`` words to be counted: they start before their chunk's overlap, end inside the
+    chunk, and both n-grams of one word less inside them are marked."""
+    sizes, ends = words.sizes, np.cumsum(words.sizes)
+    per = np.maximum(np.minimum(sizes - np.where(last, 0, longest - 1), sizes - width + 1), 0)
+    row = np.repeat(np.arange(len(sizes)), per)
+    at = np.arange(len(row)) + (ends - sizes - np.cumsum(per) + per)[row]
+    if marks is None or not len(at):
+        return row, at
+    frequent = np.zeros(len(words.code), dtype=bool)
+    found, where = words.hashes(width - 1)
+    frequent[where] = marked(marks, found)
+    good = frequent[at] & frequent[at + 1]
+    return row[good], at[good]
+
+
 def _grams(width: int, longest: int, marks: np.ndarray | None):
     """Distinct chunks (lang, chunk, last, n) to weighted counts (lang, gram, n) of their n-grams, summed within a batch."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _joined(batches):
             lasts, weights = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy()
             for rows, words in _by_language(batch, 1):
-                sizes, ends = words.sizes, np.cumsum(words.sizes)
-                # an n-gram must start before the overlap and end inside the chunk
-                starts_per = np.maximum(np.minimum(sizes - np.where(lasts[rows], 0, longest - 1), sizes - width + 1), 0)
-                owner = np.repeat(np.arange(len(rows)), starts_per)
-                at = np.arange(len(owner)) + (ends - sizes - np.cumsum(starts_per) + starts_per)[owner]
-                if marks is not None and len(at):
-                    frequent = np.zeros(len(words.code), dtype=bool)
-                    found, where = words.hashes(width - 1)
-                    frequent[where] = marked(marks, found)
-                    good = frequent[at] & frequent[at + 1]
-                    owner, at = owner[good], at[good]
+                row, at = _places(words, lasts[rows], width, longest, marks)
                 if not len(at):
                     continue
                 number, _ = pd.factorize(words.labels(at, width))
                 first = np.empty(number.max() + 1, np.int64)
                 first[number[::-1]] = at[::-1]
                 totals = np.zeros(len(first), np.int64)
-                np.add.at(totals, number, weights[rows][owner])
+                np.add.at(totals, number, weights[rows][row])
                 yield pa.RecordBatch.from_arrays([pa.array([words.lang] * len(first)), words.texts(first, width), pa.array(totals)], names=["lang", "gram", "n"])
 
     return count
 
 
+def _holding(width: int, longest: int, marks: np.ndarray):
+    """The chunks that hold an n-gram of ``width`` words to be counted; the others hold no longer one either."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _joined(batches):
+            lasts = batch.column(2).to_numpy(zero_copy_only=False)
+            found = [rows[np.unique(_places(words, lasts[rows], width, longest, marks)[0])] for rows, words in _by_language(batch, 1)]
+            if found:
+                yield batch.take(pa.array(np.concatenate(found)))
+
+    return keep
+
+
 def marked(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     slot = hashes % np.uint64(len(marks) * 8)
     return (marks[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
@@ -217,6 +249,8 @@ def frequent_grams(chunks: DataFrame, longest: int = LONGEST, least: int = LEAST
     counted: list[DataFrame] = []
     marks, totals = None, None
     for width in range(1, longest + 1):
+        if width == SHRINK:
+            chunks = durable(chunks.mapInArrow(_holding(width, longest, marks), chunks.schema), "holding")
         found = chunks.mapInArrow(_grams(width, longest, marks), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
         if width == 1:
             found = durable(found, "words")

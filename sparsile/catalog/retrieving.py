@@ -169,6 +169,41 @@ def _(t):
     return retrieval.evaluate_predicates(t.eav_value, matching.extract_conditions(t.sql(IN_AND_OR)), t.eav_entity)
 
 
+# negated groups and a test of the entity, one query per region
+_JOINED = "SELECT DISTINCT e.data_id FROM eav.entity_table e JOIN eav.value_table v ON v.data_id = e.data_id"
+NEGATED = f"""SELECT CAST(r_regionkey AS BIGINT) AS sample_id, '{_JOINED} JOIN eav.value_table v2 ON v2.data_id = e.data_id WHERE v.property_id = 24 AND NOT (v.value = ''BUILDING'' OR v.value LIKE ''A%'')
+AND v2.property_id = 23 AND NOT (NOT (CAST(v2.value AS DECIMAL(30, 15)) <= ' || (2000 + 1000 * r_regionkey) || ') OR CAST(v2.value AS DECIMAL(30, 15)) BETWEEN 100 AND 200) AND e.title = ''customer'' ORDER BY e.data_id ASC' AS sql FROM {{region}}"""
+
+
+@register("r3_not", """SELECT CAST(r_regionkey AS BIGINT) AS sample_id, 1000002 + 4 * c_custkey AS data_id FROM region, customer
+WHERE c_acctbal >= 0 AND c_mktsegment <> 'BUILDING' AND c_mktsegment NOT LIKE 'A%' AND c_acctbal <= 2000 + 1000 * r_regionkey AND c_acctbal NOT BETWEEN 100 AND 200""")
+def _(t):
+    return retrieval.evaluate_predicates(t.eav_value, matching.extract_conditions(t.sql(NEGATED)), t.eav_entity)
+
+
+# what must not exist, and what must exist elsewhere
+NESTED = f"""SELECT CAST(r_regionkey AS BIGINT) AS sample_id, '{_JOINED} WHERE v.property_id = 24 AND e.data_id NOT IN (SELECT x.data_id FROM eav.value_table x WHERE x.property_id = 23 AND
+(CAST(x.value AS DECIMAL(30, 15)) > 3000 OR CAST(x.value AS DECIMAL(30, 15)) < 500)) AND EXISTS (SELECT 1 FROM eav.value_table y WHERE y.data_id = e.data_id AND y.property_id = 22 AND NOT y.value <> ''' || r_regionkey || ''')' AS sql FROM {{region}}
+UNION ALL SELECT CAST(r_regionkey + 10 AS BIGINT), 'SELECT e.data_id FROM eav.entity_table e WHERE e.title <> ''orders'' AND NOT EXISTS (SELECT 1 FROM eav.value_table x WHERE x.data_id = e.data_id AND x.property_id IN (4, 13, 23))
+AND NOT (e.data_id < ' || (1000000 + 100 * r_regionkey) || ')' FROM {{region}}"""
+
+
+@register("r3_nested", """SELECT CAST(r_regionkey AS BIGINT) AS sample_id, 1000002 + 4 * c_custkey AS data_id FROM region JOIN customer ON c_nationkey = r_regionkey WHERE NOT (c_acctbal > 3000 OR (c_acctbal >= 0 AND c_acctbal < 500))
+UNION ALL SELECT CAST(r_regionkey + 10 AS BIGINT), data_id FROM region JOIN eav_entity ON data_id >= 1000000 + 100 * r_regionkey WHERE title <> 'orders' AND data_id NOT IN (SELECT data_id FROM eav_value WHERE property_id IN (4, 13, 23))""")
+def _(t):
+    return retrieval.evaluate_predicates(t.eav_value, matching.extract_conditions(t.sql(NESTED)), t.eav_entity)
+
+
+# texts with a part that is not read, by customer
+UNREAD = """SELECT CAST(c_custkey AS BIGINT) AS sample_id, 'SELECT v.data_id FROM eav.value_table v WHERE v.property_id = ' || CASE c_custkey % 6 WHEN 0 THEN '23 AND v.value > (SELECT AVG(w.value) FROM eav.value_table w WHERE w.property_id = 23)'
+WHEN 1 THEN '23 AND floor(v.value) = 1' WHEN 2 THEN '23 AND NOT (v.property_id = 22)' WHEN 3 THEN '23 AND (v.value = ''x''' WHEN 4 THEN '24 LIMIT 5' ELSE '24 AND (v.value = ''(a OR'' OR NOT v.value = ''b'')' END AS sql FROM {customer}"""
+
+
+@register("t14_unparsed", "SELECT CAST(c_custkey AS BIGINT) AS sample_id, CASE c_custkey % 6 WHEN 0 THEN 'subquery' WHEN 1 THEN 'value_test' WHEN 2 THEN 'property' WHEN 3 THEN 'structure' ELSE 'other' END AS reason FROM customer WHERE c_custkey % 6 < 5")
+def _(t):
+    return matching.unparsed(t.sql(UNREAD))
+
+
 def region_queries(t, suffix: str):
     """One aggregate and one id query per region, over views of the whole tables."""
     durable(t.eav_value, "store").createOrReplaceTempView(f"value_table_{suffix}")  # once for all texts

@@ -50,6 +50,8 @@ def non_empty(value: Column) -> Column:
     return value.isNotNull() & (value != "")
 
 
+LIST_MARK = "\x1f"  # between the items of an IN list
+
 # value test per condition kind; ``num`` is the numeric view of CAST conditions, ``bare``
 # the one used where text is compared with a number without CAST
 TESTS = {
@@ -62,6 +64,12 @@ TESTS = {
     "bare_between": lambda value, num, bare, op, lo, hi, text: bare().between(lo, hi),
     "non_empty": lambda value, num, bare, op, lo, hi, text: value != "",
     "not_null": lambda value, num, bare, op, lo, hi, text: value.isNotNull(),
+    "empty": lambda value, num, bare, op, lo, hi, text: value == "",
+    "is_null": lambda value, num, bare, op, lo, hi, text: value.isNull(),
+    "not_between": lambda value, num, bare, op, lo, hi, text: ~num().between(lo, hi),
+    "not_bare_between": lambda value, num, bare, op, lo, hi, text: ~bare().between(lo, hi),
+    "in": lambda value, num, bare, op, lo, hi, text: F.array_contains(F.split(text, LIST_MARK), value),
+    "not_in": lambda value, num, bare, op, lo, hi, text: ~F.array_contains(F.split(text, LIST_MARK), value),
     "any": lambda value, num, bare, op, lo, hi, text: F.lit(True),
 }
 

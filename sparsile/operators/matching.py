@@ -88,27 +88,35 @@ def text_conditions(questions: DataFrame, terms: DataFrame, key: str = "sample_i
 
 
 def extract_conditions(samples: DataFrame, sql: str = "sql", key: str = "sample_id") -> DataFrame:
-    """Query texts to predicate rows (key, clause, alias, property_id, kind, op, lo, hi, text).  An alias with an IN list
-    has its conditions once for each property.  A text with a part that is not understood gives no rows, rather than fewer
-    conditions; :func:`unparsed` names it.  Nested queries are read as further aliases."""
-    readable = samples.filter(F.coalesce(sqltext.unread_reason(F.col(sql)).isin("empty", "subquery"), F.lit(True)))
-    clauses = readable.select(key, F.posexplode(sqltext.or_clauses(F.col(sql))).alias("clause", "_sql"))
-    parsed = clauses.select(key, "clause", sqltext.alias_properties(F.col("_sql")).alias("_props"),
-                            sqltext.alias_conditions(F.col("_sql")).alias("_conds"))
-    own = lambda alias: F.filter("_props", lambda p: p["alias"] == alias)
-    last = lambda alias: F.get(own(alias), F.size(own(alias)) - 1)
+    """Query texts to predicate rows (key, clause, alias, property_id, kind, op, lo, hi, text, anti).
+
+    An alias with an IN list of properties has its conditions once for each.  Tests of the entity itself have the properties
+    ``sqltext.TITLE`` and ``ENTITY_ID``.  Nested queries (IN, EXISTS) are aliases of their own, ``name@number``; negated ones are
+    ``anti``: no value may pass all tests of such an alias.  A clause of anti aliases alone starts from all entities.  A text
+    with a part that is not understood gives no rows, rather than fewer conditions; :func:`unparsed` names it."""
+    read = sqltext.read_queries(samples, sql, key)
+    clauses = read.select(key, "atoms", F.expr("posexplode(CASE WHEN reason IS NULL THEN clauses END)").alias("clause", "codes"))
+    mark = sqltext._ANTI
+    tests = clauses.select(key, "clause", F.expr(f"""transform(filter(codes, c -> get(atoms, abs(c) % {mark} - 1).kind <> 'join'), c -> named_struct(
+        'alias', concat(get(atoms, abs(c) % {mark} - 1).name, CASE WHEN abs(c) >= {mark} THEN concat('!', abs(c) div {mark}) ELSE '' END),
+        'anti', abs(c) >= {mark}, 'negative', c < 0, 'atom', get(atoms, abs(c) % {mark} - 1)))""").alias("tests"))
     # an alias with a property but no value test still requires the property to exist
-    tested = F.transform("_conds", lambda c: c["alias"])
-    bare = F.transform(F.filter("_props", lambda p: ~F.array_contains(tested, p["alias"])),
-                       lambda p: sqltext._condition(p["alias"], "any")).cast(sqltext.CONDITION_TYPE)
-    rows = parsed.select(key, "clause", "_props", F.explode(F.concat("_conds", bare)).alias("c"))
-    return rows.select(key, "clause", F.col("c.alias").alias("alias"), F.explode(last(F.col("c.alias"))["property_ids"]).alias("property_id"),
-                       "c.kind", "c.op", "c.lo", "c.hi", "c.text")
+    valued = tests.select("*", F.expr("transform(filter(tests, t -> t.atom.kind <> 'property'), t -> t.alias)").alias("valued"))
+    anything = "named_struct('kind', 'any', 'op', CAST(NULL AS STRING), 'lo', CAST(NULL AS DECIMAL(30,15)), 'hi', CAST(NULL AS DECIMAL(30,15)), 'text', CAST(NULL AS STRING))"
+    wanted = f"""transform(filter(tests, t -> t.atom.kind <> 'property' OR NOT array_contains(valued, t.alias)), t -> named_struct(
+        'alias', t.alias, 'anti', t.anti, 'c', CASE WHEN t.atom.kind = 'property' THEN {anything} ELSE {sqltext.signed_sql('t')} END))"""
+    # where everything named must not exist, the entities are what is left to choose from
+    everything = f"CASE WHEN size(tests) > 0 AND forall(tests, t -> t.anti) THEN array(named_struct('alias', '#data_id', 'anti', false, 'c', {anything})) ELSE array() END"
+    rows = valued.select(key, "clause", "tests", F.expr(f"explode(array_distinct(concat({wanted}, {everything})))").alias("t"))
+    # several property tests of one alias hold on the same row
+    lists = "transform(filter(tests, x -> x.alias = t.alias AND x.atom.property_ids IS NOT NULL), x -> x.atom.property_ids)"
+    common = f"aggregate({lists}, CAST(NULL AS ARRAY<INT>), (a, x) -> CASE WHEN a IS NULL THEN x ELSE array_intersect(a, x) END)"
+    return rows.select(key, "clause", F.expr("t.alias").alias("alias"), F.expr(f"explode(coalesce({common}, array({sqltext.ENTITY_ID})))").alias("property_id"), "t.c.*", F.expr("t.anti").alias("anti"))
 
 
 def unparsed(samples: DataFrame, sql: str = "sql", key: str = "sample_id") -> DataFrame:
     """(key, reason) of query texts that :func:`extract_conditions` does not read in full."""
-    return samples.select(key, sqltext.unread_reason(F.col(sql)).alias("reason")).filter("reason IS NOT NULL")
+    return sqltext.read_queries(samples, sql, key).select(key, F.expr("explode(filter(array(reason), r -> r IS NOT NULL))").alias("reason"))
 
 
 def match_conditions(said: DataFrame, asked: DataFrame, key: str = "sample_id") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparsile.functions.numeric import any_part, compare, condition_holds, non_empty, to_decimal
+from sparsile.functions.sqltext import ENTITY_ID, TITLE
 from sparsile.session import durable
 from sparsile.sizing import BROADCAST_ROWS, join_control, local_copy
 
@@ -109,24 +110,40 @@ def join_entity_value(entities: DataFrame, values: DataFrame) -> DataFrame:
 
 def predicate_groups(predicates: DataFrame) -> DataFrame:
     """One row per (sample, clause, alias, property): its conditions, the alias's word and bit, and the number of
-    aliases of the clause.  An alias that may take several properties (an IN list) has a row for each, under one bit.
-    A control table, bounded by the workload."""
+    aliases of the clause that must exist.  An alias that may take several properties (an IN list) has a row for each, under one bit;
+    an anti alias, which must not exist, counts no bit.  A control table, bounded by the workload."""
     struct = F.struct("kind", "op", "lo", "hi", "text")
-    groups = predicates.groupBy("sample_id", "clause", "alias", "property_id").agg(F.collect_list(struct).alias("conditions"))
-    ordinal = F.dense_rank().over(W.partitionBy("sample_id", "clause").orderBy("alias")) - 1
+    marked = predicates if "anti" in predicates.columns else predicates.withColumn("anti", F.lit(False))
+    groups = marked.groupBy("sample_id", "clause", "alias", "property_id", F.col("anti").alias("_anti")).agg(F.collect_list(struct).alias("conditions"))
+    ordinal = F.dense_rank().over(W.partitionBy("sample_id", "clause", "_anti").orderBy("alias")) - 1
     ranked = groups.withColumn("_ord", ordinal)
-    last = F.max("_ord").over(W.partitionBy("sample_id", "clause"))
-    return ranked.select("sample_id", "clause", "property_id", "conditions", F.floor(F.col("_ord") / WORD_BITS).cast("int").alias("_word"),
+    last = F.max(F.when(~F.col("_anti"), F.col("_ord"))).over(W.partitionBy("sample_id", "clause"))
+    return ranked.select("sample_id", "clause", "property_id", "conditions", "_anti", F.floor(F.col("_ord") / WORD_BITS).cast("int").alias("_word"),
                          F.expr(f"shiftleft(1L, CAST(_ord % {WORD_BITS} AS INT))").alias("_bit"), (last + 1).alias("_size"))
 
 
+def with_entity_rows(values: DataFrame, groups: DataFrame, entities: DataFrame | None) -> DataFrame:
+    """The value rows, with an entity's title and id as values of the properties that stand for them where ``groups`` tests those."""
+    rows = values.select("data_id", "property_id", "value")
+    tested = {r[0] for r in groups.filter("property_id < 0").select("property_id").distinct().collect()}  # two rows at most
+    if not tested:
+        return rows
+    if entities is None:
+        raise ValueError("tests of entities need the entity table")
+    for number, value in ((TITLE, "title"), (ENTITY_ID, "data_id")):
+        if number in tested:
+            rows = rows.unionByName(entities.select("data_id", F.lit(number).alias("property_id"), F.col(value).cast("string").alias("value")).distinct())
+    return rows
+
+
 def evaluate_predicates(values: DataFrame, predicates: DataFrame, entities: DataFrame | None = None,
                         mode: str = "strict", bare_mode: str = "mysql", max_predicates: int = BROADCAST_ROWS) -> DataFrame:
     """All queries of a workload in one job: distinct (sample_id, data_id).
 
     Value rows meet the predicates of their property, failing pairs are dropped
     before anything moves, and the only wide shuffle is by (sample, clause,
-    entity), whose groups hold a few words of bits.  A clause may have any number of aliases.
+    entity), whose groups hold a few words of bits.  A clause may have any number of aliases; one
+    that must not exist (``anti``) rules an entity out as soon as a value passes its tests.
     """
     groups = predicate_groups(predicates)
     small = local_copy(groups, max_predicates)
@@ -134,11 +151,11 @@ def evaluate_predicates(values: DataFrame, predicates: DataFrame, entities: Data
     n_words = 1 + (groups.agg(F.max("_word")).first()[0] or 0)
     # numeric views are read inside the test, so text that only meets text tests is never parsed
     value = F.col("value")
-    met = join_control(values.select("data_id", "property_id", "value"), groups, "property_id", spread="data_id", max_rows=max_predicates).filter(F.forall(
+    met = join_control(with_entity_rows(values, groups, entities), groups, "property_id", spread="data_id", max_rows=max_predicates).filter(F.forall(
         "conditions", lambda c: condition_holds(value, c["kind"], c["op"], c["lo"], c["hi"], c["text"], mode, bare_mode)))
-    words = [F.bit_or(F.when(F.col("_word") == w, F.col("_bit")).otherwise(F.lit(0).cast("bigint"))).alias(f"_m{w}") for w in range(n_words)]
+    words = [F.bit_or(F.when((F.col("_word") == w) & ~F.col("_anti"), F.col("_bit")).otherwise(F.lit(0).cast("bigint"))).alias(f"_m{w}") for w in range(n_words)]
     held = reduce(lambda a, b: a + b, [F.bit_count(f"_m{w}") for w in range(n_words)])
-    full = met.groupBy("sample_id", "clause", "data_id").agg(*words, F.first("_size").alias("_size")).filter(held == F.col("_size"))
+    full = met.groupBy("sample_id", "clause", "data_id").agg(*words, F.first("_size").alias("_size"), F.max("_anti").alias("_out")).filter((held == F.col("_size")) & ~F.col("_out"))
     hits = full.select("sample_id", "data_id").distinct()
     return hits if entities is None else hits.join(entities.select("data_id"), "data_id", "left_semi").select("sample_id", "data_id")
 

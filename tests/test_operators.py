@@ -353,3 +353,59 @@ def test_many_titles_are_numbered_in_order(spark):
     titles = spark.range(20_000).select(F.concat(F.lit("t"), F.format_string("%06d", (F.col("id") * 7919) % 20_000)).alias("title"))
     found = numbering.assign_dataset_id(titles.union(titles)).distinct().collect()
     assert len(found) == 20_000 and all(int(r.dataset_id) == int(r.title[1:]) + 1 for r in found)
+
+
+def test_boolean_queries_equal_sql(spark):
+    """Generated conditions (brackets, NOT, nested queries, entity tests) against DuckDB on the same rows."""
+    import duckdb
+
+    rng = random.Random(11)
+    values = [(e, p, rng.choice(["a", "b", "ab", "1", "7", "10", "-3"])) for e in range(1, 41) for p in (4, 5, 6) if rng.random() < 0.7]
+    entities = [(e, rng.choice(["x", "y"])) for e in range(1, 41)]
+    number = "CAST({0}.value AS DECIMAL(30, 15))"
+
+    def test_of(alias):
+        return rng.choice([f"{alias}.value = 'a'", f"{alias}.value <> 'b'", f"{alias}.value LIKE '%a%'", f"{alias}.value NOT LIKE 'a%'", f"{alias}.value IN ('a', '7')", f"{alias}.value NOT IN ('1')",
+                           f"{number.format(alias)} > 2", f"{number.format(alias)} BETWEEN 1 AND 8", f"{number.format(alias)} NOT BETWEEN 2 AND 8", f"{number.format(alias)} <= -3"])
+
+    def tree(alias, depth):
+        kind = rng.choice(["test", "and", "or", "not"]) if depth else "test"
+        if kind == "test":
+            return test_of(alias)
+        if kind == "not":
+            return f"NOT ({tree(alias, depth - 1)})"
+        return f"({tree(alias, depth - 1)} {kind.upper()} {tree(alias, depth - 1)})"
+
+    def nested(k):
+        inner = f"x{k}.property_id = {rng.choice([4, 5, 6])} AND ({tree(f'x{k}', 2)})"
+        if rng.random() < 0.5:
+            return f"e.data_id {rng.choice(['', 'NOT '])}IN (SELECT x{k}.data_id FROM d.value_table x{k} WHERE {inner})"
+        return f"{rng.choice(['', 'NOT '])}EXISTS (SELECT 1 FROM d.value_table x{k} WHERE x{k}.data_id = e.data_id AND {inner})"
+
+    texts = []
+    for i in range(60):
+        parts = [f"v.property_id = {rng.choice([4, 5])}", tree("v", 3)]
+        parts += [rng.choice([nested(i), f"({nested(i)} OR {nested(1000 + i)})", f"NOT ({nested(i)} AND {nested(1000 + i)})"])] if i % 2 else []
+        parts += [rng.choice(["e.title = 'x'", "NOT e.title = 'x'", "e.data_id > 20", "e.data_id NOT IN (3, 5, 8)"])] if i % 3 else []
+        texts.append((i, "SELECT DISTINCT e.data_id FROM d.entity_table e JOIN d.value_table v ON v.data_id = e.data_id WHERE " + " AND ".join(parts) + " ORDER BY e.data_id"))
+    con = duckdb.connect()
+    con.sql("CREATE SCHEMA d")
+    con.sql("CREATE TABLE d.value_table (data_id BIGINT, property_id INT, value VARCHAR)")
+    con.sql("CREATE TABLE d.entity_table (data_id BIGINT, title VARCHAR)")
+    con.executemany("INSERT INTO d.value_table VALUES (?, ?, ?)", values)
+    con.executemany("INSERT INTO d.entity_table VALUES (?, ?)", entities)
+    want = {(i, r[0]) for i, text in texts for r in con.sql(text.replace("CAST(", "TRY_CAST(")).fetchall()}
+    samples = spark.createDataFrame(texts, "sample_id long, sql string")
+    assert matching.unparsed(samples).collect() == []
+    found = retrieval.evaluate_predicates(spark.createDataFrame(values, "data_id long, property_id int, value string"), matching.extract_conditions(samples),
+                                          spark.createDataFrame(entities, "data_id long, title string"))
+    assert {(r.sample_id, r.data_id) for r in found.collect()} == want and len(want) > 100
+
+
+def test_foreign_aliases_in_nested_queries_are_not_read(spark):
+    texts = [(1, "SELECT e.data_id FROM t e WHERE EXISTS (SELECT 1 FROM t x WHERE x.property_id = 4)"),
+             (2, "SELECT e.data_id FROM t e JOIN t v ON v.data_id = e.data_id WHERE v.property_id = 4 AND EXISTS (SELECT 1 FROM t x WHERE x.data_id = e.data_id AND x.property_id = 5 AND v.value = 'a')"),
+             (3, "SELECT e.data_id FROM t e WHERE e.data_id IN (SELECT x.data_id FROM t x WHERE x.value = 'a')")]
+    samples = spark.createDataFrame(texts, "sample_id long, sql string")
+    assert {r.sample_id: r.reason for r in matching.unparsed(samples).collect()} == {1: "nested", 2: "property", 3: "property"}
+    assert matching.extract_conditions(samples).collect() == []

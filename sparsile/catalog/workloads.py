@@ -348,6 +348,28 @@ def _(t):
     return rounded(workload.evaluate_aggregate_texts(t.samples, t.eav_value), "value", digits=4)
 
 
+# every form of call over a join of two value tables with OR across them, NOT and a nested query, one text per nation
+CALL_FORMS = """SELECT CAST(n_nationkey AS BIGINT) AS sample_id, 'SELECT COUNT(*), COUNT(e.data_id), COUNT(DISTINCT e.data_id), COUNT(DISTINCT w.value), SUM(CAST(v.value AS DECIMAL(30, 15))), AVG(DISTINCT CAST(v.value AS DECIMAL(30, 15))), MIN(w.value)
+FROM eav.entity_table e JOIN eav.value_table v ON v.data_id = e.data_id JOIN eav.value_table w ON w.data_id = e.data_id WHERE v.property_id = 23 AND w.property_id IN (22, 24) AND (CAST(v.value AS DECIMAL(30, 15)) > ' || (4000 + 200 * n_nationkey) ||
+' OR NOT w.value <> ''BUILDING'') AND e.data_id NOT IN (SELECT x.data_id FROM eav.value_table x WHERE x.property_id = 22 AND x.value = ''' || n_nationkey || ''')' AS sql FROM {nation}"""
+_FORMS_JOINED = """SELECT n_nationkey, c_custkey, b.n, w.value AS text FROM nation JOIN (SELECT *, 1000002 + 4 * c_custkey AS id FROM customer) c ON c_nationkey <> n_nationkey
+JOIN (SELECT data_id, TRY_CAST(value AS DECIMAL(30,15)) AS n FROM eav_value WHERE property_id = 23) b ON b.data_id = c.id JOIN (SELECT data_id, value FROM eav_value WHERE property_id IN (22, 24)) w ON w.data_id = c.id
+WHERE b.n > 4000 + 200 * n_nationkey OR w.value = 'BUILDING'"""
+_FORMS = (("count", "COUNT(*)"), ("count", "COUNT(c_custkey)"), ("count", "COUNT(DISTINCT c_custkey)"), ("count", "COUNT(DISTINCT text)"), ("sum", "SUM(n)"), ("avg", "AVG(DISTINCT n)"))
+
+
+@register("a1_call_forms", f"""SELECT sample_id, call, fn, round(value, 4) AS value, text FROM (SELECT CAST(n_nationkey AS BIGINT) AS sample_id, unnest(range(7))::INTEGER AS call, unnest([{', '.join(f"'{fn}'" for fn, _ in _FORMS)}, 'min']) AS fn,
+unnest([{', '.join(f"CAST({form} AS DOUBLE)" for _, form in _FORMS)}, NULL]) AS value, unnest([{'NULL, ' * len(_FORMS)}MIN(text)]) AS text FROM ({_FORMS_JOINED}) j GROUP BY n_nationkey) q""")
+def _(t):
+    return rounded(workload.evaluate_aggregate_texts(t.sql(CALL_FORMS), t.eav_value, entities=t.eav_entity), "value", digits=4)
+
+
+@register("a1_unread", "SELECT CAST(c_custkey AS BIGINT) AS sample_id, CASE c_custkey % 5 WHEN 0 THEN 'group_by' WHEN 1 THEN 'call' WHEN 2 THEN 'free_alias' ELSE 'alias' END AS reason FROM customer WHERE c_custkey % 5 < 4")
+def _(t):
+    return workload.unread_aggregates(t.sql("""SELECT CAST(c_custkey AS BIGINT) AS sample_id, 'SELECT ' || CASE c_custkey % 5 WHEN 1 THEN 'AVG(v.value + 1)' WHEN 3 THEN 'MAX(w.value)' ELSE 'COUNT(*)' END || ' FROM eav.value_table v'
+    || CASE c_custkey % 5 WHEN 2 THEN ' JOIN eav.value_table w ON w.data_id = v.data_id' ELSE '' END || ' WHERE v.property_id = ' || c_custkey || CASE c_custkey % 5 WHEN 0 THEN ' GROUP BY v.value' ELSE '' END AS sql FROM {customer}"""))
+
+
 GOLD_ROWS = f"""SELECT n.sample_id, c.c_custkey, 1000002 + 4 * c.c_custkey AS data_id, c.c_name AS name FROM nation_samples n JOIN customer c ON c.c_nationkey = n.sample_id AND c_acctbal >= 0 AND
 CASE n.sample_id % 5 WHEN 0 THEN c_acctbal > 100 * n.sample_id WHEN 1 THEN c_acctbal >= 100 * n.sample_id WHEN 2 THEN c_acctbal < 100 * n.sample_id WHEN 3 THEN c_acctbal <= 100 * n.sample_id ELSE c_acctbal BETWEEN 100 * n.sample_id AND 100 * n.sample_id + 5000 END"""
 for _missing, _keep in (("null", "true"), ("skip", "c_custkey % 3 > 0")):

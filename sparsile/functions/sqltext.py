@@ -13,7 +13,9 @@ from sparsile.functions.numeric import LIST_MARK
 # Patterns that decide how a query text is read.
 AGGREGATE_CALL = r"(?i)\b(?:AVG|MAX|MIN|SUM|COUNT)\s*\("
 EXTREME_CALL = r"(?i)\b(?:AVG|MAX|MIN)\s*\("
-AGGREGATE_OF = r"(?i)\b(AVG|MAX|MIN|SUM|COUNT)\s*\(\s*(CAST\s*\(\s*)?(\w+)\.(?:value|data_id)"
+AGGREGATE_OF = (r"(?i)\b(AVG|MAX|MIN|SUM|COUNT)\s*\(\s*(DISTINCT\s+)?(?:CAST\s*\(\s*(\w+)\.value\s+AS\s+(?:DECIMAL|DOUBLE|FLOAT)\s*(?:\(\s*\d+\s*(?:,\s*\d+\s*)?\))?\s*\)"
+                r"|(\w+)\.(value|data_id)|(\*|\d+))\s*\)")
+SELECT_LIST = r"(?is)^\s*SELECT\b(.*?)\bFROM\b"
 AGGREGATE_NAMES = ("COUNT", "SUM", "AVG", "MAX", "MIN")
 VALUE_JOIN = r"(?i)JOIN\s+[\w.]+\.value_table"
 SUBQUERY = r"(?i)\(\s*SELECT\b"
@@ -216,9 +218,19 @@ def alias_conditions(sql: Column) -> Column:
 
 
 def aggregate_calls(sql: Column) -> Column:
-    """array of (call, fn, alias, as_number) of the aggregate calls on ``alias.value`` or ``alias.data_id``, in text order."""
-    return F.transform(_matches(sql, AGGREGATE_OF, lambda fn, cast, alias: F.struct(F.lower(fn).alias("fn"), alias.alias("alias"), (cast != "").alias("as_number")), 3),
-                       lambda c, i: F.struct(i.alias("call"), c["fn"].alias("fn"), c["alias"].alias("alias"), c["as_number"].alias("as_number")))
+    """array of (call, fn, alias, as_number, distinct, of) of the aggregate calls in the select list, in text order: ``of`` a ``value``, an ``entity`` (its id)
+    or, for ``COUNT(*)``, a ``row``.  Calls of other forms are left out; :func:`call_count` counts them too."""
+    listed = F.regexp_extract(sql, SELECT_LIST, 1)
+    found = _matches(listed, AGGREGATE_OF, lambda fn, distinct, cast, alias, column, row: F.struct(
+        F.lower(fn).alias("fn"), F.when(row == "", F.concat(cast, alias)).alias("alias"), (cast != "").alias("as_number"), (distinct != "").alias("distinct"),
+        F.when(row != "", "row").when(F.lower(column) == "data_id", "entity").otherwise("value").alias("of")), 6)
+    known = F.filter(found, lambda c: (c["of"] != "row") | ((c["fn"] == "count") & ~c["distinct"]))
+    return F.transform(known, lambda c, i: F.struct(i.alias("call"), *[c[n].alias(n) for n in ("fn", "alias", "as_number", "distinct", "of")]))
+
+
+def call_count(sql: Column) -> Column:
+    """Aggregate calls of any form in the select list."""
+    return F.regexp_count(F.regexp_extract(sql, SELECT_LIST, 1), F.lit(AGGREGATE_CALL))
 
 
 # ---- conditions of a whole query text ---------------------------------------

@@ -214,31 +214,3 @@ def eav_agg_all(values: DataFrame, property_ids: list[int], mode: str = "strict"
     number = to_decimal(F.col("value"), mode)
     rows = property_in(values, property_ids).filter(non_empty(F.col("value"))).select("property_id", number.alias("n"))
     return rows.groupBy("property_id").agg(*[f("n").cast("double").alias(k) for k, f in AGGREGATES.items()])
-
-
-def evaluate_aggregates(values: DataFrame, calls: DataFrame, predicates: DataFrame, mode: str = "strict", bare_mode: str = "mysql",
-                        max_predicates: int = BROADCAST_ROWS) -> DataFrame:
-    """All aggregate queries of a workload in one job: (sample_id, call, fn, value, text).
-
-    ``calls`` is (sample_id, call, fn, alias, as_number); ``predicates`` are the conditions of the same samples.  Rows of the called
-    alias pass that alias's own tests; the other aliases of the sample must hold for the entity.  COUNT counts any value that is not null;
-    a called value that is not cast is compared as text by MAX and MIN (``text``) and read as a number by AVG and SUM.
-    """
-    own = predicates.join(calls.select("sample_id", "alias").distinct(), ["sample_id", "alias"])
-    rest = predicates.join(calls.select("sample_id", "alias").distinct(), ["sample_id", "alias"], "left_anti")
-    tests = own.groupBy("sample_id", "alias", "property_id").agg(F.collect_list(F.struct("kind", "op", "lo", "hi", "text")).alias("tests")).join(calls, ["sample_id", "alias"])
-    value = F.col("value")
-    met = join_control(values.select("data_id", "property_id", "value"), tests, "property_id", spread="data_id", max_rows=max_predicates).filter(F.forall(
-        "tests", lambda c: F.coalesce(condition_holds(value, c["kind"], c["op"], c["lo"], c["hi"], c["text"], mode, bare_mode), F.lit(False))))
-    needs = rest.select("sample_id").distinct().withColumn("_needs", F.lit(True))
-    hits = evaluate_predicates(values, rest, None, mode, bare_mode, max_predicates).withColumn("_hit", F.lit(True))
-    rows = met.join(needs, "sample_id", "left").join(hits, ["sample_id", "data_id"], "left").filter("_needs IS NULL OR _hit")
-    number = F.when(F.col("as_number"), to_decimal(value, mode)).otherwise(to_decimal(value, bare_mode))
-    sums = rows.withColumn("_x", number).groupBy("sample_id", "call", "fn", "as_number").agg(
-        *[f("_x").cast("double").alias(f"_{k}") for k, f in AGGREGATES.items() if k != "count"], F.count("value").cast("double").alias("_count"),
-        F.max("value").alias("_max_text"), F.min("value").alias("_min_text"))
-    found = calls.drop("alias").join(sums, ["sample_id", "call", "fn", "as_number"], "left")
-    textual = ~F.col("as_number") & F.col("fn").isin("max", "min")
-    pick = lambda names: reduce(lambda acc, k: acc.when(F.col("fn") == k, F.col(f"_{k}")), names[1:], F.when(F.col("fn") == names[0], F.col(f"_{names[0]}")))
-    numeric = F.when(F.col("fn") == "count", F.coalesce("_count", F.lit(0.0))).when(~textual, pick([k for k in AGGREGATES if k != "count"]))
-    return found.select("sample_id", "call", "fn", numeric.alias("value"), F.when(textual, F.when(F.col("fn") == "max", F.col("_max_text")).otherwise(F.col("_min_text"))).alias("text"))

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from sparsile.functions import phrases, sqltext
 from sparsile.operators import aggregates as A
+from sparsile.operators.aggregate_queries import aggregate_reasons, evaluate_aggregates
 from sparsile.operators.matching import extract_conditions
 from sparsile.operators.numbering import dense_number, reindex
-from sparsile.operators.retrieval import evaluate_aggregates, evaluate_predicates
+from sparsile.operators.retrieval import evaluate_predicates
 from sparsile.session import durable
 from sparsile.sources.reports import CHUNK
 
@@ -117,11 +118,18 @@ def curate_samples(samples: DataFrame, version: int = 2, threshold: str = "0.1")
     return kept.withColumn("sql", sqltext.rewrite_zero_threshold(F.col("sql"), threshold))
 
 
-def evaluate_aggregate_texts(samples: DataFrame, values: DataFrame, mode: str = "strict") -> DataFrame:
-    """(sample_id, call, fn, value, text) of every aggregate call of the samples' query texts, in one job."""
+def evaluate_aggregate_texts(samples: DataFrame, values: DataFrame, mode: str = "strict", entities: DataFrame | None = None) -> DataFrame:
+    """(sample_id, call, fn, value, text) of every aggregate call of the samples' query texts, in one job.  Texts that cannot be
+    answered in full give no rows; :func:`unread_aggregates` names them."""
     asked = samples.filter(sqltext.is_aggregation(F.col("sql")))
-    calls = asked.select("sample_id", F.explode(sqltext.aggregate_calls(F.col("sql"))).alias("c")).select("sample_id", "c.*")
-    return evaluate_aggregates(values, calls, extract_conditions(asked), mode)
+    read = durable(aggregate_reasons(asked), "aggregates").filter("reason IS NULL")
+    calls = read.select("sample_id", F.explode("calls").alias("c")).select("sample_id", "c.*")
+    return evaluate_aggregates(values, calls, extract_conditions(asked.join(read.select("sample_id"), "sample_id", "left_semi")), entities, mode)
+
+
+def unread_aggregates(samples: DataFrame) -> DataFrame:
+    """(sample_id, reason) of aggregate query texts that :func:`evaluate_aggregate_texts` does not answer."""
+    return aggregate_reasons(samples.filter(sqltext.is_aggregation(F.col("sql")))).filter("reason IS NOT NULL").select("sample_id", "reason")
 
 
 def gold_results(samples: DataFrame, values: DataFrame, entities: DataFrame, records: DataFrame, missing: str = "null", chunk: int = CHUNK) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sparsile.catalog.tables import EDGE_TEXTS
 from sparsile.functions import bitmaps, ids, numeric, phrases, sqltext
-from sparsile.operators import aggregates, leaves, matching, numbering, retrieval, scoring, shaping
+from sparsile.operators import aggregate_queries, aggregates, leaves, matching, numbering, retrieval, scoring, shaping
 from sparsile.operators.retrieval import Condition
 from sparsile.plans import ingest, validation, workload
 from sparsile.session import fresh_path
@@ -409,3 +409,75 @@ def test_foreign_aliases_in_nested_queries_are_not_read(spark):
     samples = spark.createDataFrame(texts, "sample_id long, sql string")
     assert {r.sample_id: r.reason for r in matching.unparsed(samples).collect()} == {1: "nested", 2: "property", 3: "property"}
     assert matching.extract_conditions(samples).collect() == []
+
+
+def _aggregate_texts(seed: int, n: int):
+    """Random aggregate texts over up to two joined value tables, with OR across aliases, NOT, nested queries and entity tests."""
+    rnd = random.Random(seed)
+    calls = ["COUNT(*)", "COUNT(1)", "COUNT(e.data_id)", "COUNT(DISTINCT e.data_id)", "COUNT(DISTINCT v.value)", "COUNT(v.value)", "AVG(CAST(v.value AS DECIMAL(30, 15)))",
+             "SUM(DISTINCT CAST(v.value AS DECIMAL(30, 15)))", "SUM(CAST(v.value AS DECIMAL(30, 15)))", "MAX(CAST(v.value AS DECIMAL(30, 15)))", "MIN(v.value)", "MAX(e.data_id)"]
+    for k in range(n):
+        number = lambda a: f"CAST({a}.value AS DECIMAL(30, 15)) {rnd.choice(['>', '<=', '='])} {rnd.randint(0, 6)}"
+        two = rnd.random() < 0.6
+        group = lambda: f"({number('v')} {rnd.choice(['OR', 'AND'])} {'NOT ' if rnd.random() < 0.4 else ''}{number('v2' if two else 'v')})"
+        parts = [f"v.property_id = {rnd.randint(1, 2)}", group()]
+        if two:
+            parts += ["v2.property_id IN (2, 3)", group()]
+        if rnd.random() < 0.3:
+            parts.append(f"e.data_id {rnd.choice(['', 'NOT '])}IN (SELECT x.data_id FROM eav.value_table x WHERE x.property_id = 3 AND {number('x')})")
+        if rnd.random() < 0.3:
+            parts.append("(e.title = 'a' OR " + number("v") + ")")
+        joins = "JOIN eav.value_table v ON v.data_id = e.data_id" + (" JOIN eav.value_table v2 ON v2.data_id = e.data_id" if two else "")
+        yield k, f"SELECT {', '.join(rnd.sample(calls, 3))} FROM eav.entity_table e {joins} WHERE {' AND '.join(parts)}"
+
+
+def _aggregate_store(spark, rows, titles):
+    values = spark.createDataFrame(rows, "data_id bigint, property_id int, value string")
+    return values, spark.createDataFrame(titles, "data_id bigint, title string")
+
+
+@pytest.mark.parametrize("max_predicates", [50_000, 0])
+def test_aggregate_texts_equal_their_joins(spark, max_predicates):
+    import duckdb
+
+    rnd = random.Random(5)
+    rows = [(rnd.randint(1, 12), rnd.randint(1, 3), rnd.choice("0123456")) for _ in range(90)]  # several values of a property, repeated rows
+    titles = [(i, "ab"[i % 2]) for i in range(1, 12)]  # entity 12 is not in the entity table
+    con = duckdb.connect()
+    con.sql("CREATE SCHEMA eav; CREATE TABLE eav.value_table(data_id BIGINT, property_id INT, value VARCHAR); CREATE TABLE eav.entity_table(data_id BIGINT, title VARCHAR)")
+    con.executemany("INSERT INTO eav.value_table VALUES (?, ?, ?)", rows)
+    con.executemany("INSERT INTO eav.entity_table VALUES (?, ?)", titles)
+    texts = list(_aggregate_texts(17, 60 if max_predicates else 12))
+    samples = spark.createDataFrame(texts, "sample_id bigint, sql string")
+    values, entities = _aggregate_store(spark, rows, titles)
+    assert workload.unread_aggregates(samples).count() == 0
+    calls = samples.select("sample_id", F.explode(sqltext.aggregate_calls(F.col("sql"))).alias("c")).select("sample_id", "c.*")
+    found = aggregate_queries.evaluate_aggregates(values, calls, matching.extract_conditions(samples), entities, max_predicates=max_predicates).collect()
+    ours = {(r.sample_id, r.call): r.value if r.text is None else r.text for r in found}
+    assert len(found) == 3 * len(texts)
+    for k, text in texts:
+        for i, x in enumerate(con.sql(text).fetchall()[0]):
+            want = x if x is None or isinstance(x, str) else pytest.approx(float(x))
+            assert ours[k, i] == want, (text, i)
+
+
+def test_aggregate_texts_that_are_not_read(spark):
+    base = "FROM eav.entity_table e JOIN eav.value_table v ON v.data_id = e.data_id"
+    texts = {1: (f"SELECT COUNT(*) {base} WHERE v.property_id = 1 GROUP BY v.value", "group_by"), 2: (f"SELECT AVG(v.value + 1) {base} WHERE v.property_id = 1", "call"),
+             3: (f"SELECT COUNT(*) {base} JOIN eav.value_table v2 ON v2.data_id = e.data_id WHERE v.property_id = 1", "free_alias"), 4: ("SELECT COUNT(*) FROM eav.entity_table e", "no_condition"),
+             5: (f"SELECT COUNT(*) {base} JOIN eav.value_table v2 ON v2.data_id = e.data_id WHERE v.property_id = 1 OR v2.property_id = 2", "free_alias"),
+             6: (f"SELECT MAX(w.value) {base} WHERE v.property_id = 1", "alias"), 7: (f"SELECT COUNT(*) {base} WHERE v.property_id = 1 AND v.value = 'x'", None),
+             8: (f"SELECT COUNT(*), COUNT(DISTINCT *) {base} WHERE v.property_id = 1", "call"), 9: (f"SELECT SUM(v.value) {base} WHERE v.property_id = 9", None)}
+    samples = spark.createDataFrame([(k, t) for k, (t, _) in texts.items()], "sample_id bigint, sql string")
+    assert {r.sample_id: r.reason for r in workload.unread_aggregates(samples).collect()} == {k: r for k, (_, r) in texts.items() if r}
+    values, entities = _aggregate_store(spark, [(1, 1, "x"), (1, 1, "x"), (2, 1, None), (None, 1, "x")], [(1, "a"), (2, None)])
+    found = {(r.sample_id, r.call): r.value for r in workload.evaluate_aggregate_texts(samples, values, entities=entities).collect()}
+    assert found == {(7, 0): 2.0, (9, 0): None}
+    assert workload.evaluate_aggregate_texts(samples.limit(0), values.limit(0), entities=entities).count() == 0
+
+
+def test_one_entity_with_many_rows_is_summed_before_it_meets_others(spark):
+    values = spark.range(3000).select(F.lit(7).cast("bigint").alias("data_id"), (F.col("id") % 2 + 1).cast("int").alias("property_id"), (F.col("id") % 10).cast("string").alias("value"))
+    text = "SELECT COUNT(*), COUNT(DISTINCT v2.data_id), SUM(CAST(v.value AS DECIMAL(30, 15))) FROM eav.value_table v JOIN eav.value_table v2 ON v2.data_id = v.data_id WHERE v.property_id = 1 AND v2.property_id = 2"
+    found = workload.evaluate_aggregate_texts(spark.createDataFrame([(1, text)], "sample_id bigint, sql string"), values)
+    assert [r.value for r in found.orderBy("call").collect()] == [1500.0 * 1500, 1.0, 1500.0 * 1500 * 4]

@@ -13,7 +13,8 @@ written by executors into the shared folder under a private name and renamed whe
 or doubled task leaves one whole file.
 
 Defined results: null counts as empty; an empty text has the end id only; null keys come first; rows of one key are
-ordered by a hash of their text; an empty table gives no file and no row.
+ordered by a hash of their text and may stand in several files, equal rows stay side by side; texts of any length are encoded whole; further
+columns are ignored, whatever their names; an empty table gives no file and no row.
 """
 
 from __future__ import annotations
@@ -62,15 +63,17 @@ _STAND_INS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRI
 
 class BytePieceEncoder:
     """Encodes texts with a tokenizer file.  Under plain byte-level pre-tokenization each distinct piece goes to the
-    library's model once per task; any other tokenizer gets whole texts."""
+    library's model once per task; texts with the string of an added token go to the library whole, as all texts do for any other tokenizer."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as file:
             form = json.load(file)
+        # strings of added tokens are found in the whole text before anything is cut
+        added = sorted({t["content"] for t in form.get("added_tokens") or []} - {""}, key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         cut = form["pre_tokenizer"] or {}
         self.by_piece = (form["normalizer"] is None and form["model"].get("type", "BPE") == "BPE" and cut.get("type") == "ByteLevel"
                          and not cut.get("add_prefix_space", True) and cut.get("use_regex", True))
@@ -90,8 +93,20 @@ class BytePieceEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and their number per text."""
-        if self.by_piece:
-            return self.words.encode([_PIECE.findall(t) for t in texts])
+        if not self.by_piece:
+            return self._whole(texts)
+        special = [i for i, t in enumerate(texts) if self.added is not None and self.added.search(t)]
+        marked = set(special)
+        ids, per = self.words.encode([[] if i in marked else _PIECE.findall(t) for i, t in enumerate(texts)])
+        if not special:
+            return ids, per
+        parts = np.split(ids, np.cumsum(per)[:-1])
+        own, sizes = self._whole([texts[i] for i in special])
+        for i, part in zip(special, np.split(own, np.cumsum(sizes)[:-1])):
+            parts[i] = part
+        return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return joined([e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)])
 
 
@@ -194,12 +209,12 @@ MANIFEST = "part int, path string, n_docs long, n_tokens long"
 
 def write_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, partitions: int | None = None) -> DataFrame:
     """Encode documents and write them in key order; returns the manifest, one row per file, in order of ``part``.
-    Texts move once, to the range of keys whose file holds them."""
+    Texts move once, to the range of keys whose file holds them; rows of one key are cut by a hash of their text."""
     spark = docs.sparkSession
     folder = fresh_path(spark, "tokens")
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("body"))
-    ordered = rows.repartitionByRange(parts, F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), F.xxhash64("body"))
+    ordered = rows.repartitionByRange(parts, F.col("key").asc_nulls_first(), F.xxhash64("body")).sortWithinPartitions(F.col("key").asc_nulls_first(), F.xxhash64("body"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, writer, total, sink = BytePieceEncoder(tokenizer), None, 0, None

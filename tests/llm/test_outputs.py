@@ -24,12 +24,11 @@ ALPHABET = "ab'sdtl rem  \n\t  \x1c\x85\xa0 ÉßñK1 9.,!?▁<0x0A>😀é́\r\
 
 def odd_texts(n):
     rnd = random.Random(3)
-    return ["".join(rnd.choice(ALPHABET) for _ in range(rnd.randrange(0, 30))) for _ in range(n)] + ["", " ", "▁", "a▁ b", "<|endoftext|>", "x\n\n  y"]
+    return ["".join(rnd.choice(ALPHABET) for _ in range(rnd.randrange(0, 30))) for _ in range(n)] + ["", " ", "▁", "a▁ b", "<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>\n", "<|endoftext", "x\n\n  y"]
 
 
 def test_token_query(spark, rows):
     tokenizer = Tokenizer.from_file(TOKENS)
-    tokenizer.encode_special_tokens = True
     start = 0
     found = {r.doc_id: r for r in QUERIES["op2_token_frames"](spark, FOLDER).collect()}
     for key in sorted(rows):
@@ -40,7 +39,6 @@ def test_token_query(spark, rows):
 
 def test_byte_pieces_equal_the_library():
     tokenizer = Tokenizer.from_file(TOKENS)
-    tokenizer.encode_special_tokens = True
     texts = odd_texts(3000)
     encoder = token_frames.BytePieceEncoder(TOKENS)
     assert encoder.by_piece and not token_frames.BytePieceEncoder(public_tokenizers.path("word_bpe_49k.json")).by_piece
@@ -49,6 +47,21 @@ def test_byte_pieces_equal_the_library():
     assert [x.tolist() for x in np.split(ids, np.cumsum(per)[:-1])] == expected
 
 
+def test_added_tokens_keep_their_ids():
+    ids, per = token_frames.BytePieceEncoder(TOKENS).encode(["a <|endoftext|> b", "", "a"])
+    assert (ids.tolist(), per.tolist()) == ([64, 220, 50256, 275, 64], [4, 0, 1])
+
+
+def test_rows_of_one_key_are_spread_over_files(spark):
+    docs = spark.range(4000).select(F.when(F.col("id") % 10 > 0, F.lit(7)).otherwise(F.col("id")).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    manifest = token_frames.write_tokens(docs, TOKENS, partitions=8)
+    assert max(r.n_docs for r in manifest.collect()) < 1500
+    found = token_frames.read_tokens(manifest).orderBy("start").collect()
+    assert [r.doc_id for r in found] == sorted(r.doc_id for r in docs.collect())
+    assert [r.start for r in found] == [sum(r.n_tokens for r in found[:i]) for i in range(len(found))]
+    assert token_frames.read_documents(manifest, [7]).count() == 3600
+
+
 def test_frames_are_independent(tmp_path):
     path = tmp_path / "x.zst"
     rng = np.random.default_rng(2)

@@ -72,8 +72,7 @@ class BytePieceEncoder:
         with open(path, encoding="utf-8") as file:
             form = json.load(file)
         # strings of added tokens are found in the whole text before anything is cut
-        added = sorted({t["content"] for t in form.get("added_tokens") or []} - {""}, key=len, reverse=True)
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.added = sorted({t["content"] for t in form.get("added_tokens") or []} - {""})
         cut = form["pre_tokenizer"] or {}
         self.by_piece = (form["normalizer"] is None and form["model"].get("type", "BPE") == "BPE" and cut.get("type") == "ByteLevel"
                          and not cut.get("add_prefix_space", True) and cut.get("use_regex", True))
@@ -95,7 +94,7 @@ class BytePieceEncoder:
         """All ids in order, and their number per text."""
         if not self.by_piece:
             return self._whole(texts)
-        special = [i for i, t in enumerate(texts) if self.added is not None and self.added.search(t)]
+        special = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
         marked = set(special)
         ids, per = self.words.encode([[] if i in marked else _PIECE.findall(t) for i, t in enumerate(texts)])
         if not special:

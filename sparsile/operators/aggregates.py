@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparsile.operators.nulls import join_null_safe
 from sparsile.operators.numbering import exact_percentiles
 
 # The published bin sets, as (name, lowest, highest) of whole numbers.
@@ -95,7 +96,7 @@ def runtime_summary(df: DataFrame, col: str, by: list[str], max_below: int = 0)
     ``max_below`` values, off by default)."""
     middle = exact_percentiles(df.withColumn(col, F.col(col).cast("double")), col, by, {"median_ms": 0.5, "_p95": 0.95})
     rest = df.groupBy(*by).agg(F.count(col).alias("n"), F.avg(col).alias("mean_ms"), F.min(col).alias("min_ms"), F.max(col).alias("max_ms"))
-    return rest.join(middle, by, "left").select(*by, "n", "mean_ms", "median_ms", "min_ms", "max_ms", F.when(F.col("n") < max_below, F.col("max_ms")).otherwise(F.col("_p95")).alias("p95_ms"))
+    return join_null_safe(rest, middle, by, "left").select(*by, "n", "mean_ms", "median_ms", "min_ms", "max_ms", F.when(F.col("n") < max_below, F.col("max_ms")).otherwise(F.col("_p95")).alias("p95_ms"))
 
 
 def histogram(df: DataFrame, col: str, bins: str, weight: str | None = None) -> DataFrame:

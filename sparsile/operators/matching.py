@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sparsile.functions import phrases, sqltext
 from sparsile.functions.numeric import near
+from sparsile.operators.nulls import join_null_safe
 
 # Up to this many terms are tested in the row; more go through the seed join.
 INLINE_TERMS = 2_000
@@ -22,7 +23,7 @@ def terms_in_text(texts: DataFrame, terms: DataFrame, text: str = "text", key: s
     texts never move.  A larger one is joined on seeds: each text gives its distinct
     pieces of up to four characters, each term its first four (or all) characters.  Only
     (key, piece) pairs are joined; the texts of matching pairs are then fetched by
-    ``key`` (the first column by default) and a hash of the text, and the pair is verified on the whole text.
+    ``key`` (the first column by default) and a hash of the text, and the pair is verified on the whole text.  A null key is a key.
     """
     vocabulary = terms.select("term").filter("term != ''").distinct()
     few = vocabulary.limit(max_inline + 1).collect()
@@ -42,7 +43,7 @@ def terms_in_text(texts: DataFrame, terms: DataFrame, text: str = "text", key: s
 
     seeded = chars.select(key, "_text", F.explode(F.array_distinct(F.concat(*[pieces(k) for k in used]))).alias("_seed"))
     candidates = seeded.join(seeds, "_seed").select(key, "_text", "term").distinct()
-    return marked.join(candidates, [key, "_text"]).filter(F.contains(F.col(text), F.col("term"))).select(*texts.columns, "term")
+    return join_null_safe(marked, candidates, [key, "_text"]).filter(F.contains(F.col(text), F.col("term"))).select(*texts.columns, "term")
 
 
 def term_usage(terms: DataFrame, found: DataFrame) -> DataFrame:

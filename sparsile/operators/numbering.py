@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparsile.operators.nulls import join_null_safe
 from sparsile.session import durable
 
 DIGIT_BITS = 12
@@ -21,7 +22,7 @@ def running_total(df: DataFrame, key: str, name: str, weight: str | None = None,
     Keys are read as 12-bit digits.  Rows are summed inside their lowest digit's
     bucket, and each bucket starts where the one before it ends; bucket starts come
     from totals, summed digit by digit.  Every window therefore sees at most 4096
-    siblings (times the rows that share one key).
+    siblings (times the rows that share one key).  Null keys come first, as one key; null groups are groups.
     """
     group = partition_by or []
     bucket = "_b1"
@@ -43,9 +44,9 @@ def running_total(df: DataFrame, key: str, name: str, weight: str | None = None,
         if starts is None:
             starts = local.select(*group, own, F.col("_local").alias("_start"))
         else:
-            starts = local.join(starts, siblings).select(*group, own, (F.col("_local") + F.col("_start")).alias("_start"))
+            starts = join_null_safe(local, starts, siblings).select(*group, own, (F.col("_local") + F.col("_start")).alias("_start"))
     inside = W.partitionBy(*group, bucket).orderBy(key, *(order_within or [])).rowsBetween(W.unboundedPreceding, 0)
-    summed = rows.withColumn("_in", F.sum(amount).over(inside)).join(starts, [*group, bucket])
+    summed = join_null_safe(rows.withColumn("_in", F.sum(amount).over(inside)), starts, [*group, bucket])
     return summed.withColumn(name, (F.col("_in") + F.col("_start")).cast("bigint")).drop(bucket, "_in", "_start")
 
 
@@ -62,7 +63,7 @@ def number_pairs(df: DataFrame, first: str, second: str, name: str) -> DataFrame
     inside = dense_number(df, second, "_inside", partition_by=[first], key_bits=2 * DIGIT_BITS)
     totals = df.groupBy(first).agg(F.count(F.lit(1)).alias("_n"))
     starts = running_total(totals, first, "_upto", "_n").select(first, (F.col("_upto") - F.col("_n")).alias("_before"))
-    return inside.join(starts, first).withColumn(name, (F.col("_inside") + F.col("_before")).cast("bigint")).drop("_inside", "_before")
+    return join_null_safe(inside, starts, [first]).withColumn(name, (F.col("_inside") + F.col("_before")).cast("bigint")).drop("_inside", "_before")
 
 
 def ranged_total(df: DataFrame, order: str, name: str, weight: str | None = None, partition_by: list[str] | None = None) -> DataFrame:
@@ -88,11 +89,11 @@ def exact_percentiles(df: DataFrame, col: str, by: list[str], shares: dict[str,
     """Continuous percentiles of a double column per group, for inputs of any size and any spread of values.
 
     Equal values are counted first; a running total of counts over value ranges gives each value its ranks, and a percentile is
-    read from the values at the two ranks around it.
+    read from the values at the two ranks around it.  Null values do not count; a null group is a group.
     """
     counts = durable(df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_c")), "counts")
     totals = counts.groupBy(*by).agg(F.sum("_c").alias("_total"))
-    ranked = ranged_total(counts, col, "_upto", "_c", by).join(totals, by)
+    ranked = join_null_safe(ranged_total(counts, col, "_upto", "_c", by), totals, by)
     aggregates = []
     for name, share in shares.items():
         target = (F.col("_total") - 1) * share
@@ -160,9 +161,10 @@ def cdf(counts: DataFrame, value: str) -> DataFrame:
 
 
 def cdf_rows(counts: DataFrame, value: str, key: str) -> DataFrame:
-    """i/n per row in value order; tied rows (ordered by ``key``) get different shares."""
+    """i/n per row in value order; tied rows (ordered by ``key``) get different shares, null values come first."""
     total = counts.count()
     per_value = counts.groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
     starts = ranged_total(per_value, value, "_upto", "_c").select(value, (F.col("_upto") - F.col("_c")).alias("_before"))
-    numbered = dense_number(counts, key, "_i", partition_by=[value]).join(starts, value)
+    numbered = dense_number(counts, key, "_i", partition_by=[value])
+    numbered = join_null_safe(numbered, starts, [value])
     return numbered.withColumn("cdf", (F.col("_before") + F.col("_i")) / total).drop("_i", "_before")

@@ -481,3 +481,24 @@ def test_one_entity_with_many_rows_is_summed_before_it_meets_others(spark):
     text = "SELECT COUNT(*), COUNT(DISTINCT v2.data_id), SUM(CAST(v.value AS DECIMAL(30, 15))) FROM eav.value_table v JOIN eav.value_table v2 ON v2.data_id = v.data_id WHERE v.property_id = 1 AND v2.property_id = 2"
     found = workload.evaluate_aggregate_texts(spark.createDataFrame([(1, text)], "sample_id bigint, sql string"), values)
     assert [r.value for r in found.orderBy("call").collect()] == [1500.0 * 1500, 1.0, 1500.0 * 1500 * 4]
+
+
+def test_numbering_keeps_null_keys_and_groups(spark):
+    rows = [(None, None, 1), (None, 5, 2), ("a", None, 3), ("a", 9000, 4), ("a", 2, 5), (None, None, 6), ("b", None, 7)]
+    frame = spark.createDataFrame(rows, "g string, k long, i long")
+    numbered = {r.i: r.n for r in numbering.dense_number(frame, "k", "n", order_within=["i"]).collect()}
+    assert numbered == {1: 1, 3: 2, 6: 3, 7: 4, 5: 5, 2: 6, 4: 7}
+    grouped = {r.i: r.n for r in numbering.dense_number(frame, "k", "n", order_within=["i"], partition_by=["g"]).collect()}
+    assert grouped == {1: 1, 6: 2, 2: 3, 3: 1, 5: 2, 4: 3, 7: 1}
+    shares = {r.i: r.cdf for r in numbering.cdf_rows(frame, "k", "i").collect()}
+    assert shares == pytest.approx({1: 1 / 7, 3: 2 / 7, 6: 3 / 7, 7: 4 / 7, 5: 5 / 7, 2: 6 / 7, 4: 1.0})
+    values = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0), ("a", None)], "g string, x double")
+    assert {r.g: r.p50 for r in numbering.exact_percentiles(values, "x", ["g"], {"p50": 0.5}).collect()} == {None: 2.0, "a": 5.0}
+    assert {r.g: (r.n, r.median_ms) for r in aggregates.runtime_summary(values, "x", ["g"]).collect()} == {None: (2, 2.0), "a": (1, 5.0)}
+
+
+def test_null_keys_find_the_same_terms_inline_and_by_seed(spark):
+    texts = spark.createDataFrame([(None, "red blue"), (1, "blue"), (None, "red blue"), (2, None)], "sample_id long, text string")
+    terms = spark.createDataFrame([("red",), ("blue",)], "term string")
+    found = lambda n: sorted((r.sample_id or 0, r.term) for r in matching.terms_in_text(texts, terms, "text", "sample_id", n).collect())
+    assert found(2000) == found(0) == [(0, "blue"), (0, "blue"), (0, "red"), (0, "red"), (1, "blue")]

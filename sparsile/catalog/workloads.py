@@ -338,6 +338,21 @@ def _(t):
     return times.filter(sound).select("category", "n").join(failed, "category", "left").select("category", "n", F.coalesce("failed", F.lit(0)).alias("failed"), "error")
 
 
+# the nation samples with a zero threshold and a duplicate text without a question, curated and answered again
+RERUN = """SELECT sample_id, regexp_replace(sql, '> 0(?![0-9.])', '> 0.0') AS sql, natural_language FROM nation_samples
+UNION ALL SELECT sample_id + 1000, regexp_replace(sql, '> 0(?![0-9.])', '> 0.0'), '' FROM nation_samples"""
+
+
+@register("v9_rerun_curated", """SELECT CAST(n_nationkey + 1 AS BIGINT) AS sample_id, COUNT(c_custkey) AS n_result, SUM(1000002 + 4 * c_custkey)::BIGINT AS ids FROM nation LEFT JOIN (SELECT * FROM customer WHERE c_acctbal >= 0) c ON c_nationkey = n_nationkey AND
+CASE n_nationkey % 5 WHEN 0 THEN c_acctbal > CASE WHEN n_nationkey = 0 THEN 0.1 ELSE 100 * n_nationkey END WHEN 1 THEN c_acctbal >= 100 * n_nationkey WHEN 2 THEN c_acctbal < 100 * n_nationkey
+WHEN 3 THEN c_acctbal <= 100 * n_nationkey ELSE c_acctbal BETWEEN 100 * n_nationkey AND 100 * n_nationkey + 5000 END GROUP BY n_nationkey""")
+def _(t):
+    t.nation_samples.createOrReplaceTempView("nation_samples")
+    curated, hits = workload.rerun_curated(t.spark.sql(RERUN), t.eav_value, t.eav_entity)
+    found = hits.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.sum("data_id").alias("ids"))
+    return curated.select("sample_id").join(found, "sample_id", "left").select("sample_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_result"), "ids")
+
+
 # the aggregate questions of the samples
 @register("a1_workload", f"""SELECT sample_id, call, fn, round(value, 4) AS value, text FROM (
 SELECT sample_id, 0 AS call, 'avg' AS fn, (SELECT CAST(avg(TRY_CAST(value AS DECIMAL(30,15))) AS DOUBLE) FROM eav_value WHERE property_id = 5 AND TRY_CAST(value AS DECIMAL(30,15)) < CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS DECIMAL(30,15))) AS value, CAST(NULL AS VARCHAR) AS text

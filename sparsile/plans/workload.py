@@ -112,12 +112,19 @@ def best_of_group(scored: DataFrame, version: int = 1) -> DataFrame:
 
 
 def curate_samples(samples: DataFrame, version: int = 2, threshold: str = "0.1") -> DataFrame:
-    """Drop weaker duplicates, renumber, lift zero thresholds.  Re-run the result
-    with ``extract_conditions`` and ``evaluate_predicates``."""
+    """Drop weaker duplicates, renumber, lift zero thresholds; :func:`rerun_curated` answers the texts again."""
     kept = reindex(best_of_group(match_score(samples, version), version).drop("score"))
     return kept.withColumn("sql", sqltext.rewrite_zero_threshold(F.col("sql"), threshold))
 
 
+def rerun_curated(samples: DataFrame, values: DataFrame, entities: DataFrame, version: int = 2, threshold: str = "0.1", mode: str = "strict") -> tuple[DataFrame, DataFrame]:
+    """Curated samples, and the (sample_id, data_id) that their lifted texts find: ids of all id queries in one job, under the new numbers.
+    Curated texts are written once, so that both results carry the same numbers."""
+    curated = durable(curate_samples(samples, version, threshold), "curated")
+    asked = curated.filter(~sqltext.is_aggregation(F.col("sql")))
+    return curated, evaluate_predicates(values, extract_conditions(asked), entities, mode)
+
+
 def evaluate_aggregate_texts(samples: DataFrame, values: DataFrame, mode: str = "strict", entities: DataFrame | None = None) -> DataFrame:
     """(sample_id, call, fn, value, text) of every aggregate call of the samples' query texts, in one job.  Texts that cannot be
     answered in full give no rows; :func:`unread_aggregates` names them."""

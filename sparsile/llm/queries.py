@@ -67,20 +67,31 @@ def op5_rendezvous(spark: SparkSession, folder: str) -> DataFrame:
 
 
 MIX_SQL = r"""
-WITH d AS (
+WITH e AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         (CAST('0x' || substr(md5(concat_ws('|', CAST(doc_id AS VARCHAR), md5(text))), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+         md5(concat_ws('|', CAST(doc_id AS VARCHAR), md5(text), source)) AS digest
   FROM documents),
+d AS (
+  SELECT doc_id, source, size,
+         (CAST('0x' || substr(md5(digest || '#' || CAST(row_number() OVER (PARTITION BY digest) AS VARCHAR)), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+  FROM e),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, 3 * source_size AS cap FROM s),
 l AS (SELECT *, CAST((SELECT sum(source_size) FROM w) - coalesce(sum(cap) OVER f, 0) AS DOUBLE) / CAST((SELECT sum(w) FROM w) - coalesce(sum(w) OVER f, 0) AS DOUBLE) AS level
       FROM w WINDOW f AS (ORDER BY CAST(cap AS DOUBLE) / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), (SELECT max(level) FROM l) * w) AS target FROM l),
-p AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS share, floor(share) AS copies, share - copies AS p, target - copies * source_size AS owed FROM t),
-r AS (SELECT d.doc_id, d.size, p.source_size, p.target, p.copies, p.p, p.owed,
-             sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u) - sum(d.size) OVER (PARTITION BY d.source, d.u) / 2 AS upto
-      FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
-SELECT doc_id, size, source_size, target, CAST(size * (copies + CASE WHEN p > 0 AND upto <= owed THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
+p AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS share, floor(share) AS copies, target - copies * source_size AS owed FROM t),
+h AS (SELECT source, size, CAST(count(*) AS HUGEINT) * size AS words, CAST(count(*) AS HUGEINT) * size * size AS squares FROM d WHERE size > 0 GROUP BY source, size),
+c AS (SELECT h.source, h.size, (owed - CAST(coalesce(sum(words) OVER (PARTITION BY h.source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE))
+             / CAST(sum(squares) OVER (PARTITION BY h.source ORDER BY size) AS DOUBLE) AS factor
+      FROM h JOIN p ON h.source IS NOT DISTINCT FROM p.source WHERE owed > 0),
+f AS (SELECT source, max_by(factor, size) AS factor FROM c WHERE factor * size < 1 GROUP BY source),
+o AS (SELECT p.source, source_size, target, copies, owed, CASE WHEN owed > 0 THEN coalesce(f.factor, 1.0) END AS factor FROM p LEFT JOIN f ON p.source IS NOT DISTINCT FROM f.source),
+k AS (SELECT d.doc_id, d.source, d.size, o.source_size, o.target, o.copies, o.owed,
+             CASE WHEN factor * size >= 1 THEN 0 WHEN factor * size > 0 THEN (u / (1 - u)) / (factor * size / (1 - factor * size)) END AS rank
+      FROM d JOIN o ON d.source IS NOT DISTINCT FROM o.source),
+r AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank NULLS LAST) - sum(size) OVER (PARTITION BY source, rank) / 2 AS upto FROM k)
+SELECT doc_id, size, source_size, target, CAST(size * (copies + CASE WHEN rank IS NOT NULL AND upto <= owed THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
 """
 
 

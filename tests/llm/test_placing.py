@@ -73,3 +73,40 @@ def test_documents_of_the_mix(docs):
     copies = Counter(r.doc_id for r in pareto_mix.mixed_documents(docs).collect())
     assert copies == Counter({k: n for k, n in taken.items() if n})
     assert not any("Python" in line or "Arrow" in line or "Pandas" in line for line in pareto_mix.mixed_documents(docs)._jdf.queryExecution().toString().split("\n"))
+
+
+def test_inclusion_follows_size(spark):
+    # one source in three gets more than its size, one less: chances are proportional to size, certain ones whole
+    docs = spark.range(24_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"), F.expr("concat(repeat('w ', shiftleft(4, CAST(id % 5 AS INT))), id)").alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(30_000 + i, f"s{i % 3}", "w " * 30_000) for i in range(3)], docs.schema))
+    rows = pareto_mix.mix(docs).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.target, r.source_size].append(r)
+    for (target, total), members in by.items():
+        copies = int(target / total)
+        owed = target - copies * total
+        if owed <= 0:
+            assert all(r.taken == copies * r.size for r in members)
+            continue
+        others = [r.size for r in members]  # certain ones go until all are below 1
+        while others and (factor := (owed - sum(r.size for r in members) + sum(others)) / sum(x * x for x in others)) * max(others) >= 1:
+            others = [x for x in others if x < max(others)]
+        groups = defaultdict(list)
+        for r in members:
+            groups[r.size].append(r.taken // r.size - copies)
+        for size, extra in groups.items():
+            p = min(1, factor * size)
+            assert abs(sum(extra) / len(extra) - p) <= 5 * math.sqrt(p * (1 - p) / len(extra)) + 0.002
+        assert abs(sum(r.taken for r in members) - target) <= max(others)
+
+
+def test_repeated_rows_are_drawn_one_by_one(spark):
+    repeats = [(7, "a", "word " * 60)] * 30 + [(None, "a", "null key " * 30)] * 25
+    docs = spark.createDataFrame(repeats + [(100 + i, "a", f"x{i} " * 9) for i in range(10)] + [(200 + i, "b", f"y{i} " * 60) for i in range(40)], "doc_id long, source string, text string").repartition(7)
+    rows = pareto_mix.mix(docs).collect()
+    for target in {r.target for r in rows}:
+        assert abs(sum(r.taken for r in rows if r.target == target) - target) <= 60
+    taken = Counter((r.doc_id, r.size) for r in rows for _ in range(r.taken // max(r.size, 1)))
+    assert taken == Counter((r.doc_id, len(r.text.split())) for r in pareto_mix.mixed_documents(docs).collect())
+    assert taken == Counter((r.doc_id, r.size) for r in pareto_mix.mix(docs.repartition(3)).collect() for _ in range(r.taken // max(r.size, 1)))

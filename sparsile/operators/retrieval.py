@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sparsile.functions.numeric import any_part, compare, condition_holds, non_empty, to_decimal
 from sparsile.functions.sqltext import ENTITY_ID, TITLE
+from sparsile.operators import stabbing
 from sparsile.session import durable
 from sparsile.sizing import BROADCAST_ROWS, join_control, local_copy
 
@@ -137,21 +138,25 @@ def with_entity_rows(values: DataFrame, groups: DataFrame, entities: DataFrame |
 
 
 def evaluate_predicates(values: DataFrame, predicates: DataFrame, entities: DataFrame | None = None,
-                        mode: str = "strict", bare_mode: str = "mysql", max_predicates: int = BROADCAST_ROWS) -> DataFrame:
+                        mode: str = "strict", bare_mode: str = "mysql", max_predicates: int = BROADCAST_ROWS, plain: int = stabbing.PLAIN) -> DataFrame:
     """All queries of a workload in one job: distinct (sample_id, data_id).
 
-    Value rows meet the predicates of their property, failing pairs are dropped
-    before anything moves, and the only wide shuffle is by (sample, clause,
+    Value rows meet the predicates of their property (where it has more than ``plain`` bounded ones: those
+    whose interval the value stabs), failing pairs are dropped before anything moves, and the only wide shuffle is by (sample, clause,
     entity), whose groups hold a few words of bits.  A clause may have any number of aliases; one
     that must not exist (``anti``) rules an entity out as soon as a value passes its tests.
     """
     groups = predicate_groups(predicates)
     small = local_copy(groups, max_predicates)
     groups = durable(groups, "predicates") if small is None else small
-    n_words = 1 + (groups.agg(F.max("_word")).first()[0] or 0)
+    last_word, n_groups = groups.agg(F.max("_word"), F.count(F.lit(1))).first()
+    n_words = 1 + (last_word or 0)
     # numeric views are read inside the test, so text that only meets text tests is never parsed
     value = F.col("value")
-    met = join_control(with_entity_rows(values, groups, entities), groups, "property_id", spread="data_id", max_rows=max_predicates).filter(F.forall(
+    rows = with_entity_rows(values, groups, entities)
+    trees = stabbing.plant(groups, plain) if n_groups > plain else []
+    paired = stabbing.candidates(rows, groups, trees, mode, bare_mode, max_predicates) if trees else join_control(rows, groups, "property_id", spread="data_id", max_rows=max_predicates)
+    met = paired.filter(F.forall(
         "conditions", lambda c: condition_holds(value, c["kind"], c["op"], c["lo"], c["hi"], c["text"], mode, bare_mode)))
     words = [F.bit_or(F.when((F.col("_word") == w) & ~F.col("_anti"), F.col("_bit")).otherwise(F.lit(0).cast("bigint"))).alias(f"_m{w}") for w in range(n_words)]
     held = reduce(lambda a, b: a + b, [F.bit_count(f"_m{w}") for w in range(n_words)])

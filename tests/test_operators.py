@@ -3,6 +3,7 @@
 import json
 import os
 import random
+from decimal import Decimal
 
 import pytest
 from hypothesis import given, settings
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sparsile.catalog.tables import EDGE_TEXTS
 from sparsile.functions import bitmaps, ids, numeric, phrases, sqltext
-from sparsile.operators import aggregate_queries, aggregates, leaves, matching, numbering, retrieval, scoring, shaping
+from sparsile.operators import aggregate_queries, aggregates, leaves, matching, numbering, retrieval, scoring, shaping, stabbing
 from sparsile.operators.retrieval import Condition
 from sparsile.plans import ingest, validation, workload
 from sparsile.session import fresh_path
@@ -502,3 +503,49 @@ def test_null_keys_find_the_same_terms_inline_and_by_seed(spark):
     terms = spark.createDataFrame([("red",), ("blue",)], "term string")
     found = lambda n: sorted((r.sample_id or 0, r.term) for r in matching.terms_in_text(texts, terms, "text", "sample_id", n).collect())
     assert found(2000) == found(0) == [(0, "blue"), (0, "blue"), (0, "red"), (0, "red"), (1, "blue")]
+
+
+def _interval_predicates(n):
+    """Tests of all numeric kinds on one property, several on some aliases, and a few on another."""
+    rows = []
+    for i in range(n):
+        lo, hi = Decimal(i * 7 % n), Decimal(i * 7 % n + i % 5)
+        kind, op = [("between", None), ("num", ">"), ("num", "<="), ("bare", ">="), ("bare_between", None), ("num", "="), ("num", "!="), ("bare", "<"), ("str", "=")][i % 9]
+        rows.append((i, 0, "v", 5, kind, op, lo, hi, str(lo)))
+        if i % 4 == 0:
+            rows.append((i, 0, "v", 5, "num", "<", hi + 3, None, None))
+        if i % 6 == 0:
+            rows.append((i, 0, "w", 6, "num", ">", Decimal(i % 3), None, None))
+    return rows
+
+
+PREDICATES = "sample_id bigint, clause int, alias string, property_id int, kind string, op string, lo decimal(30,15), hi decimal(30,15), text string"
+
+
+def test_stabbing_index_answers_like_plain_tests(spark, monkeypatch):
+    values = [(d, 5, t) for d, t in enumerate([None, "", "abc", "-3", "0", "1", "1.5", "2", "17", "17.000", " 40", "40x", "99", "150", "1e2", "299.5", "1000", "9" * 40])] + [(d, 6, str(d)) for d in range(18)]
+    rows = spark.createDataFrame(values, "data_id long, property_id int, value string")
+    asked = spark.createDataFrame(_interval_predicates(300), PREDICATES)
+    pairs = lambda **k: sorted((r.sample_id, r.data_id) for r in retrieval.evaluate_predicates(rows, asked, **k).collect())
+    expected = pairs(plain=10**6)
+    assert len(expected) > 500
+    assert pairs() == expected and pairs(max_predicates=0) == expected
+    monkeypatch.setattr(stabbing, "TREE_ENDS", 7)  # several ends in a cell
+    assert pairs() == expected
+
+
+def test_candidates_grow_with_hits(spark):
+    n = 10_000
+    rows = spark.range(2_000).select(F.col("id").alias("data_id"), F.lit(5).alias("property_id"), (F.col("id") * 5 + 0.25).cast("string").alias("value"))
+    for width in (0.5, 20):
+        asked = spark.range(n).select(F.col("id").alias("sample_id"), F.lit(0).alias("clause"), F.lit("v").alias("alias"), F.lit(5).alias("property_id"), F.lit("between").alias("kind"), F.lit(None).cast("string").alias("op"),
+                                      F.col("id").cast("decimal(30,15)").alias("lo"), (F.col("id") + width).cast("decimal(30,15)").alias("hi"), F.lit(None).cast("string").alias("text"))
+        groups = retrieval.predicate_groups(asked)
+        trees = stabbing.plant(groups)
+        assert len(trees) == 1 and len(trees[0].ends) <= stabbing.TREE_ENDS
+        met = stabbing.candidates(rows, groups, trees)
+        hits = retrieval.evaluate_predicates(rows, asked).count()
+        assert hits == sum(1 for d in range(2_000) for i in range(max(0, d * 5 - 21), min(n, d * 5 + 1)) if i <= d * 5 + 0.25 <= i + width)
+        # beyond the hits a value meets the intervals that begin or end in its cell: 20,000 ends in 4,096 cells
+        assert hits <= met.count() <= hits + 2_000 * 10
+        assert met.select("sample_id", "data_id").distinct().count() == met.count()

@@ -14,10 +14,12 @@ from sparsile.functions.numeric import any_part, compare, condition_holds, non_e
 from sparsile.functions.sqltext import ENTITY_ID, TITLE
 from sparsile.operators import stabbing
 from sparsile.session import durable
-from sparsile.sizing import BROADCAST_ROWS, join_control, local_copy
+from sparsile.sizing import BROADCAST_ROWS, join_control, local_copy, spread
 
 # Conditions are noted as bits of 64-bit words; this many fit into one.
 WORD_BITS = 62
+# Up to this many tested properties are named in a filter of the value rows.
+LISTED = 1_000
 
 
 @dataclass(frozen=True)
@@ -137,13 +139,19 @@ def with_entity_rows(values: DataFrame, groups: DataFrame, entities: DataFrame |
     return rows
 
 
+def tested_rows(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows whose property is tested; all rows where more than ``LISTED`` properties are."""
+    listed = [r[0] for r in groups.select("property_id").distinct().limit(LISTED + 1).collect()]
+    return rows.filter(F.col("property_id").isin(listed)) if len(listed) <= LISTED else rows
+
+
 def evaluate_predicates(values: DataFrame, predicates: DataFrame, entities: DataFrame | None = None,
                         mode: str = "strict", bare_mode: str = "mysql", max_predicates: int = BROADCAST_ROWS, plain: int = stabbing.PLAIN) -> DataFrame:
     """All queries of a workload in one job: distinct (sample_id, data_id).
 
     Value rows meet the predicates of their property (where it has more than ``plain`` bounded ones: those
-    whose interval the value stabs), failing pairs are dropped before anything moves, and the only wide shuffle is by (sample, clause,
-    entity), whose groups hold a few words of bits.  A clause may have any number of aliases; one
+    whose interval the value stabs), failing pairs are dropped at once, and the only wide shuffle is by entity: with few predicates the tested
+    rows move before they are paired, otherwise passing pairs do; their groups hold a few words of bits.  A clause may have any number of aliases; one
     that must not exist (``anti``) rules an entity out as soon as a value passes its tests.
     """
     groups = predicate_groups(predicates)
@@ -154,6 +162,8 @@ def evaluate_predicates(values: DataFrame, predicates: DataFrame, entities: Data
     # numeric views are read inside the test, so text that only meets text tests is never parsed
     value = F.col("value")
     rows = with_entity_rows(values, groups, entities)
+    if small is not None:  # pairs are many more than rows: an entity's rows meet in one task before they are paired, and its pairs stay there
+        rows = spread(tested_rows(rows, groups), "data_id")
     trees = stabbing.plant(groups, plain) if n_groups > plain else []
     paired = stabbing.candidates(rows, groups, trees, mode, bare_mode, max_predicates) if trees else join_control(rows, groups, "property_id", spread="data_id", max_rows=max_predicates)
     met = paired.filter(F.forall(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A control table (predicates, terms) may be broadcast up to this many rows.
@@ -20,6 +20,17 @@ def local_copy(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = B
     return df.sparkSession.createDataFrame(table, schema=df.schema)
 
 
+def tasks(spark: SparkSession) -> int:
+    """Tasks of a stage whose rows must be spread: the shuffle partitions, four a core at least."""
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all tasks, by their keys if given, however few files they come from: what a task then does and keeps
+    is a small part of the whole."""
+    return df.repartition(tasks(df.sparkSession), *keys)
+
+
 def join_control(facts: DataFrame, control: DataFrame, key: str, spread: str,
                  max_rows: int = BROADCAST_ROWS, salts: int = 64) -> DataFrame:
     """Inner join of a fact table with a control table on a possibly hot key.

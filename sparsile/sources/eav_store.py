@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparsile.sizing import tasks
+
 ENTITY, PROPERTY, VALUE = "entity_table", "property_table", "value_table"
 
 
@@ -25,10 +27,10 @@ def read_eav(spark: SparkSession, path: str | None = None, jdbc: dict | None = N
 def overwrite_eav(values: DataFrame, path: str) -> None:
     """Replace the value table, one folder per property.
 
-    The rebalance hint lets AQE cut a hot property into several files and merge
-    rare ones; sorting by id inside a file keeps its min/max ranges narrow.
+    Ranges of (property, id) of equal size cut a hot property into several files, however few tasks
+    its rows come from, and keep rare ones together; a file's min/max ranges of ids are narrow.
     """
-    (values.hint("rebalance", "property_id").sortWithinPartitions("property_id", "data_id")
+    (values.repartitionByRange(tasks(values.sparkSession), "property_id", "data_id").sortWithinPartitions("property_id", "data_id")
      .write.mode("overwrite").partitionBy("property_id").parquet(path))
 
 

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from sparsile.functions import sqltext
 from sparsile.functions.numeric import condition_holds, to_decimal
-from sparsile.operators.retrieval import WORD_BITS, with_entity_rows
+from sparsile.operators.numbering import ranged_total
+from sparsile.operators.retrieval import WORD_BITS, tested_rows, with_entity_rows
 from sparsile.session import durable
-from sparsile.sizing import BROADCAST_ROWS, join_control
+from sparsile.sizing import BROADCAST_ROWS, join_control, local_copy, spread
 
 _PLAIN = "NOT rlike({}, '[#@]')"
 
@@ -95,8 +96,6 @@ def evaluate_aggregates(values: DataFrame, calls: DataFrame, predicates: DataFra
     tested = with_entity_rows(values, asked, entities).join(asked.select("property_id").distinct(), "property_id", "left_semi")
     if entities is not None:
         tested = tested.join(entities.select("data_id"), "data_id", "left_semi")
-    met = join_control(tested, parts, "property_id", spread="data_id", max_rows=max_predicates).withColumn("mask", mask).filter("mask != 0")
-    numbers = met.withColumn("_x", F.when(F.col("_number"), to_decimal(value, mode))).withColumn("_y", F.when(F.col("_bare"), to_decimal(value, bare_mode)))
     sums = [F.count(F.lit(1)).alias("n"), F.count("value").alias("c"), F.sum("_x").alias("sx"), F.count("_x").alias("cx"), F.max("_x").alias("hx"), F.min("_x").alias("lx"),
             F.sum("_y").alias("sy"), F.count("_y").alias("cy"), F.max("value").alias("ht"), F.min("value").alias("lt")]
     # DISTINCT needs entities and values; every other call of a query over one alias is a sum over its rows
@@ -104,8 +103,15 @@ def evaluate_aggregates(values: DataFrame, calls: DataFrame, predicates: DataFra
     solo = parts.filter("_solo").select("sample_id").distinct()
     direct, joined = calls.filter(apart).join(solo, "sample_id", "left_semi"), calls.join(solo.join(calls.filter(apart), "sample_id").select("sample_id", "call"), ["sample_id", "call"], "left_anti")
     direct, joined = durable(direct, "direct"), durable(joined, "joined")
-    found = _direct(numbers.filter("_solo AND data_id IS NOT NULL"), sums, direct)
+    numbered = tested.filter("data_id IS NOT NULL").withColumn("_x", to_decimal(value, mode)).withColumn("_y", to_decimal(value, bare_mode))
+    found = _direct(_totals(numbered, sums, parts.join(direct.select("sample_id"), "sample_id", "left_semi"), passes, max_predicates, mode), direct)
     if not joined.isEmpty():
+        parts = parts.join(joined.select("sample_id"), "sample_id", "left_semi")
+        small = local_copy(parts, max_predicates)
+        if small is not None:  # pairs are many more than rows: an entity's rows meet before they are paired, and its pairs stay there
+            parts, tested = small, spread(tested_rows(tested, small), "data_id")
+        met = join_control(tested, parts, "property_id", spread="data_id", max_rows=max_predicates).withColumn("mask", mask).filter("mask != 0")
+        numbers = met.withColumn("_x", F.when(F.col("_number"), to_decimal(value, mode))).withColumn("_y", F.when(F.col("_bare"), to_decimal(value, bare_mode)))
         found = found.unionByName(_joined(numbers, met, sums, joined, info, max_predicates, mode, bare_mode), allowMissingColumns=True)
     textual = ~F.col("as_number") & (F.col("of") == "value") & F.col("fn").isin("max", "min")
     numeric = (F.when(F.col("fn") == "count", F.coalesce(F.col("_count").cast("double"), F.lit(0.0))).when(textual, None).when(F.col("fn") == "avg", F.try_divide("_sum", F.col("_of")).cast("double"))
@@ -113,10 +119,73 @@ def evaluate_aggregates(values: DataFrame, calls: DataFrame, predicates: DataFra
     return calls.join(found, ["sample_id", "call"], "left").select("sample_id", "call", "fn", numeric.alias("value"), F.when(textual, F.when(F.col("fn") == "max", F.col("_max_text")).otherwise(F.col("_min_text"))).alias("text"))
 
 
-def _direct(numbers: DataFrame, sums: list, calls: DataFrame) -> DataFrame:
-    """Calls of queries over one alias: one partial sum per task and sample, whatever the number of hits."""
-    key = F.col("data_id").cast("decimal(38,15)")
-    totals = numbers.groupBy("sample_id").agg(*sums, F.sum(key).alias("si"), F.max(key).alias("hi"), F.min(key).alias("li"))
+# how sums of parts become sums of the whole
+_MERGED = {"n": F.sum, "c": F.sum, "sx": F.sum, "cx": F.sum, "hx": F.max, "lx": F.min, "sy": F.sum, "cy": F.sum, "ht": F.max, "lt": F.min, "si": F.sum, "hi": F.max, "li": F.min}
+
+
+def _merge() -> list:
+    return [f(name).alias(name) for name, f in _MERGED.items()]
+
+
+def _totals(rows: DataFrame, sums: list, parts: DataFrame, passes, max_predicates: int, mode: str) -> DataFrame:
+    """Sums of the rows that pass some clause of each sample's only alias.
+
+    Equal tests of one property are answered once, whatever the number of samples.  Tests that leave an interval of numbers
+    open never meet single rows: see :func:`_interval_sums`.  Others meet each row of their property."""
+    id_key = F.col("data_id").cast("decimal(38,15)")
+    sums = [*sums, F.sum(id_key).alias("si"), F.max(id_key).alias("hi"), F.min(id_key).alias("li")]
+    tests = F.sort_array(F.transform("clauses", lambda c: F.sort_array(c["tests"])))
+    named = parts.select("sample_id", "property_id", tests.alias("tests")).withColumn("_key", F.to_json(F.struct("property_id", "tests")))
+    named = durable(named, "named")
+    bounded = _bounds(named.groupBy("_key").agg(F.first("property_id").alias("property_id"), F.first("tests").alias("tests")), mode)
+    bounded = durable(bounded, "bounded")
+    others = bounded.filter("NOT _interval").select("_key", "property_id", "tests")
+    met = join_control(rows, others, "property_id", spread="data_id", max_rows=max_predicates).filter(F.exists("tests", lambda clause: F.forall(clause, passes)))
+    found = met.groupBy("_key").agg(*sums)
+    intervals = bounded.filter("_interval").select("_key", "property_id", "_low", "_high")
+    if not intervals.isEmpty():
+        found = found.unionByName(_interval_sums(rows.filter("_x IS NOT NULL"), sums, intervals))
+    return named.join(found, "_key").groupBy("sample_id").agg(*_merge())
+
+
+def _bounds(tests: DataFrame, mode: str) -> DataFrame:
+    """``tests`` with ``_interval``: one clause that a number passes exactly when it lies above ``_low`` (at, open) and below
+    ``_high`` (at, closed); null where unbounded.  Tests that any number passes in this view may stand beside."""
+    passed = "'any', 'not_null'" + ("" if mode == "mysql" else ", 'non_empty'")
+    number = "(c.kind = 'between' AND c.lo IS NOT NULL AND c.hi IS NOT NULL OR c.kind = 'num' AND c.lo IS NOT NULL AND c.op IN ('>', '>=', '<', '<=', '='))"
+    interval = f"size(tests) = 1 AND forall(tests[0], c -> c.kind IN ({passed}) OR coalesce({number}, false)) AND exists(tests[0], c -> c.kind IN ('num', 'between'))"
+    low = "array_max(transform(filter(tests[0], c -> c.kind = 'between' OR c.kind = 'num' AND c.op IN ('>', '>=', '=')), c -> named_struct('at', c.lo, 'open', c.kind = 'num' AND c.op = '>')))"
+    high = "array_min(transform(filter(tests[0], c -> c.kind = 'between' OR c.kind = 'num' AND c.op IN ('<', '<=', '=')), c -> named_struct('at', IF(c.kind = 'between', c.hi, c.lo), 'closed', c.kind = 'between' OR c.op <> '<')))"
+    return tests.withColumn("_interval", F.expr(f"coalesce({interval}, false)")).withColumn("_low", F.expr(f"CASE WHEN _interval THEN {low} END")).withColumn("_high", F.expr(f"CASE WHEN _interval THEN {high} END"))
+
+
+def _interval_sums(rows: DataFrame, sums: list, intervals: DataFrame) -> DataFrame:
+    """Sums of the rows whose number ``_x`` lies in each interval of its property, exactly, without pairs of rows and intervals.
+
+    The ends of the intervals cut a property's numbers into cells: the i-th end is cell 2i - 1, what lies between it and the next is
+    cell 2i.  Rows are summed by cell, cells by the nodes of a binary tree, and an interval is the sum of the few nodes that tile it."""
+    at = ["property_id", "_x"]
+    per_number = rows.groupBy(*at).agg(*sums)
+    ends = intervals.select("property_id", F.explode(F.array("_low.at", "_high.at")).alias("_x")).filter("_x IS NOT NULL").distinct().withColumn("_e", F.lit(1).cast("bigint"))
+    tested = per_number.join(intervals.select("property_id").distinct(), "property_id", "left_semi")
+    both = tested.join(ends, at, "full_outer").withColumn("_e", F.coalesce("_e", F.lit(0).cast("bigint")))
+    placed = durable(ranged_total(both, "_x", "_upto", "_e", ["property_id"]), "placed")
+    levels = int(2 * placed.agg(F.max("_upto")).first()[0] + 1).bit_length()
+    cells = placed.filter("n IS NOT NULL").groupBy("property_id", (2 * F.col("_upto") - F.col("_e")).alias("_cell")).agg(*_merge())
+    above = cells.withColumn("_h", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    nodes = above.groupBy("property_id", "_h", F.expr("shiftright(_cell, _h)").alias("_p")).agg(*_merge())
+    numbers = lambda name: placed.filter("_e = 1").select("property_id", F.col("_x").alias(f"_{name}_at"), F.col("_upto").alias(f"_{name}_n"))
+    known = intervals.select("_key", "property_id", F.col("_low.at").alias("_low_at"), F.col("_low.open").alias("_open"), F.col("_high.at").alias("_high_at"), F.col("_high.closed").alias("_closed"))
+    known = known.join(numbers("low"), ["property_id", "_low_at"], "left").join(numbers("high"), ["property_id", "_high_at"], "left")
+    ranges = known.select("_key", "property_id", F.expr("coalesce(2 * _low_n - IF(_open, 0, 1), 0L)").alias("_from"), F.expr(f"coalesce(2 * _high_n - IF(_closed, 1, 2), {(1 << levels) - 1}L)").alias("_to"))
+    low, high = "shiftright(_from + shiftleft(1L, h) - 1, h)", "shiftright(_to + 1, h)"
+    tile = lambda on, place: f"CASE WHEN {low} < {high} AND {on} % 2 = 1 THEN array(named_struct('_h', h, '_p', {place})) ELSE array() END"
+    tiles = ranges.filter("_from <= _to").select("_key", "property_id", F.expr(f"explode(flatten(transform(sequence(0, {levels}), h -> concat({tile(low, low)}, {tile(high, high + ' - 1')}))))").alias("_tile"))
+    return tiles.select("_key", "property_id", "_tile.*").join(nodes, ["property_id", "_h", "_p"]).groupBy("_key").agg(*_merge())
+
+
+def _direct(totals: DataFrame, calls: DataFrame) -> DataFrame:
+    """Calls of queries over one alias, from the sums of its rows."""
     of_id, number = F.col("of") == "entity", F.col("as_number")
     pick = lambda i, x, y: F.when(of_id, F.col(i)).when(number, F.col(x)).otherwise(F.col(y))
     return calls.join(totals, "sample_id").select("sample_id", "call", F.when(F.col("of") == "value", F.col("c")).otherwise(F.col("n")).alias("_count"), pick("si", "sx", "sy").alias("_sum"),

@@ -1,5 +1,7 @@
 """Work and memory of single tasks, however few files the rows come from."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from sparsile.operators import retrieval
@@ -34,3 +36,57 @@ def test_store_cuts_a_property_that_comes_from_one_task(spark):
     back = spark.read.parquet(path)
     per_file = back.filter("property_id = 1").groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
     assert per_file < 39000 / 8 and back.count() == 40000
+
+
+def test_intervals_of_many_queries_meet_no_single_rows(spark, monkeypatch):
+    """Sums of each interval against a plain loop; what stays to be paired are tests that open no interval."""
+    from decimal import Decimal
+
+    from sparsile.operators import aggregate_queries as Q
+
+    paired, join = [], Q.join_control
+    monkeypatch.setattr(Q, "join_control", lambda facts, control, *a, **k: paired.append(control) or join(facts, control, *a, **k))
+    texts = [None, "", "x", "5", "5.0", "7", "-1", "12", "12", "3.5", "9", "0"]
+    rows = [(i, 1, x) for i, x in enumerate(texts)] + [(50, 1, "8"), (50, 2, "4"), (None, 1, "6")]
+    values = spark.createDataFrame(rows, "data_id bigint, property_id int, value string")
+    tests = [(op, Decimal(b)) for op in (">", ">=", "<", "<=", "=", "!=") for b in ("-2", "-1", "3.5", "5", "8.5", "12", "13")]
+    predicates = spark.createDataFrame([num(s, "v", 1, op, lo) for s, (op, lo) in enumerate(tests)] + [num(90, "v", 1, ">", 3), num(90, "v", 1, "<=", 9), num(91, "v", 1, "<", 0), num(91, "v", 1, ">=", 12, 1)], PREDICATE)
+    calls = spark.createDataFrame([(s, c, fn, "v", True, False, "value") for s in [*range(len(tests)), 90, 91] for c, fn in enumerate(("count", "sum", "max", "min"))],
+                                  "sample_id bigint, call int, fn string, alias string, as_number boolean, distinct boolean, of string")
+    found = {}
+    for r in Q.evaluate_aggregates(values, calls, predicates).collect():
+        found[r["sample_id"], r["fn"]] = r["value"]
+    holds = {">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, "=": lambda a, b: a == b, "!=": lambda a, b: a != b}
+    numbers = [Decimal(x) for i, p, x in rows if p == 1 and i is not None and x not in (None, "", "x")]
+    wanted = {s: [x for x in numbers if holds[op](x, lo)] for s, (op, lo) in enumerate(tests)} | {90: [x for x in numbers if 3 < x <= 9], 91: [x for x in numbers if x < 0 or x >= 12]}
+    for s, xs in wanted.items():
+        assert [found[s, f] for f in ("count", "sum", "max", "min")] == [float(len(xs)), *([float(f(xs)) for f in (sum, max, min)] if xs else [None] * 3)], s
+    assert [c.count() for c in paired] == [7 + 1]  # the tests with != and the one with two clauses
+
+
+def test_scores_read_each_text_once_and_over_all_tasks(spark):
+    from sparsile.plans import workload
+
+    samples = spark.createDataFrame([(1, "SELECT 1 WHERE CAST(v.value AS DECIMAL(30, 15)) > 5", "大于5"), (2, None, None), (3, "", "")], "sample_id bigint, sql string, natural_language string").coalesce(1)
+    scored = workload.match_score(samples)
+    plan = plan_of(scored)
+    assert plan.count("$1.#filled") == 1 and "RoundRobin" in plan
+    assert {r["sample_id"]: r["score"] for r in scored.collect()}[1] == 8
+    assert "regexp_extract_all" not in plan_of(workload.curate_samples(samples))
+
+
+def test_call_over_joined_aliases_moves_rows_before_pairs(spark, tables):
+    from sparsile.catalog.workloads import CALL_FORMS
+    from sparsile.plans import workload
+
+    plan = plan_of(workload.evaluate_aggregate_texts(tables.sql(CALL_FORMS), tables.eav_value, entities=tables.eav_entity))
+    assert not re.search(r"hashpartitioning\(sample_id#\d+L, data_id#\d+L, alias#\d+, anti#", plan)
+
+
+def test_seeds_hold_newlines_and_characters_beyond_the_plane(spark):
+    from sparsile.operators import matching
+
+    texts = spark.createDataFrame([(1, "a\nbcd \U0001F600x"), (2, ""), (3, None), (4, "ab")], "k bigint, text string").coalesce(1)
+    terms = spark.createDataFrame([("\U0001F600x",), ("a\nbcd",), ("ab",), ("x",)], "term string")
+    found = {tuple(r) for r in matching.terms_in_text(texts, terms, max_inline=0).select("k", "term").collect()}
+    assert found == {(1, "\U0001F600x"), (1, "a\nbcd"), (1, "x"), (4, "ab")}

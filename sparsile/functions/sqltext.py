@@ -38,6 +38,11 @@ CONDITION_TYPE = ("array<struct<alias:string,kind:string,op:string,"
                   "lo:decimal(30,15),hi:decimal(30,15),text:string>>")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize_space(sql: Column) -> Column:
     return F.trim(F.regexp_replace(sql, r"\s+", " "))
 
@@ -200,8 +205,8 @@ def alias_conditions(sql: Column) -> Column:
     # a cast column becomes ``alias.#num``, so that bare patterns cannot match it
     text = F.regexp_replace(sql, CAST_VALUE, "$1.#num")
     # an equality with an empty literal is the cleaning predicate, not a text test
-    cleaned = F.regexp_replace(text, r"(\w+)\.value\s*(?:!=|<>)\s*''(?!')", "$1.#filled")
-    parts = [
+    once = F.regexp_replace(text, r"(\w+)\.value\s*(?:!=|<>)\s*''(?!')", "$1.#filled")
+    parts = lambda cleaned: [
         _matches(cleaned, rf"(\w+)\.#num\s*{compare_op}\s*({NUMBER})", lambda a, o, v: _condition(a, "num", canonical(o), v), 3),
         _matches(cleaned, rf"(?i)(\w+)\.#num\s*BETWEEN\s*({NUMBER}?)\s*AND\s*({NUMBER})",
                  lambda a, lo, hi: _condition(a, "between", None, lo, hi), 3),
@@ -214,7 +219,7 @@ def alias_conditions(sql: Column) -> Column:
         _matches(cleaned, r"(\w+)\.#filled", lambda a: _condition(a, "non_empty"), 1),
         _matches(cleaned, r"(?i)(\w+)\.value\s+IS\s+NOT\s+NULL", lambda a: _condition(a, "not_null"), 1),
     ]
-    return F.concat(*[p.cast(CONDITION_TYPE) for p in parts])
+    return let(once, lambda cleaned: F.concat(*[p.cast(CONDITION_TYPE) for p in parts(cleaned)]))
 
 
 def aggregate_calls(sql: Column) -> Column:

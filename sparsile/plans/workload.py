@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparsile.functions import phrases, sqltext
@@ -14,6 +14,7 @@ from sparsile.operators.matching import extract_conditions
 from sparsile.operators.numbering import dense_number, reindex
 from sparsile.operators.retrieval import evaluate_predicates
 from sparsile.session import durable
+from sparsile.sizing import spread
 from sparsile.sources.reports import CHUNK
 
 # Points per match of the two scoring rules (number, range or operator word, literal).
@@ -65,37 +66,36 @@ def duplicate_groups(samples: DataFrame) -> DataFrame:
 
 
 def match_score(samples: DataFrame, version: int = 1, text: str = "natural_language") -> DataFrame:
-    """Points for thresholds, operator words and string literal found in the question."""
+    """Points for thresholds, operator words and string literal found in the question.  Few bytes are read and much is done for each text."""
+    score = sqltext.let(sqltext.normalize_space(F.col("sql")), lambda sql: _points(sql, F.col(text), version))
+    return spread(samples).withColumn("score", score)
+
+
+def _points(sql: Column, nl: Column, version: int) -> Column:
     number_points, word_points, literal_points = POINTS[version]
-    if version == 1:
-        word_points = 3
-    sql, nl = sqltext.normalize_space(F.col("sql")), F.col(text)
-    conditions = F.filter(sqltext.alias_conditions(sql), lambda c: c["kind"].isin("num", "between"))
     in_text = lambda n, forms: F.aggregate(
         F.transform(forms(n), lambda f: F.contains(nl, f)), F.lit(False), lambda a, b: a | b)
     whole = lambda n: n == F.floor(n)
     fixed = lambda n, digits: n.cast(f"decimal(30,{digits})").cast("string")
-    if version == 1:
-        numbers = F.filter(F.flatten(F.transform(conditions, lambda c: F.array(c["lo"], c["hi"]))), lambda n: n.isNotNull())
-        forms = lambda n: F.array(sqltext.plain(n), fixed(n, 1), fixed(n, 2))
-    else:
+    said = F.when(F.contains(F.upper(sql), F.lit("BETWEEN")), phrases.has_any(nl, phrases.RANGE_WORDS))
+    literal = F.regexp_extract(sql, r"\w+\.value\s*=\s*'([^']+)'", 1)
+    quoted = ((literal != "") & F.contains(nl, literal)).cast("int") * literal_points
+    total = lambda numbers, forms, said: (
+        F.size(F.filter(numbers, lambda n: in_text(n, forms))) * number_points + F.coalesce(said, F.lit(False)).cast("int") * word_points + quoted).cast("int")
+    if version == 2:
         raw = F.transform(F.regexp_extract_all(sql, F.lit(r"(\d+\.?\d*)"), 1), lambda x: x.try_cast("decimal(30,15)"))
         numbers = F.array_distinct(F.filter(raw, lambda n: (n > 0.01) & (n < 1000000)))
-        forms = lambda n: F.array(F.when(whole(n), sqltext.plain(n)).when(n == F.round(n, 1), fixed(n, 1)).otherwise(fixed(n, 2)))
-    hits = F.size(F.filter(numbers, lambda n: in_text(n, forms)))
-    ranged = F.contains(F.upper(sql), F.lit("BETWEEN"))
-    range_said = phrases.has_any(nl, phrases.RANGE_WORDS)
-    ops = F.transform(conditions, lambda c: c["op"])
-    if version == 1:
-        said = F.when(ranged, range_said)
+        return total(numbers, lambda n: F.array(F.when(whole(n), sqltext.plain(n)).when(n == F.round(n, 1), fixed(n, 1)).otherwise(fixed(n, 2))), said)
+
+    def first(conditions):
+        numbers = F.filter(F.flatten(F.transform(conditions, lambda c: F.array(c["lo"], c["hi"]))), lambda n: n.isNotNull())
+        ops = F.transform(conditions, lambda c: c["op"])
+        worded = said
         for op, words in SCORE_WORDS.items():
-            said = said.when(F.array_contains(ops, op), phrases.has_any(nl, words))
-    else:
-        said = F.when(ranged, range_said)
-    literal = F.regexp_extract(sql, r"\w+\.value\s*=\s*'([^']+)'", 1)
-    return samples.withColumn("score", (
-        hits * number_points + F.coalesce(said, F.lit(False)).cast("int") * word_points
-        + ((literal != "") & F.contains(nl, literal)).cast("int") * literal_points).cast("int"))
+            worded = worded.when(F.array_contains(ops, op), phrases.has_any(nl, words))
+        return total(numbers, lambda n: F.array(sqltext.plain(n), fixed(n, 1), fixed(n, 2)), worded)
+
+    return sqltext.let(F.filter(sqltext.alias_conditions(sql), lambda c: c["kind"].isin("num", "between")), first)
 
 
 def best_of_group(scored: DataFrame, version: int = 1) -> DataFrame:
@@ -113,7 +113,8 @@ def best_of_group(scored: DataFrame, version: int = 1) -> DataFrame:
 
 def curate_samples(samples: DataFrame, version: int = 2, threshold: str = "0.1") -> DataFrame:
     """Drop weaker duplicates, renumber, lift zero thresholds; :func:`rerun_curated` answers the texts again."""
-    kept = reindex(best_of_group(match_score(samples, version), version).drop("score"))
+    scored = durable(match_score(samples, version), "scored")  # read by every step of the choice and of the numbering
+    kept = reindex(durable(best_of_group(scored, version).drop("score"), "kept"))
     return kept.withColumn("sql", sqltext.rewrite_zero_threshold(F.col("sql"), threshold))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sparsile.functions import phrases, sqltext
 from sparsile.functions.numeric import near
 from sparsile.operators.nulls import join_null_safe
+from sparsile.sizing import local_copy, spread
 
 # Up to this many terms are tested in the row; more go through the seed join.
 INLINE_TERMS = 2_000
@@ -35,14 +36,10 @@ def terms_in_text(texts: DataFrame, terms: DataFrame, text: str = "text", key: s
     seeds = vocabulary.select("term", F.substr("term", F.lit(1), length).alias("_seed"))
     used = [r["k"] for r in vocabulary.select(length.alias("k")).distinct().collect()]  # at most SEED_LENGTH rows
     marked = texts.withColumn("_text", F.xxhash64(text))  # rows of one key may hold different texts
-    chars = marked.select(key, "_text", F.split(text, "(?!^)").alias("_chars"))
-
-    def pieces(k: int):
-        starts = F.sequence(F.lit(1), F.greatest(F.size("_chars") - k + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.array_join(F.slice("_chars", i, k), ""))
-
-    seeded = chars.select(key, "_text", F.explode(F.array_distinct(F.concat(*[pieces(k) for k in used]))).alias("_seed"))
-    candidates = seeded.join(seeds, "_seed").select(key, "_text", "term").distinct()
+    pieces = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))"), 1) for k in used]
+    seeded = spread(marked.select(key, "_text", text)).select(key, "_text", F.explode(F.array_distinct(F.concat(*pieces)) if used else F.array().cast("array<string>")).alias("_seed"))
+    few_seeds = local_copy(seeds)  # within the checked bound, pieces are dropped where they are cut
+    candidates = seeded.join(seeds if few_seeds is None else F.broadcast(few_seeds), "_seed").select(key, "_text", "term").distinct()
     return join_null_safe(marked, candidates, [key, "_text"]).filter(F.contains(F.col(text), F.col("term"))).select(*texts.columns, "term")
 
 

@@ -344,7 +344,7 @@ SELECT r.data_id, left(r.title, 200) AS title, r.producer AS data_producers, b.n
   COUNT(DISTINCT CASE WHEN role IS NULL THEN v.property_id END) AS n_result
   FROM x_value v LEFT JOIN role_dict r ON r.title = v.title AND r.property_id = v.property_id GROUP BY 1) b USING (data_id)""")
 def _(t):
-    ones = lambda c: F.length(F.replace(F.col(c), F.lit("0"), F.lit(""))).cast("bigint").alias(f"n_{c}")
+    ones = lambda c: (F.octet_length(c) - F.octet_length(F.replace(F.col(c), F.lit("1"), F.lit("")))).cast("bigint").alias(f"n_{c}")
     return load(t).entities.select("data_id", "title", "data_producers", ones("object"), ones("operate"), ones("result"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparsile.operators.shaping import unpivot_to_eav
+from sparsile.sizing import spread
 
 SCHEMAS = {
     "region": "r_regionkey int, r_name string",
@@ -220,11 +221,10 @@ class Tables:
         return self.sql(FIXTURES[name])
 
     def _documents(self, name: str) -> DataFrame:
-        """Documents over all cores, as the scan of a document folder would give
+        """Documents over all tasks, as the scan of a document folder would give
         them; the narrow source rows are spread before the JSON text is built."""
         source = "orders" if name == "docs_array" else "customer"
-        spread = getattr(self, source).repartition(self.spark.sparkContext.defaultParallelism)
-        return self.spark.sql(FIXTURES[name], **{source: spread})
+        return self.spark.sql(FIXTURES[name], **{source: spread(getattr(self, source))})
 
     def _eav_value(self) -> DataFrame:
         frames = [unpivot_to_eav(getattr(self, t), F.expr(data_id), {p: (n, F.expr(c)) for p, (n, c) in cells.items()})

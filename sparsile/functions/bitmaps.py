@@ -12,13 +12,13 @@ WIDTH = 1024
 def _marks(ids: Column, done) -> Column:
     """Text that ends at the highest id: each id adds the zeros up to it and a '1',
     so the text length is the next free position."""
-    return F.aggregate(F.array_sort(F.array_distinct(ids)), F.lit(""),
-                       lambda text, i: F.concat(text, F.repeat(F.lit("0"), i - F.length(text)), F.lit("1")), done)
+    return F.aggregate(F.sort_array(F.array_distinct(ids)), F.lit(""),
+                       lambda text, i: F.concat(text, F.repeat(F.lit("0"), i - F.octet_length(text)), F.lit("1")), done)
 
 
 def bitmap(ids: Column, width: int = WIDTH) -> Column:
     """'0/1' text, character i is '1' when id i is present; other ids ignored."""
-    return _marks(F.filter(ids, lambda i: (i >= 0) & (i < width)), lambda text: F.rpad(text, width, "0"))
+    return _marks(F.filter(ids, lambda i: (i >= 0) & (i < width)), lambda text: F.concat(text, F.repeat(F.lit("0"), width - F.octet_length(text))))
 
 
 def legacy_bitmap(ids: Column, empty: str = "0") -> Column:

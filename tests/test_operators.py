@@ -549,3 +549,50 @@ def test_candidates_grow_with_hits(spark):
         # beyond the hits a value meets the intervals that begin or end in its cell: 20,000 ends in 4,096 cells
         assert hits <= met.count() <= hits + 2_000 * 10
         assert met.select("sample_id", "data_id").distinct().count() == met.count()
+
+
+TRICKY = [
+    '{"a": "{x", "b": {"c": 1}, "l": [{"p": 1}]}', '{"a": "\\u007bx}", "b": {"c": "\\u005b1]"}}', "{'a': '{x}', 'b': {'c': 2}}",
+    '{"l": [{"p": 1}, 5, null, {"q": {"r": 2, "s": [1]}}, "{t}"], "n": [{"p": null, "q": 1.50}, {}]}', '{"l": [{"p": 1}, [2], {"p": 3}]}',
+    '{"o": {"x": 1, "x": 2, "y": {"z": 1}}, "k": 1, "k": 2, "o": {"lb": null, "ub": 3}}', '{"l": [{"元素": " Co ", "含量": {"v": 1}}, {"元素": "", "含量": 2}, {"相名称": "γ", "u": 1}]}',
+    '{}', 'not json', '[1]', None, '{"META_x": "{", "化学结构式": {"a": 1}, "e": "say \\"{\\"", "f": 1e3}',
+]
+
+
+def test_leaves_read_by_text_equal_leaves_read_by_kind(spark):
+    frame = spark.createDataFrame(list(enumerate(TRICKY)), "id long, data string")
+    for rules in (leaves.LeafRules(), leaves.LeafRules(pivots=False, prefix_nested=True, renames={})):
+        read = frame.select("data", F.expr(leaves.record_leaves("data", rules)).alias("fast"))
+        sure, leaves._sure = leaves._sure, lambda json: "false"
+        try:
+            read = read.withColumn("slow", F.expr(leaves.record_leaves("data", rules)))
+        finally:
+            leaves._sure = sure
+        assert [r.data for r in read.collect() if r.fast != r.slow] == []
+
+
+def test_records_settle_their_repeated_fields_without_a_shuffle(spark):
+    wide = json.dumps({f"f{i}": i for i in range(3000)})[:-1] + ', "f7": "late", "f7": "later"}'
+    rows = [(1, '{"a": 1, "b": 2, "a": 3}'), (2, wide), (3, '{"a": 1, "b": 2}'), (3, '{"c": 0, "d": 1, "b": 5}'), (None, '{"a": 1}'), (None, '{"a": 1, "x": 9, "a": 4}'), (4, "{}")]
+    frame = spark.createDataFrame(rows, "id long, data string")
+    found = leaves.extract_leaves(frame, ["id"])
+    raw = leaves.unpack_leaves(frame.select("id", F.expr(leaves.record_leaves("data", leaves.LeafRules())).alias("leaves")))
+    as_set = lambda df: {(r.id, r.field, r.leaf_pos, r.value) for r in df.select("id", "field", "leaf_pos", "value").collect()}
+    expected = as_set(leaves.last_write_wins(raw, ["id"]))
+    assert as_set(found) == expected and found.count() == len(expected)
+    unique = leaves.extract_leaves(frame.filter("id IN (1, 2, 4)"), ["id"])
+    assert "Exchange" not in unique._jdf.queryExecution().executedPlan().toString()
+
+
+def test_load_keeps_records_whose_orders_repeat(spark):
+    doc = lambda i, f: json.dumps([{"_meta_id": i, "title": "t", "data": {"META_数据生产者": "p", **f}}])
+    rows = [(1, doc(5, {"f": 1, "g": "x"})), (1, doc(5, {"g": "y", "f": 2})), (2, doc(5, {"f": 3})), (3, doc(6, {"f": {"lb": 1}}))]
+    docs = spark.createDataFrame(rows, "no long, value string")
+    dictionary = spark.createDataFrame([("f", 1), ("g", 2000), ("f_lb", 3)], "field string, property_id int")
+    properties = spark.createDataFrame([(1, "eff")], "property_id int, property_name string")
+    roles = spark.createDataFrame([("t", 1, "object")], "title string, property_id int, role string")
+    loaded = ingest.load(docs, "no", dictionary, properties, roles)
+    values = {(r.data_id, r.property_id): (r.property_name, r.value) for r in loaded.values.collect()}
+    assert values == {(50000005, 1): ("eff", "2"), (50000005, 2000): ("2000", "x"), (50000006, 3): ("3", "1"), (50000007, 1): ("eff", "3")}
+    bits = {r.data_id: (r.object.count("1"), r.result.count("1"), len(r.object), r.data_producers) for r in loaded.entities.collect()}
+    assert bits == {50000005: (1, 0, 1024, "p"), 50000006: (0, 1, 1024, "p"), 50000007: (1, 0, 1024, "p")}

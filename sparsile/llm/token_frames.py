@@ -19,7 +19,9 @@ columns are ignored, whatever their names; an empty table gives no file and no r
 
 from __future__ import annotations
 
+import gc
 import json
+import os
 import re
 import struct
 import uuid
@@ -38,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparsile.llm.memo import SequenceMemo, joined
+from sparsile.llm.memo import SequenceMemo, joined, kept
 from sparsile.llm.text import cut_by_bytes, raw
 from sparsile.session import durable, fresh_path
 
@@ -63,7 +65,7 @@ _STAND_INS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRI
 
 class BytePieceEncoder:
     """Encodes texts with a tokenizer file.  Under plain byte-level pre-tokenization each distinct piece goes to the
-    library's model once per task; texts with the string of an added token go to the library whole, as all texts do for any other tokenizer."""
+    library's model once while it is kept; texts with the string of an added token go to the library whole, as all texts do for any other tokenizer."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -91,9 +93,17 @@ class BytePieceEncoder:
         return parts if len(parts) > 1 else None
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in order, and their number per text."""
-        if not self.by_piece:
-            return self._whole(texts)
+        """All ids in order, and their number per text.  Pieces come and go by the million and hold no cycles, so the
+        collector of cycles, which would walk through all known pieces, rests meanwhile."""
+        resting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts) if self.by_piece else self._whole(texts)
+        finally:
+            if resting:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         special = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
         marked = set(special)
         ids, per = self.words.encode([[] if i in marked else _PIECE.findall(t) for i, t in enumerate(texts)])
@@ -109,6 +119,12 @@ class BytePieceEncoder:
         return joined([e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)])
 
 
+def encoder_of(path: str) -> BytePieceEncoder:
+    """The worker's encoder for a tokenizer file as it is now; its known pieces serve later tasks too."""
+    state = os.stat(path)
+    return kept(("BytePieceEncoder", path, state.st_mtime_ns, state.st_size), lambda: BytePieceEncoder(path))
+
+
 def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
@@ -216,7 +232,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     ordered = rows.repartitionByRange(parts, F.col("key").asc_nulls_first(), F.xxhash64("body")).sortWithinPartitions(F.col("key").asc_nulls_first(), F.xxhash64("body"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, total, sink = BytePieceEncoder(tokenizer), None, 0, None
+        encoder, writer, total, sink = encoder_of(tokenizer), None, 0, None
         files, base = open_folder(folder)
         part = TaskContext.get().partitionId()
         draft, final = f"{base}/.draft-{part:06d}-{uuid.uuid4().hex}", f"{base}/part-{part:06d}.ids.zst"

@@ -138,3 +138,21 @@ def test_normalisation_through_a_character_map():
         # the library counts characters, we count bytes
         at = np.cumsum([0] + [len(c.encode()) for c in expected])[: len(offsets)]
         assert [len(data[: origin[i]].decode()) for i in at] == list(offsets)
+
+
+def test_known_pieces_outlive_the_limit_and_the_task():
+    from sparsile.llm.memo import SequenceMemo, joined
+    from sparsile.llm.token_frames import encoder_of
+
+    asked = []
+    encode = lambda pieces: asked.extend(pieces) or joined([[ord(c) for c in p] for p in pieces])
+    memo = SequenceMemo(encode, lambda w: w.split("-") if "-" in w else None, limit=8)
+    for i in range(40):
+        texts = [["the", f"w{i}", "of-the", f"x{i}-of"], [], ["the", "of"]]
+        ids, per = memo.encode(texts)
+        plain = [[ord(c) for w in t for c in w.replace("-", "")] for t in texts]
+        assert ids.tolist() == sum(plain, []) and per.tolist() == [len(p) for p in plain]
+        assert len(memo.numbers) == len(memo.starts) == len(memo.lengths) == len(memo.seen) <= 12
+    assert asked.count("the") < 5
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert encoder_of(path) is encoder_of(path)

@@ -9,11 +9,12 @@ parent's with a weight of ``BACKING`` per distinct symbol.  A symbol is scored i
 of what stands before it that is a state, in a row from the root.
 
 Counts cover every training document, and the tree grows with the corpus.  It is never whole in one place.  Documents
-stand in blocks of about ``BLOCK_BYTES`` of text, a row for each piece of ``PIECE_BYTES``; a block sends its distinct grams and words, packed in arrays, to parts
-by the nearest three symbols of the context or a hash of the word.  Where all blocks meet in a part, counts are added up,
-that part of the tree is grown, and each block gets its own grams and words back with their values.  So neither a gram
-nor a word is ever a row, and texts move once.  Only the counts of single symbols, pairs and triples reach the driver:
-their number depends on the script of the texts, not on the size of the corpus.
+stand in blocks of about ``BLOCK_BYTES`` of text, a row for each piece of ``PIECE_BYTES``; a block sends its distinct
+grams and words, packed in arrays, to parts by the nearest three symbols of the context or a hash of the word.  Where all
+blocks meet in a part, counts are added up, that part of the tree is grown, and each block gets its own grams and words
+back with their values.  So neither a gram nor a word is ever a row, and texts move once.  Only the counts of single
+symbols, pairs and triples reach the driver: their number depends on the script of the texts, not on the size of the
+corpus.
 
 The base score has the same terms but for the number of distinct words, known once all parts have answered.
 
@@ -41,18 +42,19 @@ DEPTH = 6
 LEAST = 2
 DIVERGENCE = 8.0
 BACKING = 1.0
-KEPT_GRAMS = 1_000_000
+KEPT_GRAMS = 2_000_000
 BLOCK_BYTES = 16_000_000
 ROW_BYTES = 64  # what a document counts in a block besides its text
 PART_SYMBOLS = 4_000_000
 MOST_PARTS = 1024  # a block sends as many rows at most, of grams and of words
-PIECE_BYTES = 1_500_000  # a symbol takes some fifty bytes of work arrays
+PIECE_BYTES = 500_000  # a symbol takes some fifty bytes of work arrays
 HEAD = 0xFFFFFF  # a symbol and the two before it
 SYMBOLS = 257
 START, END = 0xFF, 0xFE  # bytes that never occur in UTF-8: before a text, and its end mark
 TOTALS = -1  # in place of a block: the distinct training words of a part
 
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+# bytes kept for marks give way in texts that are not UTF-8
+_LOWER = bytes({START: 0xC1, END: 0xC0}.get(b, b + 32 if 65 <= b <= 90 else b) for b in range(256))
 _MARK = bytes([END])
 
 

@@ -191,3 +191,9 @@ def test_the_tree_keeps_little_on_disk(spark):
     before = kept()
     assert len(QUERIES["op8_suffix_tree"](spark, folder).select("score").collect()) == 1000
     assert kept() - before < 1.3 * Path(f"{folder}/documents.parquet").stat().st_size
+
+
+def test_bytes_of_the_marks_do_not_end_a_text(spark):
+    table = spark.createDataFrame([(1, b"ab \xfe \xffcd ef"), (2, b"ab")], "doc_id long, text binary")
+    found = {r.doc_id: r for r in suffix_tree.train_and_score(table, F.lit(True)).collect()}
+    assert [(found[i].n_tokens, found[i].n_known, found[i].train_tokens) for i in (1, 2)] == [(5, 5, 7), (2, 2, 7)]

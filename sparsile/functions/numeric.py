@@ -75,11 +75,12 @@ TESTS = {
 
 
 def condition_holds(value: Column, kind: Column | str, op: Column | str, lo: Column, hi: Column, text: Column,
-                    mode: str = "strict", bare_mode: str = "mysql") -> Column:
+                    mode: str = "strict", bare_mode: str = "mysql", numbers: tuple[Column, Column] | None = None) -> Column:
     """Does one condition hold for one value?  A literal ``kind`` gives its test
     alone; a column of kinds chooses among the same tests per row, and only the
-    chosen test reads the value as a number."""
-    arguments = (value, lambda: to_decimal(value, mode), lambda: to_decimal(value, bare_mode), op, lo, hi, text)
+    chosen test reads the value as a number.  ``numbers`` are the two views where they are read already."""
+    num, bare = (lambda: numbers[0] if numbers else to_decimal(value, mode)), (lambda: numbers[1] if numbers else to_decimal(value, bare_mode))
+    arguments = (value, num, bare, op, lo, hi, text)
     if isinstance(kind, str):
         return F.coalesce(TESTS[kind](*arguments), F.lit(False))
     chosen = None

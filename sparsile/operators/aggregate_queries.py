@@ -13,9 +13,11 @@ from sparsile.functions.numeric import condition_holds, to_decimal
 from sparsile.operators.numbering import ranged_total
 from sparsile.operators.retrieval import WORD_BITS, tested_rows, with_entity_rows
 from sparsile.session import durable
-from sparsile.sizing import BROADCAST_ROWS, join_control, local_copy, spread
+from sparsile.sizing import BROADCAST_ROWS, join_control, local_copy, spread, tasks
 
 _PLAIN = "NOT rlike({}, '[#@]')"
+# Samples over joined aliases that are answered together: a value row is tested and written down once for all of them.
+TOGETHER = 32
 
 
 def aggregate_reasons(samples: DataFrame, sql: str = "sql", key: str = "sample_id") -> DataFrame:
@@ -45,8 +47,9 @@ def _control(asked: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = tests.groupBy("sample_id", "alias", "anti", "property_id", "_bit").agg(F.collect_list(F.struct("kind", "op", "lo", "hi", "text")).alias("tests"))
     parts = parts.groupBy("sample_id", "alias", "anti", "property_id").agg(F.collect_list(F.struct(F.col("_bit").alias("bit"), "tests")).alias("clauses"))
     flags = calls.filter("of = 'value'").groupBy("sample_id", "alias").agg(
-        F.max("as_number").alias("_number"), F.max(~F.col("as_number") & F.col("fn").isin("avg", "sum")).alias("_bare"), F.max("_set").alias("_set"))
-    parts = parts.join(flags, ["sample_id", "alias"], "left").fillna(False, ["_number", "_bare", "_set"])
+        F.max("as_number").alias("_number"), F.max(~F.col("as_number") & F.col("fn").isin("avg", "sum")).alias("_bare"),
+        F.max(F.col("_set") | ~F.col("as_number") & F.col("fn").isin("max", "min")).alias("_valued"))
+    parts = parts.join(flags, ["sample_id", "alias"], "left").fillna(False, ["_number", "_bare", "_valued"])
     role = F.when(F.col("anti"), "anti").when(F.rlike("alias", F.lit("[#@]")), "exists").otherwise("row")
     names = tests.groupBy("sample_id", "alias", role.alias("_role")).agg(F.bit_or("_bit").alias("bits"))
     info = names.groupBy("sample_id").agg(F.bit_or("bits").alias("_all"), F.max(F.col("_role") == "anti").alias("_anti"), F.collect_list(F.when(F.col("_role") == "row", F.col("alias"))).alias("_plain"),
@@ -57,8 +60,8 @@ def _control(asked: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parts, info
 
 
-def _weighted(entity: DataFrame) -> DataFrame:
-    """One row per (sample, entity, call, clauses that its rows pass): how many joined rows each of them stands in.
+def _weighted(patterns: DataFrame) -> DataFrame:
+    """One row per (sample, pattern of entities, call, class of its rows): how many joined rows each of them stands in.
 
     Clauses are bits, so a joined row counts where the masks of its parts share one: the masks of the other aliases are
     multiplied out, equal ones united after each, and a row of the called alias meets those that share a bit with it."""
@@ -71,8 +74,9 @@ def _weighted(entity: DataFrame) -> DataFrame:
     total = "aggregate(filter(_combos, c -> c.m <> 0), 0L, (s, c) -> s + c.n)"
     counted = f"""CASE WHEN _call.of = 'value' THEN transform(filter(_g, r -> NOT r.anti AND r.alias = _call.alias), r -> named_struct('r', r, 'w', {share}))
         ELSE array(named_struct('r', get(filter(_g, r -> false), 0), 'w', {total})) END"""
-    rows = entity.withColumn("_may", F.expr(may)).withColumn("_call", F.explode("_calls")).withColumn("_combos", F.expr(combos))
-    return rows.select("sample_id", "data_id", "_call", F.explode(F.expr(counted)).alias("_part")).select("sample_id", "data_id", "_call.*", "_part.*").filter("w > 0")
+    rows = patterns.withColumn("_may", F.expr(may)).withColumn("_call", F.explode("_calls")).withColumn("_combos", F.expr(combos))
+    known = rows.withColumn("_e", F.expr("transform(slice(_g, 1, 1), r -> named_struct('ne', r.ne, 'si', r.si, 'hi', r.hi, 'li', r.li))[0]"))  # each class knows all entities of its pattern
+    return known.select("sample_id", "_pattern", "_e", "_call", F.explode(F.expr(counted)).alias("_part")).select("sample_id", "_pattern", "_e", "_call.*", "_part.*").filter("w > 0")
 
 
 def evaluate_aggregates(values: DataFrame, calls: DataFrame, predicates: DataFrame, entities: DataFrame | None = None, mode: str = "strict", bare_mode: str = "mysql",
@@ -82,7 +86,7 @@ def evaluate_aggregates(values: DataFrame, calls: DataFrame, predicates: DataFra
     ``calls`` is (sample_id, call, fn, alias, as_number, distinct, of): ``of`` is ``value`` (of the alias), ``entity`` (its id) or ``row``
     (``COUNT(*)``); ``predicates`` are the conditions of the same samples.  A call sees the rows of the query's join: one for each choice of a row per
     alias that passes some clause (OR) whole; nested queries only have to exist, ``anti`` ones must not.  Rows of one entity are
-    summed by the clauses they pass before they meet, so an entity with very many rows stays small.  DISTINCT unites equal values of a sample, or entities.
+    counted by the tests they pass before they meet, so an entity with very many rows stays small, and entities with equal counts are joined once (:func:`_joined`).  DISTINCT unites equal values of a sample, or entities.
     COUNT counts any value that is not null; a called value that is not cast is compared as text by MAX and MIN (``text``)
     and read as a number by AVG and SUM.  No rows: COUNT 0, others null.  Rows without an id never count; with ``entities``, only theirs do."""
     collected = F.col("distinct") & (F.col("of") == "value") & F.col("fn").isin("count", "sum", "avg")
@@ -92,8 +96,8 @@ def evaluate_aggregates(values: DataFrame, calls: DataFrame, predicates: DataFra
     parts, info = _control(asked, calls)
     value = F.col("value")
     passes = lambda t: condition_holds(value, t["kind"], t["op"], t["lo"], t["hi"], t["text"], mode, bare_mode)
-    mask = F.aggregate("clauses", F.lit(0).cast("bigint"), lambda m, c: m.bitwiseOR(F.when(F.forall(c["tests"], passes), c["bit"]).otherwise(F.lit(0).cast("bigint"))))
-    tested = with_entity_rows(values, asked, entities).join(asked.select("property_id").distinct(), "property_id", "left_semi")
+    stored = with_entity_rows(values, asked, entities)
+    tested = stored.join(asked.select("property_id").distinct(), "property_id", "left_semi")
     if entities is not None:
         tested = tested.join(entities.select("data_id"), "data_id", "left_semi")
     sums = [F.count(F.lit(1)).alias("n"), F.count("value").alias("c"), F.sum("_x").alias("sx"), F.count("_x").alias("cx"), F.max("_x").alias("hx"), F.min("_x").alias("lx"),
@@ -106,13 +110,7 @@ def evaluate_aggregates(values: DataFrame, calls: DataFrame, predicates: DataFra
     numbered = tested.filter("data_id IS NOT NULL").withColumn("_x", to_decimal(value, mode)).withColumn("_y", to_decimal(value, bare_mode))
     found = _direct(_totals(numbered, sums, parts.join(direct.select("sample_id"), "sample_id", "left_semi"), passes, max_predicates, mode), direct)
     if not joined.isEmpty():
-        parts = parts.join(joined.select("sample_id"), "sample_id", "left_semi")
-        small = local_copy(parts, max_predicates)
-        if small is not None:  # pairs are many more than rows: an entity's rows meet before they are paired, and its pairs stay there
-            parts, tested = small, spread(tested_rows(tested, small), "data_id")
-        met = join_control(tested, parts, "property_id", spread="data_id", max_rows=max_predicates).withColumn("mask", mask).filter("mask != 0")
-        numbers = met.withColumn("_x", F.when(F.col("_number"), to_decimal(value, mode))).withColumn("_y", F.when(F.col("_bare"), to_decimal(value, bare_mode)))
-        found = found.unionByName(_joined(numbers, met, sums, joined, info, max_predicates, mode, bare_mode), allowMissingColumns=True)
+        found = found.unionByName(_joined(stored, entities, joined, parts.join(joined.select("sample_id"), "sample_id", "left_semi"), info, max_predicates, mode, bare_mode), allowMissingColumns=True)
     textual = ~F.col("as_number") & (F.col("of") == "value") & F.col("fn").isin("max", "min")
     numeric = (F.when(F.col("fn") == "count", F.coalesce(F.col("_count").cast("double"), F.lit(0.0))).when(textual, None).when(F.col("fn") == "avg", F.try_divide("_sum", F.col("_of")).cast("double"))
                .when(F.col("fn") == "sum", F.when(F.col("_of") > 0, F.col("_sum").cast("double"))).when(F.col("fn") == "max", F.col("_max").cast("double")).otherwise(F.col("_min").cast("double")))
@@ -123,8 +121,8 @@ def evaluate_aggregates(values: DataFrame, calls: DataFrame, predicates: DataFra
 _MERGED = {"n": F.sum, "c": F.sum, "sx": F.sum, "cx": F.sum, "hx": F.max, "lx": F.min, "sy": F.sum, "cy": F.sum, "ht": F.max, "lt": F.min, "si": F.sum, "hi": F.max, "li": F.min}
 
 
-def _merge() -> list:
-    return [f(name).alias(name) for name, f in _MERGED.items()]
+def _merge(*names: str) -> list:
+    return [f(name).alias(name) for name, f in _MERGED.items() if not names or name in names]
 
 
 def _totals(rows: DataFrame, sums: list, parts: DataFrame, passes, max_predicates: int, mode: str) -> DataFrame:
@@ -193,33 +191,106 @@ def _direct(totals: DataFrame, calls: DataFrame) -> DataFrame:
                                                   F.col("ht").alias("_max_text"), F.col("lt").alias("_min_text"))
 
 
-def _joined(numbers: DataFrame, met: DataFrame, sums: list, calls: DataFrame, info: DataFrame, max_predicates: int, mode: str, bare_mode: str) -> DataFrame:
-    """Calls of queries over several aliases, and those over distinct entities or values."""
+def _units(parts: DataFrame, batches: int) -> DataFrame:
+    """What a clause asks of a row of an alias, numbered as bits of words within (batch of samples, property): equal tests have one number."""
+    tests = F.array_sort(F.array_distinct(F.filter("c.tests", lambda t: t["kind"] != "any")))
+    each = parts.withColumn("_batch", _batch(batches)).withColumn("c", F.explode("clauses")).withColumn("tests", tests).withColumn("bit", F.col("c.bit"))
+    kinds = lambda *names: F.exists("tests", lambda t: t["kind"].isin(*names))
+    number = F.dense_rank().over(W.partitionBy("_batch", "property_id").orderBy("tests")) - 1
+    return each.select("_batch", "sample_id", "alias", "anti", "property_id", "bit", "tests", F.floor(number / WORD_BITS).cast("int").alias("_word"),
+                       number.alias("_k"), (F.col("_number") | kinds("num", "between", "not_between")).alias("_number"),
+                       (F.col("_bare") | kinds("bare", "bare_between", "not_bare_between")).alias("_bare"), "_valued").withColumn(
+        "_unit", F.expr(f"shiftleft(1L, CAST(_k % {WORD_BITS} AS INT))")).drop("_k")
+
+
+def _batch(batches: int):
+    """The batch of a sample."""
+    return F.pmod(F.xxhash64("sample_id"), F.lit(batches)).cast("int")
+
+
+def _patterns(stored: DataFrame, entities: DataFrame | None, units: DataFrame, max_predicates: int, mode: str, bare_mode: str) -> DataFrame:
+    """Value rows summed by (batch, pattern, property, class, value): no row is written down once per sample.
+
+    A row's class says which tests of its property it passes; an entity's pattern, how many rows of each class it has.  Entities
+    of one pattern give the same joined rows in every sample of the batch.  The value is a key only where a call needs it."""
+    flags = ["_number", "_bare", "_valued"]
+    known = units.groupBy("_batch", "property_id", "_word", "_unit").agg(F.first("tests").alias("tests"), *[F.max(f).alias(f) for f in flags])
+    words = known.groupBy("_batch", "property_id", "_word").agg(F.collect_list(F.struct("_unit", "tests")).alias("_tests"), *[F.max(f).alias(f) for f in flags])
+    control = words.groupBy("_batch", "property_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_word", "_tests"))), lambda w: w["_tests"]).alias("_words"), *[F.max(f).alias(f) for f in flags])
+    small = local_copy(control, max_predicates)
+    rows = tested_rows(stored.filter("data_id IS NOT NULL"), control if small is None else small)
+    if entities is not None:
+        rows = rows.join(entities.select("data_id"), "data_id", "left_semi")
+    if small is not None:  # an entity's rows meet in one task before they are tested, and stay there
+        # one more than the join above has: the same partitioning again would be left out of the plan, and few large tasks would test and sort all rows
+        control, rows = small, rows.repartition(tasks(rows.sparkSession) + 1, "data_id")
+    value, nothing = F.col("value"), F.lit(0).cast("bigint")
+    met = join_control(rows, control, "property_id", spread="data_id", max_rows=max_predicates)
+    read = met.withColumn("_x", F.when(F.col("_number"), to_decimal(value, mode))).withColumn("_y", F.when(F.col("_bare"), to_decimal(value, bare_mode)))
+    passes = lambda t: condition_holds(value, t["kind"], t["op"], t["lo"], t["hi"], t["text"], mode, bare_mode, (F.col("_x"), F.col("_y")))
+    passed = F.transform("_words", lambda w: F.aggregate(w, nothing, lambda m, t: m.bitwiseOR(F.when(F.forall(t["tests"], passes), t["_unit"]).otherwise(nothing))))
+    # exploded, so that the tests are made once: a filter would be pushed down and repeat them
+    classed = read.withColumn("_class", F.explode(F.filter(F.array(passed), lambda c: F.exists(c, lambda m: m != 0)))).withColumn("_v", F.when(F.col("_valued"), value))
+    if small is None:
+        classed = spread(classed.drop("_words"), "data_id")
+    at = ["data_id", "_batch", "property_id", "_class"]
+    summed = classed.groupBy(*at, "_v").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("c"), F.sum("_x").alias("sx"), F.count("_x").alias("cx"), F.max("_x").alias("hx"), F.min("_x").alias("lx"),
+                                            F.sum("_y").alias("sy"), F.count("_y").alias("cy"))
+    of_class = W.partitionBy(*at).orderBy("property_id")
+    counted = summed.withColumn("_first", F.row_number().over(of_class) == 1).withColumn("n", F.sum("n").over(of_class.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    item = F.concat(F.array(F.col("property_id").cast("bigint")), "_class", F.array("n"))
+    patterned = counted.withColumn("_item", item).withColumn("_pattern", F.sort_array(F.collect_set("_item").over(W.partitionBy("data_id", "_batch"))))
+    key = F.col("data_id").cast("decimal(38,15)")
+    return patterned.groupBy("_batch", "_pattern", "property_id", "_class", "n", "_v").agg(
+        *_merge("c", "sx", "cx", "hx", "lx", "sy", "cy"), F.count_if("_first").alias("ne"), F.sum(F.when(F.col("_first"), key)).alias("si"), F.max(key).alias("hi"), F.min(key).alias("li"))
+
+
+def _joined(stored: DataFrame, entities: DataFrame | None, calls: DataFrame, parts: DataFrame, info: DataFrame, max_predicates: int, mode: str, bare_mode: str) -> DataFrame:
+    """Calls of queries over several aliases, and those over distinct entities or values.
+
+    Samples are taken in batches.  Rows and entities are reduced to few classes and patterns of them, and the joins of each sample are
+    worked out for patterns, not for entities: at most as many as there are entities, usually a small part."""
+    batches = -(-calls.select("sample_id").distinct().count() // TOGETHER)
+    units = durable(_units(parts, batches), "units")
+    summed = durable(_patterns(stored, entities, units, max_predicates, mode, bare_mode), "patterns")
+    at = ["_batch", "property_id", "_class"]
+    items = durable(summed.groupBy(*at, "_pattern", "n").agg(*_merge("c", "sx", "cx", "hx", "lx", "sy", "cy", "si", "hi", "li"), F.sum("ne").alias("ne"), F.max("_v").alias("ht"), F.min("_v").alias("lt")), "items")
+    passed = join_control(items.select(*at).distinct(), units, ["_batch", "property_id"], spread="_class", max_rows=max_predicates).filter("(get(_class, _word) & _unit) <> 0")
+    masks = passed.groupBy(*at, "sample_id", "alias", "anti").agg(F.bit_or("bit").alias("mask"))
+    met = join_control(items, masks, at, spread="_pattern", max_rows=max_predicates)
+    per_pattern = met.groupBy("sample_id", "_pattern").agg(F.collect_list(F.struct(*[c for c in met.columns if c not in ("_batch", "_pattern", "sample_id")])).alias("_g"))
     asked = calls.groupBy("sample_id").agg(F.collect_list(F.struct("call", "fn", "alias", "as_number", "of", "_set", (F.col("distinct") & (F.col("of") == "entity")).alias("once"))).alias("_calls"))
-    wanted = asked.select("sample_id")
-    per_mask = numbers.join(wanted, "sample_id", "left_semi").groupBy("sample_id", "data_id", "alias", "anti", "mask").agg(*sums)
-    entity = per_mask.groupBy("sample_id", "data_id").agg(F.collect_list(F.struct(*per_mask.columns[2:])).alias("_g"))
-    weighted = _weighted(join_control(entity.filter("data_id IS NOT NULL"), info.join(asked, "sample_id"), "sample_id", spread="data_id", max_rows=max_predicates))
-    number, of_id, key = F.col("as_number"), F.col("of") == "entity", F.col("data_id").cast("decimal(38,15)")
+    weighted = _weighted(join_control(per_pattern, info.join(asked, "sample_id"), "sample_id", spread="_pattern", max_rows=max_predicates))
+    collects = not calls.filter("_set").isEmpty()
+    if collects:
+        weighted = durable(weighted, "weighted")
+    number, of_id, of_value = F.col("as_number"), F.col("of") == "entity", F.col("of") == "value"
     rows = weighted.filter("NOT _set").withColumn("w", F.when(F.col("once"), F.lit(1).cast("bigint")).otherwise(F.col("w")))
     # a sum that counts once keeps all its digits
     times = lambda s: F.when(F.col("w") == 1, s).otherwise((s * F.col("w")).cast("decimal(38,15)"))
     found = rows.groupBy("sample_id", "call").agg(
-        F.sum(F.when(F.col("of") == "value", F.col("r.c") * F.col("w")).otherwise(F.col("w"))).alias("_count"),
-        F.sum(times(F.when(of_id, key).when(number, F.col("r.sx")).otherwise(F.col("r.sy")))).alias("_sum"),
-        F.sum(F.when(of_id, F.col("w")).when(number, F.col("r.cx") * F.col("w")).otherwise(F.col("r.cy") * F.col("w"))).alias("_of"),
-        F.max(F.when(of_id, key).otherwise(F.col("r.hx"))).alias("_max"), F.min(F.when(of_id, key).otherwise(F.col("r.lx"))).alias("_min"), F.max("r.ht").alias("_max_text"), F.min("r.lt").alias("_min_text"))
-    if calls.filter("_set").isEmpty():
+        F.sum(F.when(of_value, F.col("r.c")).otherwise(F.col("_e.ne")) * F.col("w")).alias("_count"),
+        F.sum(times(F.when(of_id, F.col("_e.si")).when(number, F.col("r.sx")).otherwise(F.col("r.sy")))).alias("_sum"),
+        F.sum(F.when(of_id, F.col("_e.ne")).when(number, F.col("r.cx")).otherwise(F.col("r.cy")) * F.col("w")).alias("_of"),
+        F.max(F.when(of_id, F.col("_e.hi")).otherwise(F.col("r.hx"))).alias("_max"), F.min(F.when(of_id, F.col("_e.li")).otherwise(F.col("r.lx"))).alias("_min"), F.max("r.ht").alias("_max_text"), F.min("r.lt").alias("_min_text"))
+    if not collects:
         return found
-    return found.unionByName(_distinct_values(met, weighted, mode, bare_mode), allowMissingColumns=True)
-
-
-def _distinct_values(met: DataFrame, weighted: DataFrame, mode: str, bare_mode: str) -> DataFrame:
-    """Calls over distinct values: values whose entity and clauses count, each once per call."""
-    at = ["sample_id", "data_id", "alias", "mask"]
-    counted = weighted.filter("_set").select(*at[:3], F.col("r.mask").alias("mask"), "call", "fn", "as_number")
-    values = met.filter("_set AND NOT anti AND value IS NOT NULL").select(*at, "value").join(counted, at)
-    as_text = (F.col("fn") == "count") & ~F.col("as_number")
-    number = F.when(as_text, None).otherwise(F.when(F.col("as_number"), to_decimal(F.col("value"), mode)).otherwise(to_decimal(F.col("value"), bare_mode)))
-    each = values.select("sample_id", "call", F.when(as_text, F.col("value")).alias("_t"), number.alias("_x")).filter("_t IS NOT NULL OR _x IS NOT NULL").distinct()
-    return each.groupBy("sample_id", "call").agg(F.count(F.lit(1)).alias("_count"), F.sum("_x").cast("decimal(38,15)").alias("_sum"), F.count("_x").alias("_of"))
+    return found.unionByName(_distinct_values(summed, weighted, calls.withColumn("_batch", _batch(batches)), mode, bare_mode), allowMissingColumns=True)
+
+
+def _distinct_values(summed: DataFrame, weighted: DataFrame, calls: DataFrame, mode: str, bare_mode: str) -> DataFrame:
+    """Calls over distinct values: values whose pattern and class count, each once per call.
+
+    Calls are bits of words: a value notes the calls that count it, values with equal notes are summed before the calls are told apart."""
+    kind = F.when((F.col("fn") == "count") & ~F.col("as_number"), "text").when(F.col("as_number"), "number").otherwise("bare")
+    numbered = calls.filter("_set").select("_batch", kind.alias("_kind"), "sample_id", "call").distinct().withColumn("_k", F.dense_rank().over(W.partitionBy("_batch", "_kind").orderBy("sample_id", "call")) - 1)
+    asked = numbered.withColumn("_word", F.floor(F.col("_k") / WORD_BITS).cast("int")).withColumn("_bit", F.expr(f"shiftleft(1L, CAST(_k % {WORD_BITS} AS INT))")).drop("_k")
+    at = ["_batch", "_pattern", "property_id", "_class"]
+    counted = weighted.filter("_set").select("sample_id", "call", "_pattern", "r.property_id", "r._class").join(asked, ["sample_id", "call"]).groupBy(*at, "_kind", "_word").agg(F.bit_or("_bit").alias("_bits"))
+    values = summed.filter("_v IS NOT NULL").select(*at, "_v").join(counted, at)
+    number = F.when(F.col("_kind") == "number", to_decimal(F.col("_v"), mode)).when(F.col("_kind") == "bare", to_decimal(F.col("_v"), bare_mode))
+    each = values.select("_batch", "_kind", "_word", "_bits", F.when(F.col("_kind") == "text", F.col("_v")).alias("_t"), number.alias("_x")).filter("_t IS NOT NULL OR _x IS NOT NULL")
+    noted = each.groupBy("_batch", "_kind", "_word", "_t", "_x").agg(F.bit_or("_bits").alias("_bits"))
+    alike = noted.groupBy("_batch", "_kind", "_word", "_bits").agg(F.count(F.lit(1)).alias("n"), F.sum("_x").alias("sx"), F.count("_x").alias("cx"))
+    return alike.join(asked, ["_batch", "_kind", "_word"]).filter("(_bits & _bit) <> 0").groupBy("sample_id", "call").agg(
+        F.sum("n").alias("_count"), F.sum("sx").cast("decimal(38,15)").alias("_sum"), F.sum("cx").alias("_of"))

@@ -31,7 +31,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(tasks(df.sparkSession), *keys)
 
 
-def join_control(facts: DataFrame, control: DataFrame, key: str, spread: str,
+def join_control(facts: DataFrame, control: DataFrame, key: str | list[str], spread: str,
                  max_rows: int = BROADCAST_ROWS, salts: int = 64) -> DataFrame:
     """Inner join of a fact table with a control table on a possibly hot key.
 
@@ -45,4 +45,4 @@ def join_control(facts: DataFrame, control: DataFrame, key: str, spread: str,
         return facts.join(F.broadcast(small), key)
     salted_facts = facts.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     salted_control = control.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_facts.join(salted_control, [key, "_salt"]).drop("_salt")
+    return salted_facts.join(salted_control, [*([key] if isinstance(key, str) else key), "_salt"]).drop("_salt")

@@ -2,6 +2,7 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparsile.operators import retrieval
@@ -90,3 +91,55 @@ def test_seeds_hold_newlines_and_characters_beyond_the_plane(spark):
     terms = spark.createDataFrame([("\U0001F600x",), ("a\nbcd",), ("ab",), ("x",)], "term string")
     found = {tuple(r) for r in matching.terms_in_text(texts, terms, max_inline=0).select("k", "term").collect()}
     assert found == {(1, "\U0001F600x"), (1, "a\nbcd"), (1, "x"), (4, "ab")}
+
+
+def test_rows_of_joined_aliases_are_tested_once_for_all_samples(spark, tables, monkeypatch):
+    """Value rows meet one row per property, not one per sample and alias; what is worked out per sample are patterns of entities."""
+    from sparsile.catalog.workloads import CALL_FORMS
+    from sparsile.operators import aggregate_queries as Q
+    from sparsile.plans import workload
+
+    sizes, join = {}, Q.join_control
+    monkeypatch.setattr(Q, "join_control", lambda facts, control, *a, **k: sizes.update({frozenset(facts.columns): (facts.count(), control.count())}) or join(facts, control, *a, **k))
+    # many entities of few kinds: equal but for their number, so patterns do not grow with them
+    values = spark.range(4000).selectExpr("id AS data_id", "explode(map(23, CAST(id % 7 * 1500 AS STRING), 22, CAST(id % 5 AS STRING), 24, IF(id % 2 = 0, 'BUILDING', 'x'))) AS (property_id, value)")
+    found = workload.evaluate_aggregate_texts(tables.sql(CALL_FORMS), values, entities=spark.range(4000).withColumnRenamed("id", "data_id"))
+    ours = {(r["sample_id"], r["call"]): r["value"] if r["text"] is None else r["text"] for r in found.collect()}
+    assert len(ours) == 25 * 7 and [control for names, (_, control) in sizes.items() if "value" in names and control] == [3]
+    assert [n for names, (n, _) in sizes.items() if "_g" in names] and all(n <= 25 * 70 for names, (n, _) in sizes.items() if "_g" in names)
+    for n in range(25):
+        rows = [(i, i % 7 * 1500, w) for i in range(4000) if i % 5 != n for w in (str(i % 5), "BUILDING" if i % 2 == 0 else "x") if i % 7 * 1500 > 4000 + 200 * n or w == "BUILDING"]
+        ids, numbers, texts = {r[0] for r in rows}, {r[1] for r in rows}, {r[2] for r in rows}
+        assert [ours[n, c] for c in range(7)] == [len(rows), len(rows), len(ids), len(texts), sum(r[1] for r in rows), round(sum(numbers) / len(numbers), 4) if numbers else None, min(texts)], n
+
+
+@pytest.mark.parametrize("together", [3, 100])
+def test_batches_of_samples_and_words_of_tests_equal_their_joins(spark, monkeypatch, together):
+    """More tests of a property, and more DISTINCT calls, than a word has bits, in one batch and in several."""
+    import random
+
+    import duckdb
+
+    from sparsile.operators import aggregate_queries as Q
+    from sparsile.plans import workload
+    from test_operators import _aggregate_store, _aggregate_texts
+
+    monkeypatch.setattr(Q, "TOGETHER", together)
+    rnd = random.Random(3)
+    rows = [(rnd.randint(1, 30), rnd.randint(1, 3), rnd.choice(["0", "1", "2", "3", "4", "5", "5.0", "6", None])) for _ in range(220)]
+    titles = [(i, "ab"[i % 2]) for i in range(1, 30)]
+    values, entities = _aggregate_store(spark, rows, titles)
+    pairs = " OR ".join(f"(v.value = '{k}' AND CAST(w.value AS DECIMAL(30, 15)) > {k / 10})" for k in range(40))
+    two = "FROM eav.entity_table e JOIN eav.value_table v ON v.data_id = e.data_id JOIN eav.value_table w ON w.data_id = e.data_id"
+    texts = [(100, f"SELECT COUNT(*), SUM(CAST(w.value AS DECIMAL(30, 15))), COUNT(DISTINCT v.value), SUM(e.data_id), MAX(v.value) {two} WHERE v.property_id = 1 AND w.property_id = 1 AND ({pairs})")]
+    texts += [(200 + k, f"SELECT COUNT(DISTINCT v.value), AVG(DISTINCT CAST(v.value AS DECIMAL(30, 15))), COUNT(DISTINCT w.value) {two} WHERE v.property_id = 1 AND w.property_id IN (2, 3) AND CAST(w.value AS DECIMAL(30, 15)) > {k / 10}") for k in range(40 if together > 3 else 4)]
+    texts += list(_aggregate_texts(29, 12))
+    con = duckdb.connect()
+    con.sql("CREATE SCHEMA eav; CREATE TABLE eav.value_table(data_id BIGINT, property_id INT, value VARCHAR); CREATE TABLE eav.entity_table(data_id BIGINT, title VARCHAR)")
+    con.executemany("INSERT INTO eav.value_table VALUES (?, ?, ?)", rows)
+    con.executemany("INSERT INTO eav.entity_table VALUES (?, ?)", titles)
+    found = workload.evaluate_aggregate_texts(spark.createDataFrame(texts, "sample_id bigint, sql string"), values, entities=entities)
+    ours = {(r["sample_id"], r["call"]): r["value"] if r["text"] is None else r["text"] for r in found.collect()}
+    for k, text in texts:
+        for i, x in enumerate(con.sql(text).fetchall()[0]):
+            assert ours[k, i] == (x if x is None or isinstance(x, str) else pytest.approx(float(x))), (text, i)

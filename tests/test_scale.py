@@ -120,8 +120,9 @@ def test_batches_of_samples_and_words_of_tests_equal_their_joins(spark, monkeypa
 
     import duckdb
 
+    from sparsile.functions import sqltext
     from sparsile.operators import aggregate_queries as Q
-    from sparsile.plans import workload
+    from sparsile.operators import matching
     from test_operators import _aggregate_store, _aggregate_texts
 
     monkeypatch.setattr(Q, "TOGETHER", together)
@@ -138,7 +139,11 @@ def test_batches_of_samples_and_words_of_tests_equal_their_joins(spark, monkeypa
     con.sql("CREATE SCHEMA eav; CREATE TABLE eav.value_table(data_id BIGINT, property_id INT, value VARCHAR); CREATE TABLE eav.entity_table(data_id BIGINT, title VARCHAR)")
     con.executemany("INSERT INTO eav.value_table VALUES (?, ?, ?)", rows)
     con.executemany("INSERT INTO eav.entity_table VALUES (?, ?)", titles)
-    found = workload.evaluate_aggregate_texts(spark.createDataFrame(texts, "sample_id bigint, sql string"), values, entities=entities)
+    samples = spark.createDataFrame(texts, "sample_id bigint, sql string")
+    calls = samples.select("sample_id", F.explode(sqltext.aggregate_calls(F.col("sql"))).alias("c")).select("sample_id", "c.*")
+    wide = [row for k in range(40) for row in ((100, k, "v", 1, "str", "=", None, None, str(k)), num(100, "w", 1, ">", f"{k / 10}", k))]
+    predicates = matching.extract_conditions(samples.filter("sample_id <> 100")).unionByName(spark.createDataFrame(wide, PREDICATE).withColumn("anti", F.lit(False)))
+    found = Q.evaluate_aggregates(values, calls, predicates, entities)
     ours = {(r["sample_id"], r["call"]): r["value"] if r["text"] is None else r["text"] for r in found.collect()}
     for k, text in texts:
         for i, x in enumerate(con.sql(text).fetchall()[0]):
